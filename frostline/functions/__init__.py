@@ -1,10 +1,11 @@
 from frostline.functions.numbers import (
     FIXED_UNITS,
+    divide_rounded,
     fixed_point,
-    half_up,
     is_finite,
     js_round,
     mean_from_fixed,
+    ratio,
     round_half_away,
 )
 from frostline.functions.text import alert_label, partition_key, trim_blank
@@ -18,15 +19,16 @@ from frostline.functions.times import (
 __all__ = [
     "FIXED_UNITS",
     "alert_label",
+    "divide_rounded",
     "epoch_micros",
     "fixed_point",
-    "half_up",
     "is_finite",
     "iso_utc",
     "js_round",
     "mean_from_fixed",
     "micros_to_seconds",
     "partition_key",
+    "ratio",
     "round_half_away",
     "trim_blank",
     "window_floor",

@@ -11,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIXED_UNITS = 1_000_000
-_UNITS_PER_CENT = FIXED_UNITS // 100
 
 
 def fixed_point(value: Column) -> Column:
@@ -23,21 +22,25 @@ def _int_div(numerator: Column, denominator: Column) -> Column:
     return F.call_function("div", numerator, denominator)
 
 
-def mean_from_fixed(total: Column, count: Column) -> Column:
-    """Mean in degrees, two decimals, ties away from zero, computed on integers only."""
-    unit = count * F.lit(_UNITS_PER_CENT)
-    cents = _int_div(F.abs(total) * 2 + unit, unit * 2)
-    return F.when(total < 0, -cents).otherwise(cents) / F.lit(100.0)
+def divide_rounded(numerator: Column, denominator: Column) -> Column:
+    """Integer quotient rounded to nearest, ties away from zero. The denominator must be positive."""
+    quotient = _int_div(F.abs(numerator) * 2 + denominator, denominator * 2)
+    return F.when(numerator < 0, -quotient).otherwise(quotient)
 
 
-def round_half_away(value: Column) -> Column:
-    """DOUBLE degrees to two decimals by the same tie rule as mean_from_fixed."""
-    return mean_from_fixed(fixed_point(value), F.lit(1).cast("bigint"))
+def mean_from_fixed(total: Column, count: Column, digits: int = 2) -> Column:
+    """Mean of fixed-point values, rounded to `digits` decimals on integers only."""
+    return divide_rounded(total, count * F.lit(FIXED_UNITS // 10**digits)) / F.lit(10.0**digits)
 
 
-def half_up(value: Column, digits: int) -> Column:
-    """Two-step decimal rounding used by the reports; null stays null."""
-    return F.round(value, digits)
+def round_half_away(value: Column, digits: int = 2) -> Column:
+    """DOUBLE rounded to `digits` decimals by the same tie rule as mean_from_fixed."""
+    return mean_from_fixed(fixed_point(value), F.lit(1).cast("bigint"), digits)
+
+
+def ratio(numerator: Column, denominator: Column, digits: int) -> Column:
+    """Quotient of two integers rounded to `digits` decimals on integers only."""
+    return divide_rounded(numerator * F.lit(10**digits), denominator) / F.lit(10.0**digits)
 
 
 def js_round(value: Column) -> Column:

@@ -87,3 +87,20 @@ def before_here(keys: list[str], order: str) -> WindowSpec:
 def after_here(keys: list[str], order: str) -> WindowSpec:
     """Later rows, nearest first; trailing carry rows (null order) come first so they are 'furthest back'."""
     return _in_chunk(keys, F.col(order).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running_totals(
+    rows: DataFrame, keys: list[str], order: str, totals: dict[str, str], chunk_rows: int
+) -> DataFrame:
+    """Add cumulative sums (`totals`: source column -> new column) in order within each key, of any size."""
+    split = split_hot_keys(rows, keys, order, chunk_rows)
+    carried = (
+        hot_rows(split)
+        .groupBy(*keys, CHUNK)
+        .agg(*[F.sum(c).alias(c) for c in totals])
+        .select(*keys, CHUNK, *[F.sum(c).over(before_chunk(keys)).alias(c) for c in totals])
+        .where(F.coalesce(*[F.col(c) for c in totals]).isNotNull())
+    )
+    here = up_to_here(keys, order)
+    summed = with_carry(split, carried).withColumns({new: F.sum(c).over(here) for c, new in totals.items()})
+    return drop_carry(summed, order)
