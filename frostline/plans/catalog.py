@@ -13,6 +13,8 @@ from frostline.operators import anomalies, bottleneck, contract, fleet, lag, met
 from frostline.operators import windows
 from frostline.plans import adapters
 from frostline.sources import tables, wire
+from frostline.streaming import queries as streams
+from frostline.streaming.workspace import new_folder
 
 CFG = Settings()
 # Limits under which the derived throughput tests both pass and fail.
@@ -454,3 +456,57 @@ def route_distance(spark, sf):
 @query
 def route_distance_split(spark, sf):
     return routes.route_distance(adapters.points_from_events(_events(spark, sf)), SPLIT_CFG)
+
+
+# --- streams: the events table is read as a stream until it is exhausted, the result table is returned ------------
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = _events(spark, sf).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.valid_readings(adapters.telemetry_from_events(_event_stream(spark, sf)))
+
+
+ALL_AT_ONCE = {"availableNow": True}
+
+
+def _run_states(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    folder = new_folder(spark, table)
+    states = streams.truck_states(_telemetry_stream(streams.stream_session(spark), sf), CFG)
+    streams.start_states(states, folder, f"{folder}/checkpoint", CFG, ALL_AT_ONCE).awaitTermination()
+    return spark.read.parquet(f"{folder}/{table}").drop("batch_id")
+
+
+@query
+def stream_running_aggregates(spark, sf):
+    return _run_states(spark, sf, "aggregates").drop("aggregate_id", "created_at")
+
+
+@query
+def stream_anomaly_alerts(spark, sf):
+    return _run_states(spark, sf, "alerts").drop("alert_id")
+
+
+def _run_table(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    folder = new_folder(spark, name)
+    streams.start_table(rows, f"{folder}/rows", f"{folder}/checkpoint", ALL_AT_ONCE).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+@query
+def stream_sustained_alerts(spark, sf):
+    telemetry = _telemetry_stream(streams.stream_session(spark), sf)
+    return _sustained(_run_table(spark, "sustained", streams.sustained_alerts(telemetry, CFG)))
+
+
+@query
+def stream_dead_letters(spark, sf):
+    wire_stream = adapters.wire_from_telemetry(
+        adapters.telemetry_from_events(_event_stream(streams.stream_session(spark), sf))
+    )
+    checked = contract.check_reading(contract.parse_raw(wire_stream))
+    letters = _run_table(spark, "dead-letters", contract.dead_letters(checked, CFG))
+    return letters.select("arrival_seq", "original_key", "payload", "error", "source_topic")
