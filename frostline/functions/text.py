@@ -13,7 +13,9 @@ BLANKS = (
 
 
 def trim_blank(value: Column) -> Column:
-    return F.btrim(value, F.lit(BLANKS))
+    """Text without blanks at either end. Trimming a set of characters is slow, so it is done only where needed."""
+    needed = value.rlike(f"^[{BLANKS}]|[{BLANKS}]$")
+    return F.when(needed, F.btrim(value, F.lit(BLANKS))).otherwise(value)
 
 
 def partition_key(customer_id: Column | str = "customer_id", truck_id: Column | str = "truck_id") -> Column:

@@ -60,10 +60,15 @@ _RECORD = ", ".join(f"{f.name} {'VARIANT' if f.kind in _STRICT else 'STRING'}" f
 _JSON_OPTIONS = {"columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
 
 
+def _text(value: Column) -> Column:
+    """Text of a VARIANT that is a JSON string, null for any other type."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def _typed(field: Field, value: Column) -> Column:
     """Value under the lax typing rules, null when it does not fit."""
     if field.kind in _STRICT:
-        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+        text = _text(value)
         if field.kind == "text":
             return text
         trimmed = trim_blank(text)
@@ -93,63 +98,65 @@ def _problem(field: Field, value: Column, absent: Column) -> Column:
     return problem
 
 
+def _sealed(value: Column) -> Column:
+    """The value, marked so that its projection is computed where it stands and only once per row.
+
+    Without the mark the optimizer copies the parse into every filter above it. The partition id is not
+    deterministic, which forbids that; the lambda takes the projection out of whole-stage code, where the
+    expressions of all fields would share one method too large for the JIT compiler.
+    """
+    mark = F.element_at(F.transform(F.array(F.spark_partition_id()), lambda p: p), 1)
+    return F.when(mark >= 0, value)
+
+
 def parse_raw(wire: DataFrame, record_id: Column | None = None, received_at: Column | None = None) -> DataFrame:
     """Add the raw telemetry columns and `errors ARRAY<STRING>` to wire records (`key, value`, ...).
 
     `record_id` fills a missing event_id and `received_at` (DOUBLE epoch seconds) a missing timestamp. Both come
     from the record, never from the clock or a random source, so that a replay gives the same rows.
-
-    The steps are chained over a one-element array that a generator unpacks at the end. Plain projections would be
-    copied by the optimizer into every filter above them, which parses each payload many times over.
     """
     text = F.col("value").cast("string")
     readable = F.is_valid_utf8(text)
     body = F.trim(F.when(readable, text))
-    read = F.struct(
-        F.from_json(body, f"{_RECORD}, {_CORRUPT} STRING", _JSON_OPTIONS).alias("rec"),
-        # Keys are listed only for the rare payload that could hold an explicit null.
-        F.when(body.contains("null"), F.json_object_keys(body)).alias("null_keys"),
+    rec = F.from_json(body, f"{_RECORD}, {_CORRUPT} STRING", _JSON_OPTIONS)
+    # Keys are listed only for a payload that could hold an explicit null: that is a wrong value, not absence.
+    null_keys = F.when(body.contains("null"), F.json_object_keys(body))
+    shape = (
         F.when(F.col("value").isNull(), "TypeError: payload is null")
         .when(~readable, "ValidationError: payload is not UTF-8")
         .when(~(body.startswith("{") & body.endswith("}")), "ValidationError: payload is not a JSON object")
-        .alias("shape"),
-        (record_id if record_id is not None else F.lit(None)).cast("string").alias("event_id"),
-        (received_at if received_at is not None else F.lit(None)).cast("double").alias("timestamp"),
+        .when(rec.isNull() | rec[_CORRUPT].isNotNull(), "ValidationError: payload is not JSON")
     )
-
-    def typed(r: Column) -> Column:
-        rec = r["rec"]
-        broken = F.when(rec.isNull() | rec[_CORRUPT].isNotNull(), "ValidationError: payload is not JSON")
-        return F.struct(
-            F.struct(*[_typed(f, rec[f.name]).alias(f.name) for f in RAW_FIELDS]).alias("fields"),
-            # An explicit null is not absence, it is a wrong value.
-            F.struct(
-                *[
-                    (rec[f.name].isNull() & ~F.coalesce(F.array_contains(r["null_keys"], f.name), F.lit(False))).alias(
-                        f.name
-                    )
-                    for f in RAW_FIELDS
-                ]
-            ).alias("absent"),
-            F.coalesce(r["shape"], broken).alias("shape"),
-            r["event_id"].alias("event_id"),
-            r["timestamp"].alias("timestamp"),
-        )
-
-    def checked(r: Column) -> Column:
-        fields, absent = r["fields"], r["absent"]
-        values = []
-        for f in RAW_FIELDS:
-            default = r[f.name] if f.name in ("event_id", "timestamp") else F.lit(f.default)
-            value = fields[f.name] if f.required else F.when(absent[f.name], default).otherwise(fields[f.name])
-            values.append(value.alias(f.name))
-        problems = F.array_compact(F.array(*[_problem(f, fields[f.name], absent[f.name]) for f in RAW_FIELDS]))
-        return F.struct(
-            *values, F.when(r["shape"].isNotNull(), F.array(r["shape"])).otherwise(problems).alias("errors")
-        )
-
+    typed = {f"typed_{f.name}": _typed(f, rec[f.name]) for f in RAW_FIELDS}
+    absent = {f"no_{f.name}": rec[f.name].isNull() for f in RAW_FIELDS}
     kept = [c for c in wire.columns if c not in RAW_COLUMNS]
-    return wire.select(*kept, F.inline_outer(F.transform(F.transform(F.array(read), typed), checked)))
+    read = wire.select(
+        *kept,
+        *[c.alias(n) for n, c in {**typed, **absent}.items()],
+        null_keys.alias("null_keys"),
+        _sealed(shape).alias("shape"),
+        (record_id if record_id is not None else F.lit(None)).cast("string").alias("given_event_id"),
+        (received_at if received_at is not None else F.lit(None)).cast("double").alias("given_timestamp"),
+    )
+
+    def is_absent(f: Field) -> Column:
+        listed = F.col("null_keys").isNotNull() & F.array_contains("null_keys", f.name)
+        return F.col(f"no_{f.name}") & ~listed
+
+    values, problems = [], []
+    for f in RAW_FIELDS:
+        value = F.col(f"typed_{f.name}")
+        problems.append(_problem(f, value, is_absent(f)))
+        given = f.name in ("event_id", "timestamp")
+        default = F.col(f"given_{f.name}") if given else F.lit(f.default)
+        values.append((value if f.required else F.when(is_absent(f), default).otherwise(value)).alias(f.name))
+    nothing = F.array().cast("array<string>")
+    errors = (
+        F.when(F.col("shape").isNotNull(), F.array("shape"))
+        .when(F.coalesce(*problems).isNull(), nothing)
+        .otherwise(F.array_compact(F.array(*problems)))
+    )
+    return read.select(*kept, *values, _sealed(errors).alias("errors"))
 
 
 def check_reading(parsed: DataFrame) -> DataFrame:
