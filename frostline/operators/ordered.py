@@ -25,22 +25,36 @@ CHUNK = "chunk"
 _HOT = "in_hot_key"
 
 
-def split_hot_keys(rows: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame:
-    """Add `chunk`: 0 for ordinary keys, order div chunk_rows for hot ones.
+def find_hot_keys(rows: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
+    """Keys with more than chunk_rows rows.
 
-    The list of hot keys is broadcast. Its length is at most total rows / chunk_rows, since each hot key
-    accounts for more than chunk_rows rows: 10**12 rows give at most 250,000 entries at the default size.
+    There are at most total rows / chunk_rows of them, which is what makes this list safe to broadcast:
+    10**12 rows give at most 250,000 entries at the default size.
     """
-    hot = (
+    return (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("key_rows"))
         .where(F.col("key_rows") > chunk_rows)
         .select(*keys, F.lit(True).alias(_HOT))
     )
+
+
+def split_hot_keys(
+    rows: DataFrame, keys: list[str], order: str, chunk_rows: int, hot: DataFrame | None = None
+) -> DataFrame:
+    """Add `chunk`: 0 for ordinary keys, order div chunk_rows for hot ones."""
+    hot = find_hot_keys(rows, keys, chunk_rows) if hot is None else hot
     chunk = F.when(F.col(_HOT), F.floor(F.col(order) / F.lit(chunk_rows))).otherwise(F.lit(0)).cast("bigint")
     return rows.join(F.broadcast(hot), keys, "left").withColumn(CHUNK, chunk)
 
 
+def seed_chunks(carried: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Give carry rows from an earlier run their chunk: 0 for ordinary keys, and for hot ones -1, a chunk before all
+    others, from which the summaries pass them on."""
+    chunk = F.when(F.col(_HOT), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+    return carried.join(F.broadcast(hot), keys, "left").withColumn(CHUNK, chunk)
+
+
 def hot_rows(split: DataFrame) -> DataFrame:
     """Rows of hot keys only. Null-rejecting, so the optimizer turns the tagging join into an inner join."""
     return split.where(F.col(_HOT))
@@ -50,7 +64,7 @@ def with_carry(split: DataFrame, *carry: DataFrame) -> DataFrame:
     """Put carry rows next to the rows they precede. Columns a side lacks are null."""
     out = split.drop(_HOT)
     for rows in carry:
-        out = out.unionByName(rows, allowMissingColumns=True)
+        out = out.unionByName(rows.drop(_HOT), allowMissingColumns=True)
     return out
 
 

@@ -23,7 +23,9 @@ from frostline.operators.ordered import (
     before_chunk,
     before_here,
     drop_carry,
+    find_hot_keys,
     hot_rows,
+    seed_chunks,
     split_hot_keys,
     up_to_here,
     with_carry,
@@ -48,13 +50,14 @@ def _judge(rows: DataFrame, cfg: Settings) -> DataFrame:
     )
 
 
-def _watermark_carry(split: DataFrame) -> DataFrame:
+def _watermark_carry(split: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """One carry row per hot chunk: the largest event time of all earlier chunks."""
+    summary = hot_rows(split).groupBy(*TRUCK, CHUNK).agg(F.max("event_us").alias("chunk_max_us"))
+    if seeds is not None:
+        known = hot_rows(seeds).where(F.col("event_us").isNotNull())
+        summary = summary.unionByName(known.select(*TRUCK, CHUNK, F.col("event_us").alias("chunk_max_us")))
     return (
-        hot_rows(split)
-        .groupBy(*TRUCK, CHUNK)
-        .agg(F.max("event_us").alias("chunk_max_us"))
-        .withColumn("event_us", F.max("chunk_max_us").over(before_chunk(TRUCK)))
+        summary.withColumn("event_us", F.max("chunk_max_us").over(before_chunk(TRUCK)))
         .where(F.col("event_us").isNotNull())
         .select(*TRUCK, CHUNK, "event_us")
     )
@@ -157,20 +160,27 @@ def _carry(**fields) -> Column:
     return F.struct(*[fields.get(n, F.lit(None)).alias(n) for n in names]).cast(_CARRY).alias("carry")
 
 
-def _window_carry(reported: DataFrame) -> DataFrame:
+_PARTS = ("n", "total", "low", "high", "target")
+
+
+def _window_carry(reported: DataFrame, seeds: DataFrame | None) -> DataFrame:
     """Carry rows with the aggregates that earlier chunks left in each window a chunk reports to."""
     in_window = [*TRUCK, "window_us"]
     earlier = before_chunk(in_window)
-    return (
-        reported.groupBy(*in_window, CHUNK)
-        .agg(
-            F.sum("add_count").alias("n"),
-            F.sum("add_fixed").alias("total"),
-            F.min("add_min").alias("low"),
-            F.max("add_max").alias("high"),
-            F.max_by("add_target", F.when(F.col("add_count").isNotNull(), F.col(ORDER))).alias("target"),
+    summary = reported.groupBy(*in_window, CHUNK).agg(
+        F.sum("add_count").alias("n"),
+        F.sum("add_fixed").alias("total"),
+        F.min("add_min").alias("low"),
+        F.max("add_max").alias("high"),
+        F.max_by("add_target", F.when(F.col("add_count").isNotNull(), F.col(ORDER))).alias("target"),
+    )
+    if seeds is not None:
+        known = hot_rows(seeds).where(F.col("carry.window_us").isNotNull())
+        summary = summary.unionByName(
+            known.select(*TRUCK, "carry.window_us", CHUNK, *[F.col(f"carry.{c}").alias(c) for c in _PARTS])
         )
-        .select(
+    return (
+        summary.select(
             *in_window,
             CHUNK,
             F.sum("n").over(earlier).alias("n"),
@@ -180,37 +190,55 @@ def _window_carry(reported: DataFrame) -> DataFrame:
             F.last("target", ignorenulls=True).over(earlier).alias("target"),
         )
         .where(F.col("n").isNotNull())
-        .select(*TRUCK, CHUNK, _carry(**{c: F.col(c) for c in ("window_us", "n", "total", "low", "high", "target")}))
+        .select(*TRUCK, CHUNK, _carry(**{c: F.col(c) for c in ("window_us", *_PARTS)}))
     )
 
 
-def _head_carry(reported: DataFrame) -> DataFrame:
+def _head_carry(reported: DataFrame, seeds: DataFrame | None) -> DataFrame:
     """Carry rows with the last head-window temperature of all earlier chunks."""
     at_head = F.when(F.col("head_temperature").isNotNull(), F.col(ORDER))
+    summary = reported.groupBy(*TRUCK, CHUNK).agg(F.max_by("head_temperature", at_head).alias("chunk_last"))
+    if seeds is not None:
+        known = hot_rows(seeds).where(F.col("carry.head").isNotNull())
+        summary = summary.unionByName(known.select(*TRUCK, CHUNK, F.col("carry.head").alias("chunk_last")))
     return (
-        reported.groupBy(*TRUCK, CHUNK)
-        .agg(F.max_by("head_temperature", at_head).alias("chunk_last"))
-        .withColumn("head", F.last("chunk_last", ignorenulls=True).over(before_chunk(TRUCK)))
+        summary.withColumn("head", F.last("chunk_last", ignorenulls=True).over(before_chunk(TRUCK)))
         .where(F.col("head").isNotNull())
         .select(*TRUCK, CHUNK, _carry(head=F.col("head")))
     )
 
 
-def arrival_states(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+def arrival_states(
+    telemetry: DataFrame, cfg: Settings = Settings(), carried: DataFrame | None = None
+) -> DataFrame:
     """The state each reading left its truck in, one row per reading.
 
-    Adds `late`, `window_us`, the running `sample_count, sum_fixed, min_raw, max_raw, target_raw` of that window
-    and `previous_temperature`: the last temperature of the truck's newest window before the reading.
+    Adds `max_event_us`, `late`, `window_us`, the running `sample_count, sum_fixed, min_raw, max_raw, target_raw` of
+    that window, `previous_temperature`: the last temperature of the truck's newest window before the reading, and
+    `head_temperature`, the same after it. `carried` continues from the result of `carry_over` on earlier readings.
     """
-    split = split_hot_keys(telemetry, TRUCK, ORDER, cfg.chunk_rows).withColumn("carry", F.lit(None).cast(_CARRY))
-    watermark = _watermark_carry(split)
+    hot_keys = find_hot_keys(telemetry, TRUCK, cfg.chunk_rows)
+    split = split_hot_keys(telemetry, TRUCK, ORDER, cfg.chunk_rows, hot_keys).withColumn(
+        "carry", F.lit(None).cast(_CARRY)
+    )
+    seeds = seed_chunks(carried, TRUCK, hot_keys) if carried is not None else None
+    watermark = _watermark_carry(split, seeds)
     hot = _report(_judge(with_carry(hot_rows(split), watermark), cfg)).where(F.col(ORDER).isNotNull())
-    rows = with_carry(split, watermark, _window_carry(hot), _head_carry(hot))
+    carry = [watermark, _window_carry(hot, seeds), _head_carry(hot, seeds)]
+    if seeds is not None:
+        carry.append(seeds.where(F.col(CHUNK) == 0))
+    rows = with_carry(split, *carry)
 
     here = up_to_here([*TRUCK, "window_us"], ORDER)
+    head = F.last("head_temperature", True)
     stated = (
         _report(_judge(rows, cfg))
-        .withColumn("previous_temperature", F.last("head_temperature", True).over(before_here(TRUCK, ORDER)))
+        .withColumns(
+            {
+                "previous_temperature": head.over(before_here(TRUCK, ORDER)),
+                "latest_head": head.over(up_to_here(TRUCK, ORDER)),
+            }
+        )
         .withColumns(
             {
                 "sample_count": F.sum("add_count").over(here),
@@ -223,6 +251,7 @@ def arrival_states(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFram
     )
     return drop_carry(stated, ORDER).select(
         *telemetry.columns,
+        "max_event_us",
         "late",
         "window_us",
         "sample_count",
@@ -231,6 +260,62 @@ def arrival_states(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFram
         "max_raw",
         "target_raw",
         "previous_temperature",
+        F.col("latest_head").alias("head_temperature"),
+    )
+
+
+def carry_over(states: DataFrame, cfg: Settings = Settings(), carried: DataFrame | None = None) -> DataFrame:
+    """What later readings must know of `states` (from arrival_states) and of what was carried into it.
+
+    A few rows per truck: its largest event time, its last head temperature, and every window an accepted reading
+    can still reach. Each part merges by an ordinary aggregate, so nothing is gathered per truck.
+    """
+    earlier = F.lit(-1).cast("bigint")
+    tops = states.select(*TRUCK, "max_event_us")
+    heads = states.select(*TRUCK, "head_temperature", ORDER)
+    spans = states.select(
+        *TRUCK,
+        "window_us",
+        F.struct("sample_count", "sum_fixed", "min_raw", "max_raw", "target_raw").alias("parts"),
+        ORDER,
+    )
+    if carried is not None:
+        old = carried.where(F.col("event_us").isNotNull()).select(*TRUCK, F.col("event_us").alias("max_event_us"))
+        tops = tops.unionByName(old)
+        old = carried.where(F.col("carry.head").isNotNull())
+        heads = heads.unionByName(old.select(*TRUCK, F.col("carry.head").alias("head_temperature"), earlier.alias(ORDER)))
+        old = carried.where(F.col("carry.window_us").isNotNull())
+        parts = F.struct(
+            F.col("carry.n").alias("sample_count"),
+            F.col("carry.total").alias("sum_fixed"),
+            F.col("carry.low").alias("min_raw"),
+            F.col("carry.high").alias("max_raw"),
+            F.col("carry.target").alias("target_raw"),
+        )
+        spans = spans.unionByName(old.select(*TRUCK, "carry.window_us", parts.alias("parts"), earlier.alias(ORDER)))
+
+    top = tops.groupBy(*TRUCK).agg(F.max("max_event_us").alias("event_us"))
+    head = heads.groupBy(*TRUCK).agg(F.max_by("head_temperature", ORDER).alias("head"))
+    reach = F.col("event_us") - F.lit(cfg.grace_us)
+    window = (
+        spans.groupBy(*TRUCK, "window_us")
+        .agg(F.max_by("parts", ORDER).alias("parts"))
+        .join(top, TRUCK)
+        .where(F.col("window_us") + F.lit(cfg.window_us + cfg.grace_us) >= reach)
+    )
+    values = {
+        "window_us": F.col("window_us"),
+        "n": F.col("parts.sample_count"),
+        "total": F.col("parts.sum_fixed"),
+        "low": F.col("parts.min_raw"),
+        "high": F.col("parts.max_raw"),
+        "target": F.col("parts.target_raw"),
+    }
+    none = F.lit(None).cast("bigint").alias("event_us")
+    return (
+        top.select(*TRUCK, "event_us", F.lit(None).cast(_CARRY).alias("carry"))
+        .unionByName(head.where(F.col("head").isNotNull()).select(*TRUCK, none, _carry(head=F.col("head"))))
+        .unionByName(window.select(*TRUCK, none, _carry(**values)))
     )
 
 

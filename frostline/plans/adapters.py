@@ -101,12 +101,17 @@ def vehicles_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def _topic() -> Column:
+    other = F.call_function("div", F.col("user_id"), F.lit(6)) % 2 == 1
+    return F.when(other, "audit-telemetry").otherwise("raw-telemetry").alias("topic")
+
+
 def latest_offsets(events: DataFrame) -> DataFrame:
-    """Log end offsets: one topic, six partitions by user."""
+    """Log end offsets: two topics with six partitions each, by user."""
     partition = (F.col("user_id") % 6).cast("int")
     replicas = F.when(F.col("partition") != 4, F.array(F.col("partition") % 3 + 1, (F.col("partition") + 1) % 3 + 1))
     return (
-        events.groupBy(F.lit("raw-telemetry").alias("topic"), partition.alias("partition"))
+        events.groupBy(_topic(), partition.alias("partition"))
         .agg(F.count(F.lit(1)).alias("latest"))
         .withColumn("replicas", F.coalesce(replicas, F.array().cast("array<int>")))
     )
@@ -121,7 +126,7 @@ def committed_offsets(events: DataFrame) -> DataFrame:
     return (
         events.select(
             F.explode(groups).alias("consumer_group"),
-            F.lit("raw-telemetry").alias("topic"),
+            _topic(),
             partition.cast("int").alias("partition"),
         )
         .groupBy("consumer_group", "topic", "partition")
@@ -194,7 +199,7 @@ def transitions_from_lineitem(lineitem: DataFrame) -> DataFrame:
 def delivery_reports(events: DataFrame) -> DataFrame:
     """One report per sent event; errors count as not delivered."""
     delivered = (F.col("event_type") != "error").alias("delivered")
-    reports = telemetry_from_events(events, F.lit("raw-telemetry").alias("topic"), delivered)
+    reports = telemetry_from_events(events, _topic(), delivered)
     return reports.select("topic", "arrival_seq", "event_us", "delivered")
 
 

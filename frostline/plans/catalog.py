@@ -490,6 +490,14 @@ def stream_anomaly_alerts(spark, sf):
     return _run_states(spark, sf, "alerts").drop("alert_id")
 
 
+@query
+def stream_set_running_aggregates(spark, sf):
+    folder = new_folder(spark, "sets")
+    telemetry = _telemetry_stream(streams.stream_session(spark), sf)
+    streams.start_set_states(telemetry, folder, f"{folder}/checkpoint", SPLIT_CFG, ALL_AT_ONCE).awaitTermination()
+    return spark.read.parquet(f"{folder}/aggregates").drop("batch_id", "aggregate_id", "created_at")
+
+
 def _run_table(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
     folder = new_folder(spark, name)
     streams.start_table(rows, f"{folder}/rows", f"{folder}/checkpoint", ALL_AT_ONCE).awaitTermination()

@@ -137,7 +137,12 @@ relation(
     from stated""",
     "stated",
 )
-for _name in ("running_aggregates", "running_aggregates_split", "stream_running_aggregates"):
+for _name in (
+    "running_aggregates",
+    "running_aggregates_split",
+    "stream_running_aggregates",
+    "stream_set_running_aggregates",
+):
     oracle(_name, f"select {aggregate_columns('arrival_seq, late,')} from running", "running")
 oracle(
     "sliding_aggregates",
@@ -310,24 +315,26 @@ oracle(
 
 # --- lag ---------------------------------------------------------------------------------------------------------
 
+TOPIC = "case when user_id // 6 % 2 = 0 then 'raw-telemetry' else 'audit-telemetry' end"
 relation(
     "committed",
-    """
-    select 'telemetry-worker' as consumer_group, (user_id % 6)::integer as partition, count(*) as committed from events
-    where event_id % 10 < 9 - user_id % 6 and user_id % 6 < 5 group by 1, 2
+    f"""
+    select 'telemetry-worker' as consumer_group, {TOPIC} as topic, (user_id % 6)::integer as partition, count(*) as committed
+    from events where event_id % 10 < 9 - user_id % 6 and user_id % 6 < 5 group by all
     union all
-    select 'audit-reader', (user_id % 6)::integer, count(*) from events where event_id % 2 = 0 group by 1, 2""",
+    select 'audit-reader', {TOPIC}, (user_id % 6)::integer, count(*) from events where event_id % 2 = 0 group by all""",
 )
 relation(
     "lagging",
-    """
-    select consumer_group, 'raw-telemetry' as topic, partition, coalesce(committed, 0) as current_offset,
-           latest as latest_offset, greatest(latest - coalesce(committed, 0), 0) as lag,
+    f"""
+    select consumer_group, topic, partition, coalesce(committed, 0) as current_offset, latest as latest_offset,
+           greatest(latest - coalesce(committed, 0), 0) as lag,
            (case when partition <> 4 then partition % 3 + 1 end)::integer as broker,
            greatest(latest - coalesce(committed, 0), 0) > 1000 as warning
-    from (select distinct consumer_group from committed)
-    cross join (select (user_id % 6)::integer as partition, count(*) as latest from events group by 1)
-    left join committed using (consumer_group, partition)""",
+    from (select distinct consumer_group, topic from committed)
+    join (select {TOPIC} as topic, (user_id % 6)::integer as partition, count(*) as latest from events group by all)
+      using (topic)
+    left join committed using (consumer_group, topic, partition)""",
     "committed",
 )
 oracle("lag_report", "select * from lagging", "lagging")
@@ -407,13 +414,14 @@ oracle(
 )
 oracle(
     "delivery_stats",
-    f"""select 'raw-telemetry' as topic, slot * 5 as window_start, published, delivered, published - delivered as errors,
+    f"""select topic, slot * 5 as window_start, published, delivered, published - delivered as errors,
     {ratio("delivered * 100", "published", 2)} as delivery_percent, {ratio("sent", "5", 1)} as current_rate,
     {ratio("published", "(slot - first_slot + 1) * 5", 1)} as overall_rate
-    from (select slot, sent, min(slot) over () as first_slot, (sum(sent) over (order by slot))::bigint as published,
-                 (sum(ok) over (order by slot))::bigint as delivered
-          from (select event_us // 5000000 as slot, count(*) as sent, count(*) filter (event_type <> 'error') as ok
-                from tel join events on event_id = arrival_seq group by 1))""",
+    from (select topic, slot, sent, min(slot) over (partition by topic) as first_slot,
+                 (sum(sent) over (partition by topic order by slot))::bigint as published,
+                 (sum(ok) over (partition by topic order by slot))::bigint as delivered
+          from (select {TOPIC} as topic, event_us // 5000000 as slot, count(*) as sent, count(*) filter (event_type <> 'error') as ok
+                from tel join events on event_id = arrival_seq group by all))""",
     "tel",
 )
 oracle(

@@ -32,14 +32,24 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.drop(*DROPPED).collect())
 
 
-@pytest.mark.parametrize("size", [40, 150])
-def test_stream_equals_batch_and_survives_a_restart(spark, live, tmp_path, size):
+def start_by_state(telemetry, out, checkpoint, chunk_rows):
+    return streams.start_states(streams.truck_states(telemetry), out, checkpoint, trigger=ONCE)
+
+
+def start_by_sets(telemetry, out, checkpoint, chunk_rows):
+    return streams.start_set_states(telemetry, out, checkpoint, Settings(chunk_rows=chunk_rows), ONCE)
+
+
+@pytest.mark.parametrize(
+    "start, size, chunk_rows",
+    [(start_by_state, 40, 0), (start_by_state, 150, 0), (start_by_sets, 70, 10), (start_by_sets, 150, 1_000_000)],
+)
+def test_stream_equals_batch_and_survives_a_restart(spark, live, tmp_path, start, size, chunk_rows):
     events = random_events(11, 300, 4, 0.5)
     data, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
 
     def run():
-        states = streams.truck_states(source(live, data))
-        streams.start_states(states, out, checkpoint, trigger=ONCE).awaitTermination()
+        start(source(live, data), out, checkpoint, chunk_rows).awaitTermination()
 
     write_parts(spark, events, data, 0, 150, size)
     run()
@@ -58,6 +68,8 @@ def test_stream_equals_batch_and_survives_a_restart(spark, live, tmp_path, size)
     final = windows.window_aggregates(batch).select("truck_id", "window_start", F.col("sample_count").alias("n"))
     assert rows_of(last) == rows_of(final)
 
+    if start is start_by_sets:
+        return
     state = streams.current_state(spark, checkpoint).groupBy("truck_id").agg(F.max("window_start").alias("w"))
     assert rows_of(state) == rows_of(windows.latest_window(batch).select("truck_id", F.col("window_start").alias("w")))
 
