@@ -75,12 +75,19 @@ def _typed(field: Field, value: Column) -> Column:
         return F.when(F.length(trimmed) > 0, trimmed)
     if field.kind == "choice":
         return F.when(value.isin(*field.choices), value)
-    word = F.lower(F.trim(value))
+    word = F.trim(value)
     if field.kind == "flag":
+        word = F.lower(word)
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
     # The cast accepts a type suffix ("2.5d") that the contract does not.
-    number = F.when(~F.right(word, F.lit(1)).isin("d", "f"), word.try_cast("double"))
-    return F.when(word == "true", 1.0).when(word == "false", 0.0).when(F.abs(number) < float("inf"), number)
+    suffix = word.endswith("d") | word.endswith("D") | word.endswith("f") | word.endswith("F")
+    number = word.try_cast("double")
+    return (
+        F.when(suffix, F.lit(None))
+        .when(F.abs(number) < float("inf"), number)
+        .when(F.lower(word) == "true", 1.0)
+        .when(F.lower(word) == "false", 0.0)
+    )
 
 
 def _problem(field: Field, value: Column, absent: Column) -> Column:

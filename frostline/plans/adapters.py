@@ -13,6 +13,8 @@ BASE_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z, the first day of `event
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Its times have no zone and mean UTC, so the session is pinned to UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

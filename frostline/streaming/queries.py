@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,14 +17,18 @@ from frostline.streaming.processors import RUN_COLUMNS, STATE_COLUMNS, Sustained
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session for stateful streams: RocksDB state that uploads changes, not whole snapshots, per micro-batch.
 
-    `spark.sql.shuffle.partitions` at the first start fixes the number of state partitions for good.
+    The number of state partitions is fixed at the first start of a query. Unless given, it is the session's number
+    of shuffle partitions, but at most two per core, since every state partition is a store that stays open.
     """
     session = spark.newSession()
+    if state_partitions is None:
+        wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        state_partitions = min(wanted, 2 * spark.sparkContext.defaultParallelism)
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return session
@@ -160,6 +166,34 @@ def start_table(rows: DataFrame, path: str, checkpoint: str, trigger: dict | Non
     )
 
 
+def start_dead_letters(
+    checked: DataFrame, path: str, checkpoint: str, cfg: Settings = Settings(), trigger: dict | None = None
+) -> StreamingQuery:
+    """Write rejected records to `path` and stop the stream at a micro-batch that is mostly bad.
+
+    The dead letters of that micro-batch are written first, so that the cause can be looked at. The stream stays at
+    it until it is started again with other limits or without the gate (`start_table`).
+    """
+
+    def write_and_judge(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            write_batch(contract.dead_letters(batch, cfg), path, batch_id)
+            judged = contract.quality_gate(batch.withColumn("micro_batch", F.lit(batch_id)), ["micro_batch"], cfg)
+            tripped = not judged.where("tripped").isEmpty()
+        finally:
+            batch.unpersist()
+        if tripped:
+            raise RuntimeError(f"quality gate tripped in micro-batch {batch_id}; see the dead letters in {path}")
+
+    return (
+        checked.writeStream.foreachBatch(write_and_judge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 second"}))
+        .start()
+    )
+
+
 def to_messages(rows: DataFrame, key: Column | None = None) -> DataFrame:
     """Rows as keyed JSON messages for a topic; the key is `customer:truck` unless given."""
     body = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
@@ -205,8 +239,6 @@ def progress_offsets(spark: SparkSession, query: StreamingQuery, topic: str) ->
 
     One row per partition of the topic, read from the query's own progress report.
     """
-    import json
-
     progress = query.lastProgress
     source = progress["sources"][0] if progress else {}
 

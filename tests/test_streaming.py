@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from frostline.config import Settings
@@ -165,6 +166,21 @@ def test_messages_to_aggregates_alerts_and_dead_letters(spark, live, tmp_path):
     assert dead[2].error == "ValueError: temperature must be non-zero"
 
 
+def test_gate_stops_the_stream_after_writing_dead_letters(spark, live, tmp_path):
+    spark.createDataFrame(wire_rows(), WIRE).coalesce(1).write.parquet(f"{tmp_path}/in")
+    checked = streams.check_wire(live.readStream.schema(WIRE).parquet(f"{tmp_path}/in"))
+
+    def run(name, **limits):
+        query = streams.start_dead_letters(checked, f"{tmp_path}/{name}", f"{tmp_path}/{name}-cp", Settings(**limits), ONCE)
+        query.awaitTermination()
+
+    run("calm", gate_min_records=50)
+    with pytest.raises(StreamingQueryException, match="quality gate tripped"):
+        run("strict", gate_min_records=5, gate_error_rate=0.4)
+    for name in ("calm", "strict"):
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == 3
+
+
 def test_outgoing_messages_are_keyed_json(spark):
     rows = spark.createDataFrame([("c", "t", None, 1.5)], "customer_id STRING, truck_id STRING, note STRING, x DOUBLE")
     (m,) = streams.to_messages(rows).collect()
