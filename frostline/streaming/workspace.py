@@ -1,4 +1,4 @@
-"""Where streaming queries keep checkpoints and output when the caller gives no place."""
+"""Where queries keep checkpoints, intermediate tables and output when the caller gives no place."""
 
 from __future__ import annotations
 
@@ -8,11 +8,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared directory the cluster names in `spark.checkpoint.dir`.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only where that is not set, as in local tests, a temporary folder of this machine is used.
+    Only a local master may go without it, as in tests; elsewhere a folder of one machine would lose rows silently.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="frostline-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    if shared:
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder: master {master} has executors on other machines")
+    return tempfile.mkdtemp(prefix="frostline-")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
