@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import shards, token_counts, wavelet
+from frostline.llm import contamination, language, packing, shards, token_counts, wavelet
 from frostline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,26 @@ def op3_sharding(spark, sf_dir):
     return shards.balanced_shards(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_decontamination(spark, sf_dir):
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_token_files(spark, sf_dir):
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
+@query
+def op8_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
