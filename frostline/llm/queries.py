@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import contamination, language, packing, shards, token_counts, wavelet
+from frostline.llm import contamination, language, packing, quality, secrets, shards, token_counts, wavelet
 from frostline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_quality_rules(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_sharding(spark, sf_dir):
     return shards.balanced_shards(table(spark, sf_dir, "documents"))
@@ -34,6 +39,11 @@ def op5_token_files(spark, sf_dir):
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_secret_scans(spark, sf_dir):
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -47,3 +57,6 @@ def op9_language_id(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op1_quality_rules"] = quality.ORACLE
