@@ -1,10 +1,10 @@
 """Token ids of public tokenizers, equal to the library's, at the cost of one lookup per word.
 
-A tokenizer file first cuts a text into words and then encodes every word by itself, so the ids of a text are those of
-its words in order. `WordEncoder` cuts ordinary texts with the tokenizer's own pattern, encodes each new word once with
-the library, and keeps the ids of words it has seen. Texts with characters outside a plain set, on which Unicode tables
-of two libraries could differ, and texts that may hold a special token go to the library as they are; long ones of them
-are cut at safe boundaries first.
+A tokenizer file first cuts a text into words and then encodes every word by itself. Both families used here always cut
+before a single blank between two other characters, around a single line end between two, and between a letter and a
+full stop or comma, so the ids of a text are those of the parts between such places. `WordEncoder` encodes each new part once with the library and keeps the ids of
+parts it has seen. Texts with characters outside a plain set, with white space in a row, or with what may be a special
+token go to the library as they are; long ones of them are cut at safe boundaries first.
 """
 
 from __future__ import annotations
@@ -19,15 +19,19 @@ import numpy as np
 # Letters of the plain set: ASCII and the composed letters of Latin-1 and Latin Extended-A (without dotted capital I).
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
 _NOT_PLAIN = re.compile(rf"[^\t\n\r -~{_LETTERS}]")
-# The word patterns of the two tokenizer families, over the plain set (fixed values of the tokenizer files).
-_BYTE_WORDS = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
-)
-_LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 # A blank between two ASCII letters starts a word in both families, and no special token holds one.
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+_ONE_WORD = re.compile(rf" ?[{_LETTERS}]+")
+#: A full stop or comma after anything but a letter is left in its part.
+_MARK_AFTER_OTHER = re.compile(rf"(?:^|[^{_LETTERS}])[.,]")
+# Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order
+# (a blank is U+0120).
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _SELF), range(256, 512), strict=False))
+_BLANKS = ("", " ", "\n")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 LONG_TEXT = 1 << 16
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,6 +52,19 @@ def safe_pieces(text: str, size: int = LONG_TEXT) -> Iterator[str]:
     yield text[start:]
 
 
+class _Known(dict):
+    """The number of each part; parts seen for the first time are numbered and noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = at = len(self)
+        self.new.append(part)
+        return at
+
+
 class WordEncoder:
     """Ids and counts of texts by one tokenizer file; one instance serves one task at a time."""
 
@@ -56,48 +73,72 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        lower = self.library.normalizer is not None
-        self.pattern = _LOWER_WORDS if lower else _BYTE_WORDS
-        self.lower = lower
+        self.model = self.library.model
+        self.lower = self.library.normalizer is not None  # the family that lower-cases and drops white space
         self._forget()
 
     def _forget(self) -> None:
         """Start the word table anew, so that its memory stays bounded."""
-        self.known: dict[str, int] = {}
+        self.known, self.learned = _Known(), 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.counts = np.zeros(1 << 14, np.int64)
         self.n_ids = 0
 
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids, at = found.ids, len(self.known)
-            if at == len(self.starts):
-                self.starts, self.counts = np.resize(self.starts, 2 * at), np.resize(self.counts, 2 * at)
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of parts numbered since the last call. A part that is one word goes to the library's model directly."""
+        for i in range(0, len(parts), 1024):
+            some = parts[i : i + 1024]
+            found: list[int] = []
+            ends = np.zeros(len(some), np.int64)
+            for j, part in enumerate(some):
+                if _ONE_WORD.fullmatch(part):
+                    plain = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                    plain = plain.replace(" ", "\u0120")
+                    found += [token.id for token in self.model.tokenize(plain)]
+                else:
+                    found += self.library.encode(part, add_special_tokens=False).ids
+                ends[j] = len(found)
+            ids, counts = np.array(found, np.uint32), np.diff(ends, prepend=0)
+            at, stop = self.learned, self.learned + len(some)
+            while stop > len(self.starts):
+                self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
             while self.n_ids + len(ids) > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
             self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.starts[at], self.counts[at] = self.n_ids, len(ids)
+            self.starts[at:stop], self.counts[at:stop] = self.n_ids + ends - counts, counts
             self.n_ids += len(ids)
-            self.known[word] = at
+            self.learned = stop
 
     def _plain(self, text: str) -> bool:
-        return "<|" not in text and _NOT_PLAIN.search(text) is None
+        if "<|" in text or _NOT_PLAIN.search(text) is not None:
+            return False
+        return self.lower or not (
+            any(pair in text for pair in _RUNS) or text[:1] in _BLANKS or text[-1:] in _BLANKS or "\t" in text or "\r" in text
+        )
+
+    def _parts(self, text: str) -> list[str]:
+        if not _MARK_AFTER_OTHER.search(text):  # then both marks start a word
+            text = text.replace(",", " ,").replace(".", " .") if self.lower else text.replace(",", "\0,").replace(".", "\0.")
+        if self.lower:
+            return text.lower().split()
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Table positions of the words of plain texts, and the words' number in each text."""
+        """Numbers of the parts of plain texts, and how many each text has."""
         if len(self.known) > KNOWN_WORDS:
             self._forget()
-        find, get = self.pattern.findall, self.known.get
         words: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = find(text.lower() if self.lower else text)
+            own = self._parts(text)
             sizes[i] = len(own)
             words += own
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            self._learn(new)
-        return np.fromiter(map(get, words), np.int64, len(words)), sizes
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        return at, sizes
 
     def _by_library(self, text: str) -> np.ndarray:
         parts = self.library.encode_batch_fast(list(safe_pieces(text)), add_special_tokens=False)
