@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import contamination, language, packing, quality, secrets, shards, token_counts, wavelet
+from frostline.llm import contamination, language, near_duplicates, packing, quality, secrets, shards, token_counts, wavelet
 from frostline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_near_duplicates(spark, sf_dir):
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_sharding(spark, sf_dir):
     return shards.balanced_shards(table(spark, sf_dir, "documents"))
