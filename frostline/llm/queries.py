@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import contamination, language, near_duplicates, packing, quality, secrets, shards, token_counts, wavelet
+from frostline.llm import contamination, language, near_duplicates, packing, quality, repeats, secrets, shards, token_counts, wavelet
 from frostline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op5_token_files(spark, sf_dir):
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
+@query
+def op6_repeated_passages(spark, sf_dir):
+    return repeats.find_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_secret_scans(spark, sf_dir):
     return secrets.secrets(table(spark, sf_dir, "documents"))

@@ -206,8 +206,11 @@ def secrets(docs: DataFrame) -> DataFrame:
     )
 
 
-def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
-    """docs with every secret in the text replaced by the mask; all other columns and rows stay as they are."""
+def mask_secrets(docs: DataFrame, mask: str = MASK, length_column: str | None = None) -> DataFrame:
+    """docs with every secret in the text replaced by the mask; all other columns and rows stay as they are.
+
+    length_column, if given, gets the new number of characters of the texts that change.
+    """
     found = find_secrets(docs)
     masked = F.aggregate(
         "spans",
@@ -223,5 +226,9 @@ def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
         ),
         lambda s: F.concat(s["out"], F.substring("text", s["pos"] + 1, F.length("text"))),
     )
-    text = F.when(F.size("spans") > 0, masked).otherwise(F.col("row.text"))
-    return found.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    changed = found.select("row", F.when(F.size("spans") > 0, masked).alias("masked"))
+    new = {"text": F.coalesce("masked", F.col("row.text"))}
+    if length_column:
+        old = F.col("row")[length_column]
+        new[length_column] = F.coalesce(F.length("masked").cast(docs.schema[length_column].dataType), old)
+    return changed.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

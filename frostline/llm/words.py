@@ -42,8 +42,8 @@ def spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -> tupl
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums s and factors f so that (s[b] - s[a]) * f[a] depends on the bytes a to b alone."""
     global _powers
     if len(_powers[0]) < len(data) + 1:
         size = max(len(data) + 1, 1 << 20)
@@ -52,7 +52,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         _powers = np.cumprod(up), np.cumprod(down)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers[0][: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers[1][starts])
+    return sums, _powers[1]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word."""
+    sums, down = prefix_sums(data)
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def windows(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
