@@ -79,17 +79,14 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def patterns(demand: dict[int, int], capacity: int, max_steps: int = 3000) -> list[tuple[int, dict[int, int]]]:
-    """How often each pattern (size -> pieces) is used, so that every piece of `demand` (size -> number) has a place.
+def linear_program(
+    sizes: np.ndarray, need: np.ndarray, capacity: int, max_steps: int = 3000
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The basis (a column per pattern), how much of each column is used, its cost, and the dual price of each size.
 
-    The linear program over patterns is solved by column generation: a knapsack over the dual prices finds the column
-    that improves most, until none does (`max_steps` ends it early with the best plan so far). Counts are rounded down
-    and the few pieces left over are packed first-fit by decreasing size. The work depends on the sizes alone.
+    Column generation: a knapsack over the dual prices finds the pattern that improves most, until none does;
+    `max_steps` ends it early with the best plan so far. The work depends on the number of sizes alone.
     """
-    sizes = np.array(sorted(demand), np.int64)
-    if not len(sizes):
-        return []
-    need = np.array([demand[s] for s in sizes.tolist()], float)
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)  # one pattern of equal pieces for each size
     inverse, cost = np.diag(1 / basis.diagonal()), np.ones(m)
@@ -116,6 +113,19 @@ def patterns(demand: dict[int, int], capacity: int, max_steps: int = 3000) -> li
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
         basis[:, out], cost[out] = column, own
+    return basis, amount, cost, cost @ inverse
+
+
+def patterns(demand: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """How often each pattern (size -> pieces) is used, so that every piece of `demand` (size -> number) has a place.
+
+    The counts of the linear program are rounded down; the few pieces left over are packed first-fit by decreasing size.
+    """
+    sizes = np.array(sorted(demand), np.int64)
+    if not len(sizes):
+        return []
+    need = np.array([demand[s] for s in sizes.tolist()], float)
+    basis, amount, cost, _ = linear_program(sizes, need, capacity)
     plan: list[tuple[int, dict[int, int]]] = []
     left = need.astype(np.int64)
     for k in np.argsort(-amount, kind="stable").tolist():
