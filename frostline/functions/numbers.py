@@ -14,8 +14,8 @@ FIXED_UNITS = 1_000_000
 
 
 def fixed_point(value: Column) -> Column:
-    """DOUBLE degrees to BIGINT millionths of a degree."""
-    return F.round(value * F.lit(float(FIXED_UNITS))).cast("bigint")
+    """DOUBLE degrees to BIGINT millionths of a degree, null if they do not fit."""
+    return F.round(value * F.lit(float(FIXED_UNITS))).try_cast("bigint")
 
 
 def _int_div(numerator: Column, denominator: Column) -> Column:
@@ -23,7 +23,10 @@ def _int_div(numerator: Column, denominator: Column) -> Column:
 
 
 def divide_rounded(numerator: Column, denominator: Column) -> Column:
-    """Integer quotient rounded to nearest, ties away from zero. The denominator must be positive."""
+    """Integer quotient rounded to nearest, ties away from zero, as BIGINT. The denominator must be positive.
+
+    Both may be BIGINT or whole DECIMAL; a decimal numerator keeps the doubled value from overflowing.
+    """
     quotient = _int_div(F.abs(numerator) * 2 + denominator, denominator * 2)
     return F.when(numerator < 0, -quotient).otherwise(quotient)
 

@@ -9,8 +9,8 @@ from frostline.config import MICROS
 
 
 def epoch_micros(seconds: Column) -> Column:
-    """DOUBLE epoch seconds to BIGINT microseconds."""
-    return F.round(seconds * F.lit(float(MICROS))).cast("bigint")
+    """DOUBLE epoch seconds to BIGINT microseconds, null if they do not fit."""
+    return F.round(seconds * F.lit(float(MICROS))).try_cast("bigint")
 
 
 def micros_to_seconds(micros: Column) -> Column:

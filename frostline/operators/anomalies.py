@@ -47,34 +47,34 @@ def describe(
     return (
         F.when(
             alert_type == "COMPRESSOR_FAILURE",
-            F.concat(F.lit("Compressor FAULT detected on vehicle "), truck_id),
+            F.concat(F.lit("Truck reports a compressor fault: "), truck_id),
         )
         .when(
             alert_type == "HIGH_TEMPERATURE",
             F.concat(
-                F.lit("High thermal excursion on vehicle "),
+                F.lit("Too warm on truck "),
                 truck_id,
                 F.lit(": "),
                 temperature.cast("string"),
-                F.lit(f" exceeds limit {cfg.safe_temp_max}"),
+                F.lit(f" is over {cfg.safe_temp_max}"),
             ),
         )
         .when(
             alert_type == "LOW_TEMPERATURE",
             F.concat(
-                F.lit("Low thermal excursion on vehicle "),
+                F.lit("Too cold on truck "),
                 truck_id,
                 F.lit(": "),
                 temperature.cast("string"),
-                F.lit(f" is below limit {cfg.safe_temp_min}"),
+                F.lit(f" is under {cfg.safe_temp_min}"),
             ),
         )
         .when(
             alert_type == "RAPID_THERMAL_RISE",
             F.concat(
-                F.lit("Rapid thermal rise on vehicle "),
+                F.lit("Warming fast on truck "),
                 truck_id,
-                F.format_string(f": %.2f exceeds tolerance {cfg.spike_tolerance}", rise),
+                F.format_string(f": %.2f degrees, allowed are {cfg.spike_tolerance}", rise),
             ),
         )
     )
@@ -120,12 +120,8 @@ def _run_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def sustained_runs(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Every reading above the threshold with the start of its uninterrupted run and the run's age in seconds.
-
-    A run starts at the first reading above the threshold and ends at the first one at or below it, in arrival
-    order. Age is measured in event time, whole seconds, never negative.
-    """
+def _with_runs(telemetry: DataFrame, cfg: Settings) -> DataFrame:
+    """Every reading with `hot` and, for those above the threshold, the start of its uninterrupted run."""
     hot = F.col("temperature") > F.lit(cfg.sustained_threshold)
     split = split_hot_keys(telemetry.withColumn("hot", hot), TRUCK, ORDER, cfg.chunk_rows)
 
@@ -143,10 +139,21 @@ def sustained_runs(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFram
         .where(F.col("event_us").isNotNull())
         .select(*TRUCK, CHUNK, "event_us", F.lit(True).alias("hot"))
     )
+    return drop_carry(_run_columns(with_carry(split, chunk_runs)))
+
+
+def sustained_runs(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Every reading above the threshold with the start of its uninterrupted run and the run's age in seconds.
+
+    A run starts at the first reading above the threshold and ends at the first one at or below it, in arrival
+    order. Age is measured in event time, whole seconds, never negative. Other columns, such as a position, are kept.
+    """
+    runs = _with_runs(telemetry, cfg).where("hot")
+    return runs.select(*telemetry.columns, "started_us", _age().alias("duration_seconds"))
+
 
-    runs = drop_carry(_run_columns(with_carry(split, chunk_runs)), ORDER).where("hot")
-    age = F.greatest(F.lit(0).cast("bigint"), _whole_seconds(F.col("event_us") - F.col("started_us")))
-    return runs.select(*telemetry.columns, "started_us", age.alias("duration_seconds"))
+def _age() -> Column:
+    return F.greatest(F.lit(0).cast("bigint"), _whole_seconds(F.col("event_us") - F.col("started_us")))
 
 
 def _whole_seconds(micros: Column) -> Column:
@@ -158,31 +165,27 @@ def sustained_alerts(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFr
     return sustained_runs(telemetry, cfg).where(F.col("duration_seconds") >= cfg.sustained_seconds)
 
 
-def active_temperature_alerts(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """The open run of every truck whose newest reading is above the threshold, fired or not.
+POSITION = ("latitude", "longitude")
 
-    Two small aggregates instead of an ordered pass: where the last reset was, then what came after it. No
-    reading is shuffled, only partial aggregates are, and both joins are per truck.
+
+def latest_readings(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """The newest reading of every truck: `hot`, temperature, start and age of its run, position if readings have one.
+
+    One scan. A truck of any size is read in chunks, each of which gives its newest reading to a partial maximum.
     """
-    hot = F.col("temperature") > F.lit(cfg.sustained_threshold)
-    last_reset = telemetry.groupBy(*TRUCK).agg(F.max(F.when(~hot, F.col(ORDER))).alias("last_reset"))
-    open_runs = (
-        telemetry.where(hot)
-        .join(last_reset, TRUCK)
-        .where(F.col("last_reset").isNull() | (F.col(ORDER) > F.col("last_reset")))
-        .groupBy(*TRUCK)
-        .agg(
-            F.min_by("event_us", ORDER).alias("started_us"),
-            F.max_by(F.struct("temperature", "event_us"), ORDER).alias("latest"),
-        )
-    )
-    return open_runs.select(
+    wanted = ["hot", "temperature", "event_us", "started_us", *(c for c in POSITION if c in telemetry.columns)]
+    newest = _with_runs(telemetry, cfg).groupBy(*TRUCK).agg(F.max_by(F.struct(*wanted), ORDER).alias("latest"))
+    return newest.select(*TRUCK, "latest.*").withColumn("duration_seconds", _age())
+
+
+def active_temperature_alerts(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """The open run of every truck whose newest reading is above the threshold, fired or not."""
+    return latest_readings(telemetry, cfg).where("hot").select(
         *TRUCK,
-        F.col("latest.temperature").alias("temperature"),
+        "temperature",
         F.lit(cfg.sustained_threshold).alias("threshold"),
         F.lit("TRIGGERED").alias("status"),
         micros_to_seconds(F.col("started_us")).alias("started_at"),
-        F.greatest(F.lit(0).cast("bigint"), _whole_seconds(F.col("latest.event_us") - F.col("started_us"))).alias(
-            "duration_seconds"
-        ),
+        "duration_seconds",
+        *(c for c in POSITION if c in telemetry.columns),
     )

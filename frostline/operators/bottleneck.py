@@ -17,6 +17,7 @@ from frostline.operators.ordered import (
     after_here,
     before_chunk,
     hot_rows,
+    is_real,
     split_hot_keys,
     through_chunk,
     up_to_here,
@@ -110,7 +111,7 @@ def bottleneck_alerts(tests: DataFrame, cfg: Settings = Settings()) -> DataFrame
     reached = F.lit(False)
     for k in KINDS:
         reached = reached | ((F.col("alert_type") == k) & (F.col(f"n_{k}") == limit))
-    raised = counted.where(F.col(ORDER).isNotNull() & reached)
+    raised = counted.where(is_real() & reached)
     return raised.select(
         F.concat_ws(":", "node_id", "alert_type", ORDER).alias("id"),
         "alert_type",
@@ -129,8 +130,12 @@ def bottleneck_alerts(tests: DataFrame, cfg: Settings = Settings()) -> DataFrame
 def alert_state(alerts: DataFrame, transitions: DataFrame) -> DataFrame:
     """Alerts with the transitions applied: `transitions(id, seq, status, at_us)` in `seq` order per alert.
 
-    RESOLVED is final, so only transitions up to the first one count. A repeated acknowledgement moves its time.
+    RESOLVED is final, so only transitions up to the first one count. A repeated acknowledgement moves its time. Alerts
+    of `bottleneck_alerts` may come resolved by a clean test: the earlier of both resolutions holds, and an
+    acknowledgement counts only before it.
     """
+    by_rule = F.col("by_rule_us") if "resolved_us" in alerts.columns else F.lit(None).cast("bigint")
+    alerts = alerts.withColumnRenamed("resolved_us", "by_rule_us").drop("status", "acknowledged_us")
     resolved = transitions.groupBy("id").agg(
         F.min(F.when(F.col("status") == "RESOLVED", F.col("seq"))).alias("resolved_seq"),
         F.min_by("at_us", F.when(F.col("status") == "RESOLVED", F.col("seq"))).alias("resolved_us"),
@@ -145,6 +150,12 @@ def alert_state(alerts: DataFrame, transitions: DataFrame) -> DataFrame:
     return (
         alerts.join(acknowledged, "id", "left")
         .join(resolved.select("id", "resolved_us"), "id", "left")
+        .withColumn("resolved_us", F.least("resolved_us", by_rule))
+        .withColumn(
+            "acknowledged_us",
+            F.when(by_rule.isNull() | (F.col("acknowledged_us") < by_rule), F.col("acknowledged_us")),
+        )
+        .drop("by_rule_us")
         .withColumn(
             "status",
             F.when(F.col("resolved_us").isNotNull(), "RESOLVED")

@@ -1,8 +1,9 @@
 """Telemetry contract: parse, validate, default, reject and normalize raw payloads.
 
 Payloads stay opaque bytes until here. Each is parsed once; every field is then typed with the lax rules of the
-contract (numeric text is a number, 1 or "true" is a boolean, but a number is never an
-identifier). All problems of a record are collected in `errors`; a record is valid when there are none.
+contract: numeric text is a number, but a word is not; 1 or "true" is a boolean, but "1.0" is not; a number is never
+an identifier. Times and temperatures must fit the engine's integers (microseconds and millionths of a degree); a time
+must be positive and before the year 2286, a temperature within MAX_DEGREES. All problems of a record are collected in `errors`; a record is valid when there are none.
 """
 
 from __future__ import annotations
@@ -24,20 +25,23 @@ class Field:
     required: bool = False
     low: float | None = None
     high: float | None = None
+    above: float | None = None  # exclusive lower bound
     choices: tuple[str, ...] = ()
 
 
 # Field names, defaults and ranges of the raw telemetry contract.
+MAX_SECONDS = 9_999_999_999.0
+MAX_DEGREES = 1_000_000.0
 COMPRESSOR_STATES = ("RUNNING", "DEFROST", "OFF", "FAULT")
 RAW_FIELDS = (
     Field("event_id", "text"),
-    Field("timestamp", "number"),
+    Field("timestamp", "number", above=0.0, high=MAX_SECONDS),
     Field("customer_id", "id", required=True),
     Field("truck_id", "id", required=True),
     Field("route_id", "text", default="route_default"),
-    Field("temperature", "number", required=True),
-    Field("target_temp", "number", default=-18.0),
-    Field("ambient_temp", "number", default=25.0),
+    Field("temperature", "number", required=True, low=-MAX_DEGREES, high=MAX_DEGREES),
+    Field("target_temp", "number", default=-18.0, low=-MAX_DEGREES, high=MAX_DEGREES),
+    Field("ambient_temp", "number", default=25.0, low=-MAX_DEGREES, high=MAX_DEGREES),
     Field("compressor_status", "choice", default="RUNNING", choices=COMPRESSOR_STATES),
     Field("door_open", "flag", default=False),
     Field("battery_level", "number", default=98.5, low=0.0, high=100.0),
@@ -45,16 +49,16 @@ RAW_FIELDS = (
     Field("longitude", "number", default=-122.4194, low=-180.0, high=180.0),
     Field("speed_kmh", "number", default=65.0, low=0.0),
 )
-TRUE_WORDS = ("true", "1", "1.0", "t", "y", "yes", "on")
-FALSE_WORDS = ("false", "0", "0.0", "f", "n", "no", "off")
+TRUE_WORDS = ("true", "1", "t", "y", "yes", "on")
+FALSE_WORDS = ("false", "0", "f", "n", "no", "off")
+NUMBER_TEXT = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 RAW_COLUMNS = [f.name for f in RAW_FIELDS]
 NORMALIZED_NAMES = {"target_temp": "target_temperature", "ambient_temp": "ambient_temperature"}
 
 
-# Identifiers and free text must be JSON strings, so their JSON type is kept by reading them as VARIANT. For the
-# other kinds the text of the value decides, whether it was quoted or not.
-_STRICT = ("text", "id")
+# Where the JSON type decides, fields are read as VARIANT; only for a choice the text alone does.
+_STRICT = ("text", "id", "number", "flag")
 _CORRUPT = "_corrupt"
 _RECORD = ", ".join(f"{f.name} {'VARIANT' if f.kind in _STRICT else 'STRING'}" for f in RAW_FIELDS)
 _JSON_OPTIONS = {"columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
@@ -67,20 +71,26 @@ def _text(value: Column) -> Column:
 
 def _typed(field: Field, value: Column) -> Column:
     """Value under the lax typing rules, null when it does not fit."""
-    if field.kind in _STRICT:
-        text = _text(value)
-        if field.kind == "text":
-            return text
-        trimmed = trim_blank(text)
-        return F.when(F.length(trimmed) > 0, trimmed)
     if field.kind == "choice":
         return F.when(value.isin(*field.choices), value)
-    word = F.lower(F.trim(value))
+    text = _text(value)
+    if field.kind == "text":
+        return text
+    if field.kind == "id":
+        trimmed = trim_blank(text)
+        return F.when(F.length(trimmed) > 0, trimmed)
+    given = F.schema_of_variant(value)
+    is_flag, is_text = given == "BOOLEAN", given == "STRING"
+    word = F.trim(text)
+    truth = F.when(is_flag, F.try_variant_get(value, "$", "boolean"))
+    number = F.when(~is_flag & ~is_text, F.try_variant_get(value, "$", "double"))
     if field.kind == "flag":
-        return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
-    # The cast accepts a type suffix ("2.5d") that the contract does not.
-    number = F.when(~F.right(word, F.lit(1)).isin("d", "f"), word.try_cast("double"))
-    return F.when(word == "true", 1.0).when(word == "false", 0.0).when(F.abs(number) < float("inf"), number)
+        low = F.lower(word)
+        said = F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False)
+        return F.when(is_flag, truth).when(is_text, said).when(number == 1, True).when(number == 0, False)
+    read = F.when(is_flag, truth.cast("double")).when(is_text, F.when(word.rlike(NUMBER_TEXT), word.try_cast("double")))
+    read = F.coalesce(read, number)
+    return F.when(F.abs(read) < float("inf"), read)
 
 
 def _problem(field: Field, value: Column, absent: Column) -> Column:
@@ -93,6 +103,8 @@ def _problem(field: Field, value: Column, absent: Column) -> Column:
     problem = F.when(absent, missing).when(value.isNull(), message(f"not a valid {field.kind}"))
     if field.low is not None:
         problem = problem.when(value < field.low, message(f"below {field.low}"))
+    if field.above is not None:
+        problem = problem.when(value <= field.above, message(f"not above {field.above}"))
     if field.high is not None:
         problem = problem.when(value > field.high, message(f"above {field.high}"))
     return problem

@@ -9,8 +9,8 @@ large share of the data. Here:
 * each hot chunk is reduced to a small summary, the summaries are scanned in order, and what a chunk
   must know about the rows before it comes back as *carry rows* placed ahead of its own rows.
 
-The windows then run per (key, chunk). Carry rows have a null order column, so they sort first, and are
-dropped from the result. When no key is hot the summary branches are empty and adaptive execution removes
+The windows then run per (key, chunk). Carry rows are marked by a column of their own and have a null order column, so
+they sort first; they are dropped from the result. A real row without an order value sorts after them and is kept. When no key is hot the summary branches are empty and adaptive execution removes
 them from the plan.
 
 The order column must be a unique integer within the key, such as a log offset.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 CHUNK = "chunk"
 _HOT = "in_hot_key"
+_CARRY = "is_carry"
 
 
 def find_hot_keys(rows: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
@@ -44,7 +45,9 @@ def split_hot_keys(
 ) -> DataFrame:
     """Add `chunk`: 0 for ordinary keys, order div chunk_rows for hot ones."""
     hot = find_hot_keys(rows, keys, chunk_rows) if hot is None else hot
-    chunk = F.when(F.col(_HOT), F.floor(F.col(order) / F.lit(chunk_rows))).otherwise(F.lit(0)).cast("bigint")
+    # Rows without an order value go before all others, to the first chunk.
+    place = F.coalesce(F.floor(F.col(order) / F.lit(chunk_rows)), F.lit(0))
+    chunk = F.when(F.col(_HOT), place).otherwise(F.lit(0)).cast("bigint")
     return rows.join(F.broadcast(hot), keys, "left").withColumn(CHUNK, chunk)
 
 
@@ -62,14 +65,19 @@ def hot_rows(split: DataFrame) -> DataFrame:
 
 def with_carry(split: DataFrame, *carry: DataFrame) -> DataFrame:
     """Put carry rows next to the rows they precede. Columns a side lacks are null."""
-    out = split.drop(_HOT)
+    out = split.drop(_HOT).withColumn(_CARRY, F.lit(False))
     for rows in carry:
-        out = out.unionByName(rows.drop(_HOT), allowMissingColumns=True)
+        out = out.unionByName(rows.drop(_HOT).withColumn(_CARRY, F.lit(True)), allowMissingColumns=True)
     return out
 
 
-def drop_carry(rows: DataFrame, order: str) -> DataFrame:
-    return rows.where(F.col(order).isNotNull()).drop(CHUNK)
+def is_real() -> Column:
+    """Rows of the input, not carry rows."""
+    return ~F.col(_CARRY)
+
+
+def drop_carry(rows: DataFrame) -> DataFrame:
+    return rows.where(is_real()).drop(CHUNK, _CARRY)
 
 
 def before_chunk(keys: list[str]) -> WindowSpec:
@@ -86,35 +94,52 @@ def after_chunk(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _in_chunk(keys: list[str], order: str | Column) -> WindowSpec:
-    return Window.partitionBy(*keys, CHUNK).orderBy(order)
+def _in_chunk(keys: list[str], *order: Column) -> WindowSpec:
+    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+
+
+def _forward(order: str) -> list[Column]:
+    return [F.col(_CARRY).desc(), F.col(order).asc_nulls_first()]
 
 
 def up_to_here(keys: list[str], order: str) -> WindowSpec:
-    return _in_chunk(keys, F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return _in_chunk(keys, *_forward(order)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def before_here(keys: list[str], order: str) -> WindowSpec:
-    return _in_chunk(keys, F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return _in_chunk(keys, *_forward(order)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def after_here(keys: list[str], order: str) -> WindowSpec:
     """Later rows, nearest first; trailing carry rows (null order) come first so they are 'furthest back'."""
-    return _in_chunk(keys, F.col(order).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.col(_CARRY).desc(), F.col(order).desc_nulls_last()]
+    return _in_chunk(keys, *last).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_totals(
-    rows: DataFrame, keys: list[str], order: str, totals: dict[str, str], chunk_rows: int
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    totals: dict[str, str],
+    chunk_rows: int,
+    whole: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add cumulative sums (`totals`: source column -> new column) in order within each key, of any size."""
+    """Add cumulative sums (`totals`: source column -> new column) in order within each key, of any size.
+
+    `whole` adds the sum over the complete key in the same way, without gathering the key.
+    """
+    whole = whole or {}
     split = split_hot_keys(rows, keys, order, chunk_rows)
-    carried = (
-        hot_rows(split)
-        .groupBy(*keys, CHUNK)
-        .agg(*[F.sum(c).alias(c) for c in totals])
-        .select(*keys, CHUNK, *[F.sum(c).over(before_chunk(keys)).alias(c) for c in totals])
-        .where(F.coalesce(*[F.col(c) for c in totals]).isNotNull())
+    sums = hot_rows(split).groupBy(*keys, CHUNK).agg(*[F.sum(c).alias(c) for c in {**totals, **whole}])
+    carried = sums.select(
+        *keys,
+        CHUNK,
+        *[F.sum(c).over(before_chunk(keys)).alias(c) for c in {**totals, **whole}],
+        *[F.sum(c).over(after_chunk(keys)).alias(f"after_{new}") for c, new in whole.items()],
     )
-    here = up_to_here(keys, order)
-    summed = with_carry(split, carried).withColumns({new: F.sum(c).over(here) for c, new in totals.items()})
-    return drop_carry(summed, order)
+    here, chunk = up_to_here(keys, order), Window.partitionBy(*keys, CHUNK)
+    summed = with_carry(split, carried)
+    added = {new: F.sum(c).over(here) for c, new in totals.items()}
+    for c, new in whole.items():
+        added[new] = F.sum(c).over(chunk) + F.coalesce(F.max(f"after_{new}").over(chunk), F.lit(0))
+    return drop_carry(summed.withColumns(added)).drop(*[f"after_{new}" for new in whole.values()])

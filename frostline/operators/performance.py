@@ -24,16 +24,15 @@ def latency_percentiles(
 ) -> DataFrame:
     """Exact percentiles per run with linear interpolation at rank (n - 1) * p / 100.
 
-    Samples are first counted per distinct value on the map side, so equal latencies cost one row. The ranks come
-    from running totals over the distinct values, which split a run with very many of them (ordered.py). Nothing
-    is collected per group, unlike in the built-in percentile aggregate.
+    Samples without a latency count as none. The others are first counted per distinct value on the map side, so equal
+    latencies cost one row. The ranks and the size of a run come from running totals over the distinct values, which
+    split a run with very many of them (ordered.py), and each part picks its own ranks before parts meet.
     """
-    values = samples.groupBy(*by, fixed_point(F.col("latency_ms")).alias("value")).agg(
+    timed = samples.where(F.col("latency_ms").isNotNull())
+    values = timed.groupBy(*by, fixed_point(F.col("latency_ms")).alias("value")).agg(
         F.count(F.lit(1)).alias("copies")
     )
-    ranked = running_totals(values, by, "value", {"copies": "through"}, cfg.chunk_rows)
-    sizes = values.groupBy(*by).agg(F.sum("copies").alias("n"))
-    placed = ranked.join(sizes, by)
+    placed = running_totals(values, by, "value", {"copies": "through"}, cfg.chunk_rows, {"copies": "n"})
 
     # Value at a zero-based rank: the distinct value whose copies cover that rank.
     def at(rank: Column) -> Column:
@@ -58,26 +57,31 @@ def latency_percentiles(
 
 
 def throughput_summary(samples: DataFrame, by: list[str], cfg: Settings = Settings()) -> DataFrame:
-    """One row per run: processed, errors, rate, mean and tail latency, failure rate."""
+    """One row per run: processed, errors, rate, mean and tail latency, failure rate.
+
+    A sample without a latency counts as processed or failed, but not in the latencies; a run with none has null ones.
+    Sums are exact decimals, so that they hold for any number of samples.
+    """
     base = samples.groupBy(*by).agg(
         F.count_if(~F.col("failed")).alias("processed"),
         F.count_if("failed").alias("error_count"),
-        F.sum(fixed_point(F.col("latency_ms"))).alias("total"),
+        F.count(F.lit(1)).alias("all_samples"),
+        F.sum(fixed_point(F.col("latency_ms")).cast("decimal(20,0)")).alias("total"),
         F.min("event_us").alias("started_us"),
         F.max("event_us").alias("completed_us"),
     )
     tails = latency_percentiles(samples, by, (95, 99), 3, cfg)
     elapsed_us = F.greatest(F.col("completed_us") - F.col("started_us"), F.lit(MICROS // 1000))
-    return base.join(tails, by).select(
+    return base.join(tails, by, "left").select(
         *by,
         "processed",
         "error_count",
         ratio(elapsed_us, F.lit(MICROS), 3).alias("duration_seconds"),
-        ratio(F.col("processed") * MICROS, elapsed_us, 2).alias("actual_rate"),
+        ratio(F.col("processed").cast("decimal(20,0)") * MICROS, elapsed_us, 2).alias("actual_rate"),
         mean_from_fixed(F.col("total"), F.col("samples"), 3).alias("average_latency_ms"),
         F.col("p95").alias("p95_latency_ms"),
         F.col("p99").alias("p99_latency_ms"),
-        ratio(F.col("error_count"), F.col("samples"), 6).alias("failure_rate"),
+        ratio(F.col("error_count").cast("decimal(20,0)"), F.col("all_samples"), 6).alias("failure_rate"),
         "started_us",
         "completed_us",
         F.lit("COMPLETED").alias("status"),

@@ -12,7 +12,7 @@ def missing_events(sent: DataFrame, received: DataFrame, key: str = "event_id")
 
 
 def roundtrip_counts(sent: DataFrame, received: DataFrame, key: str = "event_id") -> DataFrame:
-    """One row: how many were sent, received, and lost. Both sides are reduced per key before they meet."""
+    """One row: how many were sent, received, lost, and received too often. Both sides are reduced per key before they meet."""
     both = (
         sent.select(key, F.lit(1).alias("s"), F.lit(0).alias("r"))
         .unionByName(received.select(key, F.lit(0).alias("s"), F.lit(1).alias("r")))
@@ -22,6 +22,7 @@ def roundtrip_counts(sent: DataFrame, received: DataFrame, key: str = "event_id"
     total = both.agg(
         F.coalesce(F.sum("s"), F.lit(0)).alias("produced"),
         F.coalesce(F.sum("r"), F.lit(0)).alias("consumed"),
-        F.coalesce(F.sum(F.when(F.col("r") == 0, F.col("s"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.greatest(F.col("s") - F.col("r"), F.lit(0))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.greatest(F.col("r") - F.col("s"), F.lit(0))), F.lit(0)).alias("duplicated"),
     )
-    return total.withColumn("complete", F.col("produced") == F.col("consumed"))
+    return total.withColumn("complete", (F.col("missing") == 0) & (F.col("duplicated") == 0))

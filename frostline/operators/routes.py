@@ -62,8 +62,7 @@ def route_distance(points: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     legs = drop_carry(
         with_carry(split, last_points).withColumns(
             {"lat0": F.last("lat").over(previous), "lng0": F.last("lng").over(previous)}
-        ),
-        "seq",
+        )
     )
     km = haversine_km(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng"))
     return legs.groupBy(*key).agg(

@@ -25,6 +25,7 @@ from frostline.operators.ordered import (
     drop_carry,
     find_hot_keys,
     hot_rows,
+    is_real,
     seed_chunks,
     split_hot_keys,
     up_to_here,
@@ -66,7 +67,7 @@ def _watermark_carry(split: DataFrame, seeds: DataFrame | None = None) -> DataFr
 def judge_lateness(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Add `max_event_us`, `late`, `own_window_us`, `head_window_us` to every reading."""
     split = split_hot_keys(telemetry, TRUCK, ORDER, cfg.chunk_rows)
-    return drop_carry(_judge(with_carry(split, _watermark_carry(split)), cfg), ORDER)
+    return drop_carry(_judge(with_carry(split, _watermark_carry(split)), cfg))
 
 
 def late_events(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -128,7 +129,7 @@ def _report(judged: DataFrame) -> DataFrame:
 
     A late reading adds nothing and reports the head window. A carry row adds what earlier chunks left behind.
     """
-    real = F.col(ORDER).isNotNull()
+    real = is_real()
     own = real & ~F.col("late")
     head = own & (F.col("own_window_us") == F.col("head_window_us"))
 
@@ -223,7 +224,7 @@ def arrival_states(
     )
     seeds = seed_chunks(carried, TRUCK, hot_keys) if carried is not None else None
     watermark = _watermark_carry(split, seeds)
-    hot = _report(_judge(with_carry(hot_rows(split), watermark), cfg)).where(F.col(ORDER).isNotNull())
+    hot = _report(_judge(with_carry(hot_rows(split), watermark), cfg)).where(is_real())
     carry = [watermark, _window_carry(hot, seeds), _head_carry(hot, seeds)]
     if seeds is not None:
         carry.append(seeds.where(F.col(CHUNK) == 0))
@@ -249,7 +250,7 @@ def arrival_states(
             }
         )
     )
-    return drop_carry(stated, ORDER).select(
+    return drop_carry(stated).select(
         *telemetry.columns,
         "max_event_us",
         "late",

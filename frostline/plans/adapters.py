@@ -88,12 +88,12 @@ def vehicles_from_events(events: DataFrame) -> DataFrame:
     rows = events.select("user_id").distinct()
     return rows.select(
         F.concat(F.lit("truck-"), user.cast("string")).alias("id"),
-        F.when(user % 2 == 0, "2026-09-19").otherwise("2026-09-18").alias("telemetry_date"),
-        F.when(user % 3 == 0, "Hudson Cold Chain")
-        .when(user % 3 == 1, "Midtown Express")
-        .otherwise("Queens Transfer")
+        F.when(user % 2 == 0, "2024-03-05").otherwise("2024-03-04").alias("telemetry_date"),
+        F.when(user % 3 == 0, "Coastal Loop")
+        .when(user % 3 == 1, "Ridge Shuttle")
+        .otherwise("Valley Relay")
         .alias("route_name"),
-        F.when(user % 3 == 0, "Refrigerated").when(user % 3 == 1, "Frozen Goods").otherwise("Produce").alias("truck_type"),
+        F.when(user % 3 == 0, "Chilled").when(user % 3 == 1, "Deep Frozen").otherwise("Fresh").alias("truck_type"),
         F.concat(F.lit("Truck "), user.cast("string")).alias("name"),
         (F.lit(40) + user % 30).cast("int").alias("speed"),
         F.when(user % 3 == 0, "delayed").otherwise("moving").alias("status"),
@@ -216,7 +216,7 @@ def fleet_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     trucks = customer.select(
         F.col("c_custkey").alias("truck_id"),
         F.col("c_nationkey").cast("bigint").alias("owner_id"),
-        F.concat(F.lit("NYC-"), F.col("c_custkey").cast("string")).alias("plate_number"),
+        F.concat(F.lit("FL-"), F.col("c_custkey").cast("string")).alias("plate_number"),
         F.initcap("c_mktsegment").alias("make"),
         (F.lit(100) + F.col("c_custkey") % 9).cast("string").alias("model"),
     )

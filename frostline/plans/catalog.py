@@ -367,7 +367,7 @@ def trip_fact(spark, sf):
 
 @query
 def plate_history(spark, sf):
-    return fleet.plate_history(_fact(spark, sf), " nyc-71 ")
+    return fleet.plate_history(_fact(spark, sf), " fl-71 ")
 
 
 @query
@@ -416,7 +416,7 @@ def first_trips(spark, sf):
 
 @query
 def route_filter(spark, sf):
-    found = routes.route_filter(_vehicles(spark, sf), None, "2026-09-19", "hudson cold CHAIN", "REFRIGERATED")
+    found = routes.route_filter(_vehicles(spark, sf), None, "2024-03-05", "coastal LOOP", "CHILLED")
     return found.select("id", "telemetry_date", "route_name", "truck_type", "speed")
 
 

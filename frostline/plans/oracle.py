@@ -164,10 +164,10 @@ relation(
            case when kind = 'COMPRESSOR_FAILURE' then 'CRITICAL' else 'WARNING' end as severity, kind as alert_type,
            temperature as trigger_temperature, target_temperature, -10.0::double as threshold_limit, compressor_status,
            event_us::double / 1000000.0::double as timestamp,
-           case kind when 'COMPRESSOR_FAILURE' then 'Compressor FAULT detected on vehicle ' || truck_id
-             when 'HIGH_TEMPERATURE' then 'High thermal excursion on vehicle ' || truck_id || ': ' || temperature || ' exceeds limit -10.0'
-             when 'LOW_TEMPERATURE' then 'Low thermal excursion on vehicle ' || truck_id || ': ' || temperature || ' is below limit -25.0'
-             else 'Rapid thermal rise on vehicle ' || truck_id || ': ' || printf('%.2f', temperature - prev) || ' exceeds tolerance 3.0' end as message,
+           case kind when 'COMPRESSOR_FAILURE' then 'Truck reports a compressor fault: ' || truck_id
+             when 'HIGH_TEMPERATURE' then 'Too warm on truck ' || truck_id || ': ' || temperature || ' is over -10.0'
+             when 'LOW_TEMPERATURE' then 'Too cold on truck ' || truck_id || ': ' || temperature || ' is under -25.0'
+             else 'Warming fast on truck ' || truck_id || ': ' || printf('%.2f', temperature - prev) || ' degrees, allowed are 3.0' end as message,
            false as acknowledged
     from (select *, case when compressor_status = 'FAULT' then 'COMPRESSOR_FAILURE'
                          when temperature > -10 then 'HIGH_TEMPERATURE' when temperature < -25 then 'LOW_TEMPERATURE'
@@ -286,7 +286,7 @@ oracle(
 oracle(
     "roundtrip_reconcile",
     """select (select count(*) from tel) as produced, (select count(*) from kept) as consumed,
-    (select count(*) from tel) - (select count(*) from kept) as missing,
+    (select count(*) from tel) - (select count(*) from kept) as missing, 0::bigint as duplicated,
     (select count(*) from tel) = (select count(*) from kept) as complete""",
     "tel",
     "kept",
@@ -558,7 +558,7 @@ relation(
 relation(
     "fact",
     """
-    select trip_id, 'NYC-' || truck_id as plate_number,
+    select trip_id, 'FL-' || truck_id as plate_number,
       upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' ' || (100 + truck_id % 9) as vehicle,
       n_name || ' Logistics' as owner, 'Driver ' || s_suppkey as driver,
       case when s_suppkey % 5 = 0 then 'Off duty' else 'On duty' end as driver_status,
@@ -572,7 +572,7 @@ oracle(
     """select plate_number as plate, vehicle, owner, driver, driver_status, max(actual_start_time) over () as last_seen,
     trip_id, substr(actual_start_time, 1, 10) as date, origin || ' - ' || destination as route,
     case trip_status when 'completed' then 'Completed' when 'in_transit' then 'In Transit' else 'Scheduled' end as status,
-    distance_km::bigint || ' km' as distance from fact where plate_number = 'NYC-71'""",
+    distance_km::bigint || ' km' as distance from fact where plate_number = 'FL-71'""",
     "fact",
 )
 oracle(
@@ -589,9 +589,9 @@ oracle(
 relation(
     "vehicles",
     """
-    select user_id as u, 'truck-' || user_id as id, case when user_id % 2 = 0 then '2026-09-19' else '2026-09-18' end as telemetry_date,
-      ['Hudson Cold Chain', 'Midtown Express', 'Queens Transfer'][user_id % 3 + 1] as route_name,
-      ['Refrigerated', 'Frozen Goods', 'Produce'][user_id % 3 + 1] as truck_type, 'Truck ' || user_id as name,
+    select user_id as u, 'truck-' || user_id as id, case when user_id % 2 = 0 then '2024-03-05' else '2024-03-04' end as telemetry_date,
+      ['Coastal Loop', 'Ridge Shuttle', 'Valley Relay'][user_id % 3 + 1] as route_name,
+      ['Chilled', 'Deep Frozen', 'Fresh'][user_id % 3 + 1] as truck_type, 'Truck ' || user_id as name,
       (40 + user_id % 30)::integer as speed, case when user_id % 3 = 0 then 'delayed' else 'moving' end as status,
       40.70::double + (user_id % 70)::double / 1000.0::double as lat,
       -74.03::double + (user_id % 110)::double / 1000.0::double as lng, user_id % 4 + 3 as points
@@ -629,7 +629,7 @@ oracle("first_trips", "select * from trips_v order by trip_id limit 4", "trips_v
 oracle(
     "route_filter",
     """select id, telemetry_date, route_name, truck_type, speed from vehicles
-    where telemetry_date = '2026-09-19' and route_name = 'Hudson Cold Chain' and truck_type = 'Refrigerated'""",
+    where telemetry_date = '2024-03-05' and route_name = 'Coastal Loop' and truck_type = 'Chilled'""",
     "vehicles",
 )
 oracle(

@@ -78,4 +78,4 @@ def decode_payloads(wire: DataFrame) -> DataFrame:
 
 def bounded_read(wire: DataFrame, max_messages: int = 5, order: str = "offset") -> DataFrame:
     """The first `max_messages` decoded messages. The limit is the operation; it runs as a top-k."""
-    return decode_payloads(wire).orderBy(order).limit(max_messages)
+    return decode_payloads(wire.where(F.col("value").isNotNull()).orderBy(order).limit(max_messages))

@@ -20,13 +20,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session for stateful streams: RocksDB state that uploads changes, not whole snapshots, per micro-batch.
 
-    The number of state partitions is fixed at the first start of a query. Unless given, it is the session's number
-    of shuffle partitions, but at most two per core, since every state partition is a store that stays open.
+    The number of state partitions is fixed at the first start of a query and stays with its checkpoint. Unless given,
+    it is the session's number of shuffle partitions.
     """
     session = spark.newSession()
     if state_partitions is None:
-        wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        state_partitions = min(wanted, 2 * spark.sparkContext.defaultParallelism)
+        state_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -53,29 +53,28 @@ def sustained_model(events, threshold=-1000, seconds=30):
             yield seq, started, duration
 
 
+def first_violation(t, p95, failures, ratio):
+    """The kind that counts for a test, and how many limits it breaks."""
+    broken = {
+        "LATENCY_SPIKE": t["p95_latency_ms"] > p95,
+        "ERROR_RATE_SPIKE": t["failure_rate"] > failures,
+        "THROUGHPUT_DROP": t["actual_rate"] < t["target_rate"] * ratio,
+    }
+    return next((kind for kind, is_broken in broken.items() if is_broken), None), sum(broken.values())
+
+
 def bottleneck_model(tests, p95=500.0, failures=0.05, ratio=0.7, needed=2):
-    """tests of one node in order: dicts. Returns raised alerts as (seq, type, severity, resolved_at)."""
-    counts, active, raised = defaultdict(int), set(), []
-    for t in tests:
-        broken = []
-        if t["p95_latency_ms"] > p95:
-            broken.append("LATENCY_SPIKE")
-        if t["failure_rate"] > failures:
-            broken.append("ERROR_RATE_SPIKE")
-        if t["actual_rate"] < t["target_rate"] * ratio:
-            broken.append("THROUGHPUT_DROP")
-        if not broken:
-            for alert in raised:
-                if alert[3] is None:
-                    alert[3] = t["completed_us"]
-            counts.clear()
-            active.clear()
+    """Alerts of one node by the rule's wording: a test raises its kind if, looking back to the last clean test, it is
+    exactly the needed-th of that kind; the next clean test resolves it. Gives (seq, kind, severity, resolved_at)."""
+    kinds = [first_violation(t, p95, failures, ratio) for t in tests]
+    alerts = []
+    for i, (kind, breaches) in enumerate(kinds):
+        since = max((j for j in range(i) if kinds[j][0] is None), default=-1)
+        if kind is None or sum(k == kind for k, _ in kinds[since + 1 : i + 1]) != needed:
             continue
-        counts[broken[0]] += 1
-        if counts[broken[0]] >= needed and broken[0] not in active:
-            active.add(broken[0])
-            raised.append([t["seq"], broken[0], "CRITICAL" if len(broken) > 1 else "HIGH", None])
-    return [tuple(r) for r in raised]
+        cleared = next((t["completed_us"] for t, (k, _) in zip(tests[i:], kinds[i:], strict=True) if k is None), None)
+        alerts.append((tests[i]["seq"], kind, "CRITICAL" if breaches > 1 else "HIGH", cleared))
+    return alerts
 
 
 def lifecycle_model(transitions):

@@ -27,11 +27,11 @@ VECTORS = {
     "json null": (b"null", "ValidationError"),
     "scalar": (b"12345", "ValidationError"),
     "array": (b"[" + body() + b"]", "ValidationError"),
-    "broken": (b"{invalid json}", "ValidationError"),
+    "broken": (b"{truck: 7", "ValidationError"),
     "cut off": (body()[:-1], "ValidationError"),
     "trailing": (body() + b" x", "ValidationError"),
     "single quotes": (b"{'customer_id':'c','truck_id':'t','temperature':1}", "ValidationError"),
-    "missing fields": (b'{"missing":"fields"}', "temperature: required field is missing"),
+    "missing fields": (b'{"speed_kmh":3}', "temperature: required field is missing"),
     "empty id": (body(customer_id=""), "customer_id"),
     "blank id": (body(truck_id=" \t"), "truck_id"),
     "numeric id": (body(customer_id=5), "customer_id"),
@@ -42,6 +42,14 @@ VECTORS = {
     "infinite": (body(temperature=1e999), "temperature"),
     "true as number": (body(temperature=True), None),
     "object": (body(temperature={"a": 1}), "temperature"),
+    "word as number": (body(temperature="true"), "temperature"),
+    "hexadecimal text": (body(temperature="0x1p3"), "temperature"),
+    "exponent text": (body(temperature=" -1.5e1 "), None),
+    "huge temperature": (body(temperature=1e14), "temperature: above"),
+    "time in microseconds": (body(timestamp=1.7e15), "timestamp: above"),
+    "time zero": (body(timestamp=0), "timestamp: not above 0.0"),
+    "door text number": (body(door_open="1.0"), "door_open"),
+    "door number": (body(door_open=0.0), None),
     "text timestamp": (body(timestamp="2026-09-01T00:00:00Z"), "timestamp"),
     "door text": (body(door_open="true"), None),
     "door one": (body(door_open=1), None),
@@ -159,4 +167,7 @@ def test_reconciliation(spark):
     received = spark.createDataFrame([("a",), ("c",)], "event_id STRING")
     assert [r.event_id for r in reconcile.missing_events(sent, received).collect()] == ["b"]
     (row,) = reconcile.roundtrip_counts(sent, received).collect()
-    assert (row.produced, row.consumed, row.missing, row.complete) == (3, 2, 1, False)
+    assert (row.produced, row.consumed, row.missing, row.duplicated, row.complete) == (3, 2, 1, 0, False)
+    twice = spark.createDataFrame([("a",), ("c",), ("c",)], "event_id STRING")
+    (row,) = reconcile.roundtrip_counts(sent, twice).collect()
+    assert (row.produced, row.consumed, row.missing, row.duplicated, row.complete) == (3, 3, 1, 1, False)

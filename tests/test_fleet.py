@@ -9,37 +9,37 @@ AS_OF = 1000.0
 def vehicles(spark):
     path = [(40.70, -74.01), (40.706, -74.02), (40.7128, -74.006), (40.72, -73.99)]
     rows = [
-        ("truck-204", "2026-09-19", "Hudson Cold Chain", "Refrigerated", "Truck 204", 58, "moving", 40.7128, -74.006, path),
-        ("truck-118", "2026-09-19", "Midtown Express", "Refrigerated", "Truck 118", 41, "delayed", 40.75, -73.96, path[:1]),
-        ("truck-7", "2026-09-18", "Queens Transfer", "Produce", "a truck 7", 62, "moving", 40.7, -73.9, []),
+        ("truck-31", "2024-03-05", "Coastal Loop", "Chilled", "Truck 31", 58, "moving", 40.7128, -74.006, path),
+        ("truck-52", "2024-03-05", "Ridge Shuttle", "Chilled", "Truck 52", 41, "delayed", 40.75, -73.96, path[:1]),
+        ("truck-7", "2024-03-04", "Valley Relay", "Fresh", "a truck 7", 62, "moving", 40.7, -73.9, []),
     ]
     return spark.createDataFrame(rows, VEHICLES)
 
 
 def test_route_filter(spark):
-    found = routes.route_filter(vehicles(spark), "TRUCK-204", "2026-09-19", "hudson cold chain", "refrigerated").collect()
-    assert [r.id for r in found] == ["truck-204"]
+    found = routes.route_filter(vehicles(spark), "TRUCK-31", "2024-03-05", "coastal loop", "chilled").collect()
+    assert [r.id for r in found] == ["truck-31"]
     assert routes.route_filter(vehicles(spark)).count() == 3
 
 
 def test_trips_and_lookup(spark):
     trips = routes.trips(vehicles(spark), AS_OF)
-    (trip,) = routes.find_trip(trips, "trip-truck-204").collect()
+    (trip,) = routes.find_trip(trips, "trip-truck-31").collect()
     assert (trip.status, trip.speed_kmh, trip.current_location.lat) == ("IN_PROGRESS", 58, 40.7128)
     assert 3.9 < trip.distance_km < 4.2
     assert routes.find_trip(trips, "trip-missing").count() == 0
-    assert {r.vehicle_id: r.distance_km for r in trips.collect()}["truck-118"] == 0.0
+    assert {r.vehicle_id: r.distance_km for r in trips.collect()}["truck-52"] == 0.0
 
 
 def test_route_points_are_a_minute_apart(spark):
-    points = routes.route_points(vehicles(spark), AS_OF).where("id = 'truck-204'").orderBy("point").collect()
+    points = routes.route_points(vehicles(spark), AS_OF).where("id = 'truck-31'").orderBy("point").collect()
     assert [p.timestamp for p in points] == [820.0, 880.0, 940.0, 1000.0]
 
 
 def test_route_summary_and_kpis(spark):
     summary = routes.route_summary(vehicles(spark))
     got = {r.id: (r.completion, r.thermal_variance, r.eta_minutes, r.alerts) for r in summary.collect()}
-    assert got == {"truck-204": (98, 4.9, 8, 0), "truck-118": (58, 5.1, 24, 2), "truck-7": (76, 5.1, 8, 0)}
+    assert got == {"truck-31": (98, 4.9, 8, 0), "truck-52": (58, 5.1, 24, 2), "truck-7": (76, 5.1, 8, 0)}
     (kpi,) = routes.fleet_kpis(summary).collect()
     assert (kpi.total_trucks, kpi.moving, kpi.delayed, kpi.average_speed, kpi.on_time_percent) == (3, 2, 1, 54, 67)
     (none,) = routes.fleet_kpis(summary.where("id = 'x'")).collect()
@@ -48,13 +48,13 @@ def test_route_summary_and_kpis(spark):
 
 def test_search_and_sort(spark):
     summary = routes.route_summary(vehicles(spark))
-    assert {r.id for r in routes.fleet_search(summary, " TRUCK-1 ").collect()} == {"truck-118"}
-    assert {r.id for r in routes.fleet_search(summary, "", "moving").collect()} == {"truck-204", "truck-7"}
+    assert {r.id for r in routes.fleet_search(summary, " TRUCK-5 ").collect()} == {"truck-52"}
+    assert {r.id for r in routes.fleet_search(summary, "", "moving").collect()} == {"truck-31", "truck-7"}
     order = {by: [r.id for r in routes.fleet_sorted(summary, by).collect()] for by in routes.SORTS}
-    assert order["name"] == ["truck-7", "truck-118", "truck-204"]
-    assert order["speed"] == ["truck-7", "truck-204", "truck-118"]
-    assert order["eta"] == ["truck-204", "truck-7", "truck-118"]
-    assert order["thermal"] == ["truck-118", "truck-7", "truck-204"]
+    assert order["name"] == ["truck-7", "truck-31", "truck-52"]
+    assert order["speed"] == ["truck-7", "truck-31", "truck-52"]
+    assert order["eta"] == ["truck-31", "truck-7", "truck-52"]
+    assert order["thermal"] == ["truck-52", "truck-7", "truck-31"]
 
 
 def test_track_length_does_not_depend_on_chunks(spark):
@@ -67,12 +67,12 @@ def test_track_length_does_not_depend_on_chunks(spark):
 def fleet_data(spark):
     n = None
     return {
-        "owners": spark.createDataFrame([(1, "Northstar Cold Logistics", n, n, n, n, "active", n, n)], OWNERS),
-        "trucks": spark.createDataFrame([(1, 1, "NYC-204", "v", "Volvo", "VNL", 2022, 18.5, "available", 1.0, n, n, n)], TRUCKS),
-        "drivers": spark.createDataFrame([(1, 1, "Maya", "Patel", "L", n, n, n, n, "active", n, n, n)], DRIVERS),
+        "owners": spark.createDataFrame([(1, "Birch Haulage", n, n, n, n, "active", n, n)], OWNERS),
+        "trucks": spark.createDataFrame([(1, 1, "FL-31", "v", "Maker", "M1", 2022, 18.5, "available", 1.0, n, n, n)], TRUCKS),
+        "drivers": spark.createDataFrame([(1, 1, "Ola", "Brandt", "L", n, n, n, n, "active", n, n, n)], DRIVERS),
         "trips": spark.createDataFrame(
             [
-                (i, 1, 1, 1, "Dallas", "Houston", n, 1.0, 48.4 + i, s, n, f"2026-09-1{i} 08:15:00", n, 1.0, 2.0, n, n, n)
+                (i, 1, 1, 1, "Depot One", "Dock Two", n, 1.0, 48.4 + i, s, n, f"2024-03-1{i} 08:15:00", n, 1.0, 2.0, n, n, n)
                 for i, s in [(1, "completed"), (2, "in_transit"), (3, "scheduled")]
             ],
             TRIPS,
@@ -83,14 +83,14 @@ def fleet_data(spark):
 def test_plate_history(spark):
     t = fleet_data(spark)
     fact = fleet.trip_fact(t["trips"], t["trucks"], t["owners"], t["drivers"])
-    rows = fleet.plate_history(fact, " nyc-204 ").collect()
+    rows = fleet.plate_history(fact, " fl-31 ").collect()
     assert [(r.date, r.status, r.distance) for r in rows] == [
-        ("2026-09-13", "Scheduled", "51 km"),
-        ("2026-09-12", "In Transit", "50 km"),
-        ("2026-09-11", "Completed", "49 km"),
+        ("2024-03-13", "Scheduled", "51 km"),
+        ("2024-03-12", "In Transit", "50 km"),
+        ("2024-03-11", "Completed", "49 km"),
     ]
-    assert (rows[0].owner, rows[0].driver, rows[0].last_seen) == ("Northstar Cold Logistics", "Maya Patel", "2026-09-13 08:15:00")
-    assert fleet.plate_history(fact, "NYC-000").count() == 0
+    assert (rows[0].owner, rows[0].driver, rows[0].last_seen) == ("Birch Haulage", "Ola Brandt", "2024-03-13 08:15:00")
+    assert fleet.plate_history(fact, "FL-000").count() == 0
     assert fleet.first_trip(t["trips"]).collect()[0].trip_id == 1
     assert {r.table_name: r.records for r in performance.table_counts(t).collect()} == {"owners": 1, "trucks": 1, "drivers": 1, "trips": 3}
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline.config import Settings
+from frostline.functions import mean_from_fixed, ratio
 from frostline.operators import bottleneck, performance
+from frostline.operators.ordered import running_totals
 from tests.model import bottleneck_model, lifecycle_model, percentile_model
 
 
@@ -22,6 +24,47 @@ def test_percentiles_of_no_samples_are_no_rows(spark):
     assert performance.latency_percentiles(samples(spark, []), ["run"]).collect() == []
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 1_000_000])
+def test_samples_without_latency(spark, chunk_rows):
+    rows = [("r", v, False, i) for i, v in enumerate([1.0, 2.0, 3.0, 4.0, None])]
+    rows += [("r", None, True, 9), ("lost", None, True, 1)]
+    df = spark.createDataFrame(rows, "run STRING, latency_ms DOUBLE, failed BOOLEAN, event_us BIGINT")
+    (row,) = performance.latency_percentiles(df, ["run"], cfg=Settings(chunk_rows=chunk_rows)).collect()
+    assert (row.run, row.samples, row.p50) == ("r", 4, 2.5)
+    got = {r.run: r for r in performance.throughput_summary(df, ["run"], Settings(chunk_rows=chunk_rows)).collect()}
+    assert (got["r"].processed, got["r"].error_count, got["r"].average_latency_ms) == (5, 1, 2.5)
+    assert got["r"].failure_rate == 0.166667 and got["lost"].average_latency_ms is None
+
+
+def test_rates_of_very_long_runs(spark):
+    one = spark.range(1).select(
+        ratio(F.lit(10**11).cast("decimal(20,0)") * 10**6, F.lit(5 * 10**6).cast("bigint"), 2).alias("rate"),
+        mean_from_fixed((F.lit(10**11) * F.lit(150)).cast("decimal(30,0)") * 10**6, F.lit(10**11), 3).alias("mean"),
+    )
+    assert tuple(one.first()) == (2e10, 150.0)
+
+
+@pytest.mark.parametrize("chunk_rows", [2, 1000])
+def test_running_totals_keep_rows_without_order(spark, chunk_rows):
+    rows = [("k", None, 5), ("k", 4, 1), ("k", 1, 2), ("k", 2, 3), ("k", 7, 4), ("other", None, 1)]
+    df = spark.createDataFrame(rows, "key STRING, seq BIGINT, n BIGINT")
+    got = running_totals(df, ["key"], "seq", {"n": "so_far"}, chunk_rows, {"n": "whole"}).collect()
+    assert {(r.key, r.seq): (r.so_far, r.whole) for r in got} == {
+        ("k", None): (5, 15), ("k", 1): (7, 15), ("k", 2): (10, 15), ("k", 4): (11, 15), ("k", 7): (15, 15), ("other", None): (1, 1)
+    }
+
+
+def test_transitions_apply_to_alerts_of_the_rule(spark):
+    rows = [("n", i, i * 10, 900.0 if bad else 1.0, 0.0, 5.0, 1.0) for i, bad in enumerate([1, 1, 1, 0, 1, 1])]
+    columns = "node_id STRING, seq BIGINT, completed_us BIGINT, p95_latency_ms DOUBLE, failure_rate DOUBLE, actual_rate DOUBLE, target_rate DOUBLE"
+    alerts = bottleneck.bottleneck_alerts(spark.createDataFrame(rows, columns))
+    moves = [("n:LATENCY_SPIKE:1", 1, "ACKNOWLEDGED", 15), ("n:LATENCY_SPIKE:1", 2, "RESOLVED", 99), ("n:LATENCY_SPIKE:5", 1, "RESOLVED", 55)]
+    state = bottleneck.alert_state(alerts, spark.createDataFrame(moves, "id STRING, seq BIGINT, status STRING, at_us BIGINT"))
+    got = {r.id: (r.status, r.acknowledged_us, r.resolved_us) for r in state.collect()}
+    assert got == {"n:LATENCY_SPIKE:1": ("RESOLVED", 15, 30), "n:LATENCY_SPIKE:5": ("RESOLVED", None, 55)}
+    assert bottleneck.failure_counters(state, 0).first().resolved_today == 2
+
+
 @pytest.mark.parametrize("chunk_rows", [3, 1_000_000])
 def test_percentiles_match_a_sorted_list(spark, chunk_rows):
     rng = random.Random(4)

@@ -112,7 +112,7 @@ def test_alert_rules_and_their_limits(spark):
 def test_low_alert_still_reports_the_upper_limit(spark):
     (row,) = anomalies.anomaly_alerts(readings(spark, [(0, -30)])).collect()
     assert row.threshold_limit == -10.0
-    assert row.message == "Low thermal excursion on vehicle t1: -30.0 is below limit -25.0"
+    assert row.message == "Too cold on truck t1: -30.0 is under -25.0"
 
 
 def test_late_event_is_still_checked(spark):
