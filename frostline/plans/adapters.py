@@ -59,8 +59,17 @@ def wire_from_telemetry(telemetry: DataFrame) -> DataFrame:
         F.when(kind == 3, 120.0).otherwise(F.lit(80.0)).alias("battery_level"),
     )
     body = F.to_json(fields)
-    quoted = F.regexp_replace(body, '"temperature":([-0-9.E]+)', '"temperature":"$1"')
-    value = F.when(kind == 0, "not-json").when(kind == 4, quoted).when(kind != 5, body)
+    temperature = '"temperature":([-0-9.E]+)'
+    quoted = F.regexp_replace(body, temperature, '"temperature":"$1"')
+    micros = F.regexp_replace(body, '"timestamp":([0-9]+)[.]([0-9]+)', '"timestamp":$1$2')
+    value = (
+        F.when(kind == 0, "not-json")
+        .when(kind == 4, quoted)
+        .when(kind == 7, micros)
+        .when(kind == 8, F.regexp_replace(body, temperature, '"temperature":100000000000000.0'))
+        .when(kind == 9, F.regexp_replace(body, temperature, '"temperature":"true"'))
+        .when(kind != 5, body)
+    )
     return telemetry.select(
         "arrival_seq",
         F.concat_ws(":", "customer_id", "truck_id").cast("binary").alias("key"),

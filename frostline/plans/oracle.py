@@ -6,6 +6,8 @@ window functions over whole keys, which is only possible because the check runs
 
 from __future__ import annotations
 
+import re
+
 BASE = 1704067200000000
 AS_OF = "1790000000.0::double"
 
@@ -212,13 +214,13 @@ oracle(
 # --- contract ----------------------------------------------------------------------------------------------------
 
 relation("damaged", "select *, arrival_seq % 97 as kind from tel", "tel")
-relation("kept", "select * from damaged where kind not in (0, 1, 2, 3, 5) and temp_cc <> 0", "damaged")
+relation("kept", "select * from damaged where kind not in (0, 1, 2, 3, 5, 7, 8, 9) and temp_cc <> 0", "damaged")
 oracle(
     "parse_raw",
     """select arrival_seq, case when kind not in (0, 2, 5) then customer_id end as customer_id,
     case when kind not in (0, 1, 5) then truck_id end as truck_id,
-    case when kind not in (0, 5) then temperature end as temperature,
-    (case when kind in (0, 1, 2, 3, 5) then 1 else 0 end)::integer as problems from damaged""",
+    case when kind = 8 then 1e14::double when kind not in (0, 5, 9) then temperature end as temperature,
+    (case when kind in (0, 1, 2, 3, 5, 7, 8, 9) then 1 else 0 end)::integer as problems from damaged""",
     "damaged",
 )
 oracle(
@@ -241,11 +243,12 @@ relation(
     """
     select arrival_seq, customer_id || ':' || truck_id as original_key,
       case kind when 0 then 'not-json' when 5 then 'null' else
-        '{"event_id":"evt-' || arrival_seq || '","timestamp":' || (event_us // 1000000) || '.'
+        '{"event_id":"evt-' || arrival_seq || '","timestamp":' || (event_us // 1000000) || case when kind = 7 then '' else '.' end
         || lpad((event_us % 1000000)::varchar, 6, '0')
         || ',"customer_id":"' || case when kind = 2 then '  ' else ' ' || customer_id end || '"'
         || case when kind = 1 then '' else ',"truck_id":"' || truck_id || '"' end
-        || ',"temperature":' || case when kind = 4 then '"' || temperature || '"' else temperature::varchar end
+        || ',"temperature":' || case kind when 4 then '"' || temperature || '"' when 8 then '100000000000000.0' when 9 then '"true"'
+             else temperature::varchar end
         || ',"target_temp":' || target_temperature
         || case when kind = 6 then '' else ',"compressor_status":"' || compressor_status || '"' end
         || ',"battery_level":' || case when kind = 3 then '120.0' else '80.0' end || '}' end as payload,
@@ -254,19 +257,35 @@ relation(
         when 2 then 'ValidationError: customer_id: not a valid id'
         when 3 then 'ValidationError: battery_level: above 100.0'
         when 5 then 'TypeError: payload is null'
+        when 7 then 'ValidationError: timestamp: above 9999999999.0'
+        when 8 then 'ValidationError: temperature: above 1000000.0'
+        when 9 then 'ValidationError: temperature: not a valid number'
         else 'ValueError: temperature must be non-zero' end as error,
       'raw-telemetry' as source_topic
-    from damaged where kind in (0, 1, 2, 3, 5) or temp_cc = 0""",
+    from damaged where kind in (0, 1, 2, 3, 5, 7, 8, 9) or temp_cc = 0""",
     "damaged",
 )
 for _name in ("dead_letters", "stream_dead_letters"):
     oracle(_name, "select * from letters", "letters")
+relation("wire_v", "select *, event_us - event_us % 300000000 as w from kept", "kept")
+for _name in ("judged", "grouped", "counted", "stated", "running"):
+    _body, _needs = RELATIONS[_name]
+    _body = re.sub(r"\bfrom (v|judged|counted|stated)\b", r"from wire_\1", _body)
+    relation(f"wire_{_name}", _body, *(f"wire_{n}" for n in _needs))
+oracle("wire_window_aggregates", f"select {aggregate_columns()} from wire_grouped", "wire_grouped")
+oracle(
+    "stream_fan_out",
+    """select 'aggregate' as kind, arrival_seq, n::bigint as sample_count, null::varchar as error from wire_running
+    union all select 'dead letter', arrival_seq, null, error from letters""",
+    "wire_running",
+    "letters",
+)
 oracle(
     "quality_gate",
     """select batch_id, records, rejected, rejected::double / records::double as error_rate,
-    records >= 50 and rejected::double / records::double >= 0.052::double as tripped
+    records >= 50 and rejected::double / records::double >= 0.083::double as tripped
     from (select arrival_seq // 1000 as batch_id, count(*) as records,
-                 count(*) filter (kind in (0, 1, 2, 3, 5) or temp_cc = 0) as rejected from damaged group by 1)""",
+                 count(*) filter (kind in (0, 1, 2, 3, 5, 7, 8, 9) or temp_cc = 0) as rejected from damaged group by 1)""",
     "damaged",
 )
 oracle(

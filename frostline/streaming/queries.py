@@ -110,6 +110,7 @@ def start_states(
         finally:
             batch.unpersist()
 
+    refuse_old_output(states.sparkSession, out, checkpoint)
     return (
         states.writeStream.foreachBatch(fan_out)
         .option("checkpointLocation", checkpoint)
@@ -130,29 +131,75 @@ def start_set_states(
     The carried rows live next to the output in two folders that take turns: batch n reads what n - 1 wrote and
     replaces what n - 2 wrote. A repeated batch therefore starts from the same rows and gives the same result.
     """
+    columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
+    refuse_old_output(telemetry.sparkSession, out, checkpoint)
+    return (
+        telemetry.select(*columns)
+        .writeStream.foreachBatch(lambda batch, batch_id: _advance(batch, batch_id, out, cfg))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "30 seconds"}))
+        .start()
+    )
+
+
+def _advance(batch: DataFrame, batch_id: int, out: str, cfg: Settings) -> None:
+    """Aggregates and alerts of one micro-batch, from what was carried over, and what to carry on."""
     state = f"{out}/carried"
+    carried = batch.sparkSession.read.parquet(f"{state}/turn={(batch_id - 1) % 2}") if batch_id else None
+    states = windows.arrival_states(batch, cfg, carried).persist()
+    try:
+        write_batch(published_aggregates(states, cfg), f"{out}/aggregates", batch_id)
+        write_batch(published_alerts(states, cfg), f"{out}/alerts", batch_id)
+        kept = windows.carry_over(states, cfg, carried)
+        kept.write.mode("overwrite").parquet(f"{state}/turn={batch_id % 2}")
+    finally:
+        states.unpersist()
+
+
+def start_log(
+    checked: DataFrame,
+    out: str,
+    checkpoint: str,
+    cfg: Settings = Settings(),
+    trigger: dict | None = None,
+    order: str = "offset",
+) -> StreamingQuery:
+    """Aggregates, alerts and dead letters of a checked log, as `start_set_states` and `start_dead_letters` write them.
+
+    A micro-batch is parsed once and kept while all three are written.
+    """
+    columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        carried = batch.sparkSession.read.parquet(f"{state}/turn={(batch_id - 1) % 2}") if batch_id else None
-        states = windows.arrival_states(batch, cfg, carried).persist()
+        batch.persist()
         try:
-            write_batch(published_aggregates(states, cfg), f"{out}/aggregates", batch_id)
-            write_batch(published_alerts(states, cfg), f"{out}/alerts", batch_id)
-            kept = windows.carry_over(states, cfg, carried)
-            kept.write.mode("overwrite").parquet(f"{state}/turn={batch_id % 2}")
+            write_batch(contract.dead_letters(batch, cfg), f"{out}/dead_letters", batch_id)
+            valid = contract.normalize(contract.valid_telemetry(batch))
+            _advance(contract.to_readings(valid, order).select(*columns), batch_id, out, cfg)
         finally:
-            states.unpersist()
+            batch.unpersist()
 
-    columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
+    refuse_old_output(checked.sparkSession, out, checkpoint)
     return (
-        telemetry.select(*columns)
-        .writeStream.foreachBatch(step)
+        checked.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
         .start()
     )
 
 
+def refuse_old_output(spark: SparkSession, out: str, checkpoint: str) -> None:
+    """A new query numbers its micro-batches from 0, so it must not write next to the output of another."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def exists(path: str) -> bool:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(conf).exists(place)
+
+    if not exists(f"{checkpoint}/offsets") and any(exists(f"{out}/{t}") for t in ("aggregates", "dead_letters")):
+        raise ValueError(f"{out} holds the output of another query, and checkpoint {checkpoint} is new")
+
+
 def start_table(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write a stream of rows (dead letters, sustained alerts) to a Parquet table, each exactly once."""
     return (
