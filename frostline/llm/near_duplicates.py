@@ -5,7 +5,7 @@ chunks * (errors + 1) - 1 slots agree in some chunk up to `errors` slots, so the
 every choice of `errors` slots of every chunk. With the defaults (48 minima, 12 chunks, one error) that holds for every
 distance up to 23. Each minimum differs with probability 1 - similarity, so two sets of similarity 0.75 have distance 12
 in the mean; farther pairs are found too as long as one chunk is near, and a pair at 0.75 exactly is missed with
-probability 1e-7. Pairs of shared keys whose distance is at most `max_distance` are confirmed on the full sets.
+probability 1e-7 by the keys and 2e-7 by `max_distance`. Pairs of shared keys whose distance is at most `max_distance` are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class Params:
     chunks: int = 12
     slots: int = 4
     errors: int = 1
-    max_distance: int = 30
+    max_distance: int = 28
     #: Rows of a bucket compared with each other in one task, and partners of one document checked in one task.
     block: int = 512
     partners: int = 2000
@@ -44,6 +44,15 @@ class Params:
     def minima(self) -> int:
         return self.chunks * self.slots
 
+    @property
+    def left_out(self) -> list[tuple[int, ...]]:
+        """The choices of slots of a chunk that a key leaves out."""
+        return list(combinations(range(self.slots), self.errors))
+
+    @property
+    def tag_bits(self) -> int:
+        return (self.chunks * len(self.left_out) - 1).bit_length()
+
 
 #: Stand-in ids of rows without doc_id start here, above all real ids.
 NO_ID = 1 << 62
@@ -113,7 +122,10 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def chunk_keys(nodes: DataFrame, p: Params) -> DataFrame:
-    """key, node: a key for every chunk of a signature and every choice of `errors` slots to leave out."""
+    """key, node: a key for every chunk of a signature and every choice of `errors` slots to leave out.
+
+    The lowest bits of a key number the chunk and the choice.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,15 +133,14 @@ def chunk_keys(nodes: DataFrame, p: Params) -> DataFrame:
             minima = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(n, p.chunks, p.slots)
             found = []
             for chunk in range(p.chunks):
-                for k, left_out in enumerate(combinations(range(p.slots), p.errors)):
-                    key = np.full(n, _U(chunk << 16 | k))
+                for k, left_out in enumerate(p.left_out):
+                    tag = chunk * len(p.left_out) + k
+                    key = np.full(n, _U(tag))
                     for slot in set(range(p.slots)).difference(left_out):
                         key = W.mix(key * _U(0x9E3779B97F4A7C15) + minima[:, chunk, slot])
-                    found.append(key.view(np.int64))
-            node = np.tile(batch.column("node").to_numpy(), len(found))
-            for start in range(0, len(node), 1 << 16):
-                part = slice(start, start + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)[part]), pa.array(node[part])], ["key", "node"])
+                    found.append((key << _U(p.tag_bits) | _U(tag)).view(np.int64))
+            for key in found:
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node")], ["key", "node"])
 
     return nodes.select("node", "signature").mapInArrow(keys, "key long, node long")
 
@@ -177,7 +188,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hubs = None, []
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 20):
             found = []
             for hub, part, side, rid, text in zip(*(batch.column(c).to_pylist() for c in _SIDE), strict=True):
                 own = shingle_set(text or "", p.shingle)
@@ -233,7 +244,7 @@ def _cross_pairs(opened: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     """Pairs (hub, node) that share a key, lie in different components and are near by signature.
 
     A key's nodes are dealt to blocks of about `block`; each pair of blocks is compared in a cell of its own, so no task
-    holds a whole key. Cells give only pairs that pass.
+    holds a whole key. Cells give only pairs that pass, and a pair with several keys only at the first of them.
     """
     blocks = F.ceil(F.col("size") / p.block).cast("int")
     dealt = (
@@ -248,18 +259,24 @@ def _cross_pairs(opened: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
         .sortWithinPartitions("key", "i", "j")
     )
 
+    kept = np.array([[slot not in choice for slot in range(p.slots)] for choice in p.left_out])
+
     def compare(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, part, own, n = (cell.column(c).to_numpy() for c in ("node", "component", "own", "n_shingles"))
         minima = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint16).reshape(-1, p.minima)
         left = np.flatnonzero(own == cell.column("i")[0].as_py())
         right = np.flatnonzero(own == cell.column("j")[0].as_py())
+        tag = cell.column("key")[0].as_py() & ((1 << p.tag_bits) - 1)
         hubs, others = [], []
         for a in left.tolist():
             ok = (part[right] != part[a]) & (np.minimum(n[right], n[a]) * 100 >= np.maximum(n[right], n[a]) * p.percent)
             if cell.column("i")[0] == cell.column("j")[0]:
                 ok &= right > a
             b = right[ok]
-            b = b[(minima[b] != minima[a]).sum(axis=1) <= p.max_distance]
+            differ = minima[b] != minima[a]
+            near = differ.sum(axis=1) <= p.max_distance
+            b, differ = b[near], differ[near].reshape(-1, p.chunks, 1, p.slots)
+            b = b[(~(differ & kept).any(axis=3)).reshape(len(b), p.chunks * len(kept)).argmax(axis=1) == tag]
             hubs.append(np.minimum(node[b], node[a]))
             others.append(np.maximum(node[b], node[a]))
         return np.concatenate(hubs), np.concatenate(others)

@@ -185,3 +185,37 @@ def test_outgoing_messages_are_keyed_json(spark):
     rows = spark.createDataFrame([("c", "t", None, 1.5)], "customer_id STRING, truck_id STRING, note STRING, x DOUBLE")
     (m,) = streams.to_messages(rows).collect()
     assert bytes(m.key) == b"c:t" and json.loads(bytes(m.value)) == {"customer_id": "c", "truck_id": "t", "note": None, "x": 1.5}
+
+
+def test_state_partitions_are_those_of_the_session(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "77")
+    try:
+        assert streams.stream_session(spark).conf.get("spark.sql.shuffle.partitions") == "77"
+        assert streams.stream_session(spark, 5).conf.get("spark.sql.shuffle.partitions") == "5"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_output_of_another_query_is_refused(spark, tmp_path):
+    spark.range(1).write.parquet(f"{tmp_path}/out/aggregates/batch_id=0")
+    with pytest.raises(ValueError, match="another query"):
+        streams.refuse_old_output(spark, f"{tmp_path}/out", f"{tmp_path}/new")
+    (tmp_path / "old" / "offsets").mkdir(parents=True)
+    streams.refuse_old_output(spark, f"{tmp_path}/out", f"{tmp_path}/old")
+    streams.refuse_old_output(spark, f"{tmp_path}/empty", f"{tmp_path}/new")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    from frostline.streaming.workspace import new_folder
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda *a: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        new_folder(session("spark://host:7077", None), "x")
+    assert new_folder(session("spark://host:7077", "/shared/"), "x").startswith("/shared/x-")
+    assert new_folder(session("local[2]", None), "x")
