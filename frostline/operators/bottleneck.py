@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.config import Settings
-from frostline.functions import alert_label, round_half_away
+from frostline.functions import alert_label, iso_utc, round_half_away
 from frostline.operators.ordered import (
     CHUNK,
     after_chunk,
@@ -127,6 +127,31 @@ def bottleneck_alerts(tests: DataFrame, cfg: Settings = Settings()) -> DataFrame
     )
 
 
+def test_rows(tests: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The stored row of every throughput test: its figures, ISO times, and the node whose alert it raised, if any.
+
+    A test runs at one rate throughout, so its peak rate is its actual rate.
+    """
+    raised = alerts.select(*NODE, F.col("triggered_us").alias("completed_us"), F.lit(True).alias("raised")).distinct()
+    iso = lambda c: iso_utc(F.timestamp_micros(c))
+    return tests.join(raised, [*NODE, "completed_us"], "left").select(
+        "id",
+        "target_rate",
+        "duration_seconds",
+        "actual_rate",
+        F.col("actual_rate").alias("peak_rate"),
+        "average_latency_ms",
+        "p95_latency_ms",
+        "p99_latency_ms",
+        "error_count",
+        "failure_rate",
+        iso("started_us").alias("started_at"),
+        iso("completed_us").alias("completed_at"),
+        "status",
+        F.when(F.col("raised"), F.col("node_id")).alias("bottleneck_node"),
+    )
+
+
 def alert_state(alerts: DataFrame, transitions: DataFrame) -> DataFrame:
     """Alerts with the transitions applied: `transitions(id, seq, status, at_us)` in `seq` order per alert.
 

@@ -316,6 +316,12 @@ def bottleneck_alerts(spark, sf):
     return bottleneck.bottleneck_alerts(_tests(spark, sf), TEST_CFG)
 
 
+@query
+def throughput_test_rows(spark, sf):
+    tests = _tests(spark, sf)
+    return bottleneck.test_rows(tests, bottleneck.bottleneck_alerts(tests, TEST_CFG))
+
+
 @query
 def bottleneck_alerts_split(spark, sf):
     return bottleneck.bottleneck_alerts(_tests(spark, sf), replace(TEST_CFG, chunk_rows=4))

@@ -482,6 +482,14 @@ relation(
           from violations)""",
     "violations",
 )
+oracle(
+    "throughput_test_rows",
+    """select id, target_rate, duration_seconds, actual_rate, actual_rate as peak_rate, average_latency_ms, p95_latency_ms,
+    p99_latency_ms, error_count, failure_rate, strftime(make_timestamp(started_us), '%Y-%m-%dT%H:%M:%S.%fZ') as started_at,
+    strftime(make_timestamp(completed_us), '%Y-%m-%dT%H:%M:%S.%fZ') as completed_at, status,
+    case when nth = 2 and alert_type is not null then node_id end as bottleneck_node from numbered""",
+    "numbered",
+)
 _four = rounded("round(x * 1000000)::bigint", "100", 4)
 for _name in ("bottleneck_alerts", "bottleneck_alerts_split"):
     oracle(
