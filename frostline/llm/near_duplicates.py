@@ -34,9 +34,15 @@ class Params:
     slots: int = 4
     errors: int = 1
     max_distance: int = 28
+    #: Bins of the sketch that nodes of still open keys are compared by, and the estimated percent that is let through:
+    #: five standard errors below 75.
+    bins: int = 512
+    sketch_percent: int = 65
     #: Rows of a bucket compared with each other in one task, and partners of one document checked in one task.
     block: int = 512
     partners: int = 2000
+    #: Documents for each file of the small intermediate tables.
+    file_rows: int = 20_000
     #: Larger tables than this are joined by shuffle rather than broadcast.
     broadcast_rows: int = 500_000
 
@@ -121,6 +127,24 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(sign, schema)
 
 
+def sketches(docs: DataFrame, p: Params) -> DataFrame:
+    """node, sketch for rows of docs (rid, text): the smallest shingle of every bin in 8 bits, 0 for an empty bin."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            value, row = shingle_rows(*text_bytes(batch.column("text")), p.shingle)
+            value = W.mix(value + _U(p.bins))
+            place = row * p.bins + (value % _U(p.bins)).astype(np.int64)
+            order = np.lexsort((value, place))
+            place, first = np.unique(place[order], return_index=True)
+            sketch = np.zeros(batch.num_rows * p.bins, np.uint8)
+            sketch[place] = (value[order][first] >> _U(32)) % _U(255) + _U(1)
+            drawn = [line.tobytes() for line in sketch.reshape(-1, p.bins)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(drawn, pa.binary())], ["node", "sketch"])
+
+    return docs.select("rid", "text").mapInArrow(draw, "node long, sketch binary")
+
+
 def chunk_keys(nodes: DataFrame, p: Params) -> DataFrame:
     """key, node: a key for every chunk of a signature and every choice of `errors` slots to leave out.
 
@@ -165,19 +189,19 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     return both.select("hub", "node", "signature", "hub_signature").mapInArrow(near, "hub long, node long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, p: Params, files: int) -> DataFrame:
     """The pairs (hub, node) that are links on their full shingle sets, as a stored table (a, b).
 
     Texts go to the hubs they are compared with. A hub with many partners is split: its text goes to each part. A task
     holds one hub's set and reads partners one by one.
     """
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs, "pairs", files)
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / p.partners).alias("parts"))
     split = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     sides = split.select(F.col("node").alias("rid"), "hub", "part", F.lit(1).alias("side")).union(
         split.select(F.col("hub").alias("rid"), "hub", "part", F.lit(0)).distinct()
     )
-    sides = stored(sides, "pair-sides")
+    sides = stored(sides, "pair-sides", files)
     few = sides.count() <= p.broadcast_rows
     placed = (
         docs.select("rid", "text")
@@ -212,7 +236,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 _SIDE = ["hub", "part", "side", "rid", "text"]
 
 
-def _open_keys(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_keys(keyed: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     """key, node, component, of keys whose nodes are not all in one component yet."""
     known = keyed.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = (
@@ -221,10 +245,10 @@ def _open_keys(keyed: DataFrame, labels: DataFrame) -> DataFrame:
         .where("low != high")
         .select("key", "size")
     )
-    return stored(known.join(open_, "key"), "open-keys")
+    return stored(known.join(open_, "key"), "open-keys", files)
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """labels (node, component) after adding links (a, b) between nodes."""
     label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     between = (
@@ -233,19 +257,24 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         .select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
         .where("a != b")
     )
-    joined = components(between)
+    joined = components(between, files)
     renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
     moved = labels.join(renamed, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     fresh = joined.join(labels.select("node"), "node", "left_anti")
-    return stored(moved.union(fresh), "components")
+    return stored(moved.union(fresh), "components", files)
 
 
-def _cross_pairs(opened: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+def _cross_pairs(opened: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params, files: int) -> DataFrame:
     """Pairs (hub, node) that share a key, lie in different components and are near by signature.
 
     A key's nodes are dealt to blocks of about `block`; each pair of blocks is compared in a cell of its own, so no task
-    holds a whole key. Cells give only pairs that pass, and a pair with several keys only at the first of them.
+    holds a whole key. Cells give only pairs that pass, and a pair with several keys only at the first of them. Their
+    texts are read once more for a sketch that tells similarities near the limit apart better than the minima do.
     """
+    open_nodes = stored(opened.select(F.col("node").alias("rid")).distinct(), "open-nodes", files)
+    few = open_nodes.count() <= p.broadcast_rows
+    own = docs.select("rid", "text").join(F.broadcast(open_nodes) if few else open_nodes, "rid", "left_semi")
+    nodes = nodes.join(stored(sketches(own, p), "sketches"), "node")
     blocks = F.ceil(F.col("size") / p.block).cast("int")
     dealt = (
         opened.join(nodes, "node")
@@ -254,7 +283,7 @@ def _cross_pairs(opened: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .select("key", "i", "j", "own", "node", "component", "n_shingles", "signature")
+        .select("key", "i", "j", "own", "node", "component", "n_shingles", "signature", "sketch")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
@@ -264,6 +293,7 @@ def _cross_pairs(opened: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     def compare(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, part, own, n = (cell.column(c).to_numpy() for c in ("node", "component", "own", "n_shingles"))
         minima = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint16).reshape(-1, p.minima)
+        sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, p.bins)
         left = np.flatnonzero(own == cell.column("i")[0].as_py())
         right = np.flatnonzero(own == cell.column("j")[0].as_py())
         tag = cell.column("key")[0].as_py() & ((1 << p.tag_bits) - 1)
@@ -277,6 +307,9 @@ def _cross_pairs(opened: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
             near = differ.sum(axis=1) <= p.max_distance
             b, differ = b[near], differ[near].reshape(-1, p.chunks, 1, p.slots)
             b = b[(~(differ & kept).any(axis=3)).reshape(len(b), p.chunks * len(kept)).argmax(axis=1) == tag]
+            filled = (sketch[b] | sketch[a]) != 0
+            same = ((sketch[b] == sketch[a]) & filled).sum(axis=1)
+            b = b[100 * same >= p.sketch_percent * filled.sum(axis=1)]
             hubs.append(np.minimum(node[b], node[a]))
             others.append(np.maximum(node[b], node[a]))
         return np.concatenate(hubs), np.concatenate(others)
@@ -312,16 +345,17 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     a document, and no link between different components is lost.
     """
     signed = stored(signatures(docs, p), "signatures")
+    files = max(4, signed.count() // p.file_rows)
     named = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("rid").alias("node"))
     own_signature = F.when(F.col("rid") == F.col("node"), F.col("signature"))
     members = signed.where("n_shingles > 0").join(named, ["set_a", "set_b"])
-    members = stored(members.select("rid", "n_shingles", "node", own_signature.alias("signature")), "set-classes")
+    members = stored(members.select("rid", "n_shingles", "node", own_signature.alias("signature")), "set-classes", files)
     nodes = members.where("signature is not null").select("node", "n_shingles", "signature").distinct()
-    nodes = stored(nodes, "nodes")
+    nodes = stored(nodes, "nodes", files)
     keyed = stored(chunk_keys(nodes, p), "chunk-keys")
     labels = docs.sparkSession.createDataFrame([], "node long, component long")
     for pick in (F.min, F.max):
-        opened = _open_keys(keyed, labels)
+        opened = _open_keys(keyed, labels, files)
         hubs = opened.groupBy("key").agg(pick("node").alias("hub"))
         hub_of = nodes.select(F.col("node").alias("hub")).join(labels.withColumnRenamed("node", "hub"), "hub", "left")
         met = (
@@ -332,16 +366,16 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
             .join(hub_of.withColumnRenamed("component", "hub_component"), "hub")
             .where(F.col("component") != F.coalesce("hub_component", "hub"))
         )
-        links = confirmed(near_pairs(met.select("hub", "node"), nodes, p), docs, p)
-        labels = _merged(labels, links)
-    opened = _open_keys(keyed, labels)
-    links = confirmed(_cross_pairs(opened, nodes, p), docs, p)
-    labels = _merged(labels, links)
+        links = confirmed(near_pairs(met.select("hub", "node"), nodes, p), docs, p, files)
+        labels = _merged(labels, links, files)
+    opened = _open_keys(keyed, labels, files)
+    links = confirmed(_cross_pairs(opened, nodes, docs, p, files), docs, p, files)
+    labels = _merged(labels, links, files)
     linked = members.join(labels, "node", "left").select(
         "rid", "n_shingles", F.coalesce("component", "node").alias("component")
     )
     alone = signed.where("n_shingles = 0").select("rid", "n_shingles", F.col("rid").alias("component"))
-    return stored(linked.union(alone), "near-duplicates")
+    return stored(linked.union(alone), "near-duplicates", files)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
