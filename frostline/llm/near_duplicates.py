@@ -198,6 +198,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params, files: int) -> DataF
     pairs = stored(pairs, "pairs", files)
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / p.partners).alias("parts"))
     split = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    split = stored(split.select("hub", "node", "part"), "split-pairs", files)
     sides = split.select(F.col("node").alias("rid"), "hub", "part", F.lit(1).alias("side")).union(
         split.select(F.col("hub").alias("rid"), "hub", "part", F.lit(0)).distinct()
     )
