@@ -65,6 +65,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[own[0] : own[-1]], offsets
 
 
+def byte_pieces(data: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """The bytes in pieces of about `size`, cut at blanks, so that lists of words stay short."""
+    start = 0
+    while start < len(data):
+        cut = data.find(b" ", start + size)
+        cut = len(data) if cut < 0 else cut
+        yield data[start:cut]
+        start = cut
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frostline.llm import contamination, language, near_duplicates, packing, quality, repeats, secrets, shards, token_counts, wavelet
+from frostline.llm import (
+    contamination,
+    context_tree,
+    language,
+    lexical,
+    near_duplicates,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    shards,
+    spelling,
+    token_counts,
+    wavelet,
+)
 from frostline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,4 +83,21 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_context_tree_scores(spark, sf_dir):
+    return context_tree.scores(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op1_quality_rules"] = quality.ORACLE
+ORACLE["op11_spelling_variants"] = spelling.ORACLE
+ORACLE["op12_lexical_search"] = lexical.ORACLE
