@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from frostline.config import Settings
 from frostline.functions import alert_label, iso_utc, round_half_away
+from frostline.operators.automaton import move, scan_states
 from frostline.operators.ordered import (
     CHUNK,
     after_chunk,
     after_here,
     before_chunk,
+    dense_order,
     hot_rows,
     is_real,
+    running_totals,
     split_hot_keys,
     through_chunk,
     up_to_here,
@@ -27,16 +30,22 @@ from frostline.operators.ordered import (
 NODE = ["node_id"]
 ORDER = "seq"
 KINDS = ("LATENCY_SPIKE", "ERROR_RATE_SPIKE", "THROUGHPUT_DROP")
+# Fixed value: how the description of an alert ends, after the label of its type.
+DESCRIPTION = " detected during throughput test."
 
 
 def _violations(tests: DataFrame, cfg: Settings) -> DataFrame:
-    """First violation of each test in priority order, how many there are, and the figures to report."""
+    """First violation of each test in priority order, how many there are, and the figures to report.
+
+    A figure that is missing breaks no limit.
+    """
     floor = F.col("target_rate") * F.lit(cfg.throughput_ratio_limit)
-    broken = {
+    beyond = {
         "LATENCY_SPIKE": F.col("p95_latency_ms") > cfg.p95_limit_ms,
         "ERROR_RATE_SPIKE": F.col("failure_rate") > cfg.failure_rate_limit,
         "THROUGHPUT_DROP": F.col("actual_rate") < floor,
     }
+    broken = {kind: F.coalesce(flag, F.lit(False)) for kind, flag in beyond.items()}
     figure = {
         "LATENCY_SPIKE": (F.col("p95_latency_ms"), F.lit(cfg.p95_limit_ms)),
         "ERROR_RATE_SPIKE": (F.col("failure_rate"), F.lit(cfg.failure_rate_limit)),
@@ -112,19 +121,87 @@ def bottleneck_alerts(tests: DataFrame, cfg: Settings = Settings()) -> DataFrame
     for k in KINDS:
         reached = reached | ((F.col("alert_type") == k) & (F.col(f"n_{k}") == limit))
     raised = counted.where(is_real() & reached)
-    return raised.select(
+    status = F.when(F.col("resolved_us").isNull(), "TRIGGERED").otherwise("RESOLVED")
+    return raised.select(*_alert_columns(status), F.col("completed_us").alias("triggered_us"), "resolved_us")
+
+
+def _alert_columns(status: Column) -> list[Column]:
+    """The columns of an alert, from the row of the test that raised it."""
+    return [
         F.concat_ws(":", "node_id", "alert_type", ORDER).alias("id"),
-        "alert_type",
+        F.col("alert_type"),
         F.when(F.col("violations") > 1, "CRITICAL").otherwise("HIGH").alias("severity"),
-        "node_id",
+        F.col("node_id"),
         F.lower("alert_type").alias("metric"),
         round_half_away(F.col("current_value"), 4).alias("current_value"),
         round_half_away(F.col("threshold"), 4).alias("threshold"),
-        F.when(F.col("resolved_us").isNull(), "TRIGGERED").otherwise("RESOLVED").alias("status"),
-        F.concat(alert_label(F.col("alert_type")), F.lit(" detected during throughput test.")).alias("description"),
-        F.col("completed_us").alias("triggered_us"),
-        "resolved_us",
+        status.alias("status"),
+        F.concat(alert_label(F.col("alert_type")), F.lit(DESCRIPTION)).alias("description"),
+    ]
+
+
+KIND = [*NODE, "alert_type"]
+
+
+def bottleneck_lifecycle(tests: DataFrame, moves: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Alerts of the rule and what operators did with them, with each acting on the other.
+
+    `moves(node_id, alert_type, seq, status, at_us)` acknowledge or resolve the alert that is open for their node and type
+    at their time; without one they do nothing. The rule is armed again once its alert is resolved, by a clean test or by
+    hand: the count of violations starts anew, and the next alert is a new one. Acknowledging again moves the time.
+
+    Every (node, type) is an automaton of violations_to_raise + 1 states: so many violations, or an open alert. Tests
+    and moves are merged by time, tests first, then by seq; tests of a node complete in the order of seq. Other statuses
+    and null nodes or types of moves do nothing.
+    """
+    armed = cfg.violations_to_raise
+    states = range(armed + 1)
+    violated, clean, kept = move([min(i + 1, armed) for i in states]), move([0 for _ in states]), move(list(states))
+    resolved = move([i % armed for i in states])
+    judged = _violations(tests, cfg)
+    kinds = F.when(F.col("clean"), F.array(*[F.lit(k) for k in KINDS])).otherwise(F.array("alert_type"))
+    by_rule = judged.select(
+        *NODE,
+        F.explode(kinds).alias("alert_type"),
+        F.col("completed_us").alias("at_us"),
+        F.lit(0).alias("by_hand"),
+        F.col(ORDER).cast("bigint").alias(ORDER),
+        F.when(F.col("clean"), "CLEAN").otherwise("VIOLATION").alias("step"),
+        "violations",
+        "current_value",
+        "threshold",
+    )
+    by_hand = moves.where(F.col("status").isin("ACKNOWLEDGED", "RESOLVED")).select(
+        *KIND, "at_us", F.lit(1).alias("by_hand"), F.col(ORDER).cast("bigint").alias(ORDER), F.col("status").alias("step")
+    )
+    steps = dense_order(
+        by_rule.unionByName(by_hand, allowMissingColumns=True), ["at_us", "by_hand", ORDER, *KIND, "step"], "place"
+    )
+    step = F.col("step")
+    code = F.when(step == "VIOLATION", violated).when(step == "CLEAN", clean).when(step == "RESOLVED", resolved).otherwise(kept)
+    stated = scan_states(steps.withColumn("moved", code.cast("bigint")), KIND, "place", "moved", len(states), cfg.chunk_rows)
+
+    was_open, is_open = F.col("state_before") == armed, F.col("state_after") == armed
+    raises, closes = is_open & ~was_open, was_open & ~is_open
+    acts = stated.withColumns({"raises": raises.cast("bigint"), "closes": closes}).where(
+        raises | closes | (was_open & (step == "ACKNOWLEDGED"))
+    )
+    # Alerts of a (node, type) follow one another, so the number of alerts so far tells which one a row belongs to.
+    numbered = running_totals(acts, KIND, "place", {"raises": "alert_no"}, cfg.chunk_rows)
+    raised = F.col("raises") == 1
+    alerts = numbered.groupBy(*KIND, "alert_no").agg(
+        *[F.max(F.when(raised, F.col(c))).alias(c) for c in (ORDER, "violations", "current_value", "threshold")],
+        F.max(F.when(raised, F.col("at_us"))).alias("triggered_us"),
+        F.max_by("at_us", F.when(step == "ACKNOWLEDGED", F.col("place"))).alias("acknowledged_us"),
+        F.max(F.when(F.col("closes"), F.col("at_us"))).alias("resolved_us"),
+        F.max(F.when(F.col("closes"), F.when(step == "CLEAN", "RULE").otherwise("OPERATOR"))).alias("resolved_by"),
+    )
+    status = (
+        F.when(F.col("resolved_by").isNotNull(), "RESOLVED")
+        .when(F.col("acknowledged_us").isNotNull(), "ACKNOWLEDGED")
+        .otherwise("TRIGGERED")
     )
+    return alerts.select(*_alert_columns(status), "triggered_us", "acknowledged_us", "resolved_us", "resolved_by")
 
 
 def test_rows(tests: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -132,9 +209,10 @@ def test_rows(tests: DataFrame, alerts: DataFrame) -> DataFrame:
 
     A test runs at one rate throughout, so its peak rate is its actual rate.
     """
-    raised = alerts.select(*NODE, F.col("triggered_us").alias("completed_us"), F.lit(True).alias("raised")).distinct()
+    seq = F.element_at(F.split("id", ":"), -1).cast("bigint")
+    raised = alerts.select(*NODE, seq.alias(ORDER), F.lit(True).alias("raised")).distinct()
     iso = lambda c: iso_utc(F.timestamp_micros(c))
-    return tests.join(raised, [*NODE, "completed_us"], "left").select(
+    return tests.join(raised, [*NODE, ORDER], "left").select(
         "id",
         "target_rate",
         "duration_seconds",

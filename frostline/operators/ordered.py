@@ -21,11 +21,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from frostline.streaming.workspace import materialised
+
 CHUNK = "chunk"
 _HOT = "in_hot_key"
 _CARRY = "is_carry"
 
 
+def dense_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Add `name`: 0, 1, 2, ... in the order of several columns, nulls first, as ordered operators need it.
+
+    Rows are range-partitioned and sorted, and written with their place in their partition, so that the places no longer
+    change when a task runs again. A window over one count per partition then gives what comes before each. Rows that
+    are equal in all of `by` get different numbers.
+    """
+    order = [F.col(c).asc_nulls_first() for c in by]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.withColumns(
+        {"order_part": F.spark_partition_id(), "order_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    placed = materialised(placed, "ordered")
+    counts = placed.groupBy("order_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("order_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.select("order_part", F.coalesce(before, F.lit(0)).alias("order_base"))  # a row per partition
+    numbered = placed.join(F.broadcast(bases), "order_part")
+    return numbered.select(*rows.columns, (F.col("order_base") + F.col("order_place")).alias(name))
+
+
+def log_order(wire: DataFrame, log: list[str], offset: str = "offset") -> DataFrame:
+    """One row per log partition (`log`: topic and partition) with `before`: how many places lie ahead of its first offset.
+
+    `before + offset` is a unique order of arrival over all partitions of a log: partitions one after another, each in
+    the order of its offsets. It needs the smallest and largest offset of each partition and neither sort nor shuffle of
+    the records. There are as many rows as partitions, so the result is small.
+    """
+    ends = wire.groupBy(*log).agg(F.min(offset).alias("low"), F.max(offset).alias("high"))
+    ahead = Window.orderBy(*[F.col(c).asc_nulls_first() for c in log]).rowsBetween(Window.unboundedPreceding, -1)
+    places = F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(ahead), F.lit(0))
+    return ends.select(*log, (places - F.col("low")).alias("before"))
+
+
 def find_hot_keys(rows: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
     """Keys with more than chunk_rows rows.
 

@@ -207,6 +207,19 @@ def transitions_from_lineitem(lineitem: DataFrame) -> DataFrame:
     ).where(F.col("seq") % 3 != 0)
 
 
+def moves_from_events(events: DataFrame) -> DataFrame:
+    """What operators did about the nodes of the throughput tests: an act for every twentieth event."""
+    event_id, at_us = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    kind = F.when(event_id % 3 == 0, "LATENCY_SPIKE").when(event_id % 3 == 1, "ERROR_RATE_SPIKE").otherwise("THROUGHPUT_DROP")
+    return events.where(event_id % 20 == 7).select(
+        F.concat(F.lit("node-"), (F.col("user_id") % 8).cast("string")).alias("node_id"),
+        kind.alias("alert_type"),
+        event_id.alias("seq"),
+        F.when(event_id % 7 < 3, "RESOLVED").otherwise("ACKNOWLEDGED").alias("status"),
+        (F.lit(BASE_US) + F.call_function("div", at_us - F.lit(BASE_US), F.lit(1000))).alias("at_us"),
+    )
+
+
 def delivery_reports(events: DataFrame) -> DataFrame:
     """One report per sent event; errors count as not delivered."""
     delivered = (F.col("event_type") != "error").alias("delivered")

@@ -322,6 +322,13 @@ def throughput_test_rows(spark, sf):
     return bottleneck.test_rows(tests, bottleneck.bottleneck_alerts(tests, TEST_CFG))
 
 
+@query
+def bottleneck_lifecycle(spark, sf):
+    """Alerts of the rule, acknowledged and resolved by hand, and raised again after that."""
+    moves = adapters.moves_from_events(_events(spark, sf))
+    return bottleneck.bottleneck_lifecycle(_tests(spark, sf), moves, TEST_CFG)
+
+
 @query
 def bottleneck_alerts_split(spark, sf):
     return bottleneck.bottleneck_alerts(_tests(spark, sf), replace(TEST_CFG, chunk_rows=4))

@@ -20,7 +20,7 @@ def relation(name: str, body: str, *needs: str) -> None:
     RELATIONS[name] = (body, needs)
 
 
-def oracle(name: str, body: str, *needs: str) -> None:
+def oracle(name: str, body: str, *needs: str, recursive: bool = False) -> None:
     ordered: list[str] = []
 
     def visit(n: str) -> None:
@@ -32,7 +32,7 @@ def oracle(name: str, body: str, *needs: str) -> None:
     for n in needs:
         visit(n)
     ctes = ",\n".join(f"{n} as ({RELATIONS[n][0]})" for n in ordered)
-    ORACLE[name] = f"with {ctes}\n{body}" if ctes else body
+    ORACLE[name] = f"with {'recursive ' * recursive}{ctes}\n{body}" if ctes else body
 
 
 def rounded(num: str, den: str, digits: int, scale: int = 1) -> str:
@@ -509,6 +509,54 @@ for _name in ("bottleneck_alerts", "bottleneck_alerts_split"):
         where alert_type is not null and nth = 2""",
         "numbered",
     )
+relation(
+    "acts",
+    f"""
+    select *, row_number() over (partition by node_id, kind order by at_us, by_hand, seq) as i from (
+      select node_id, kind, completed_us as at_us, 0 as by_hand, seq, broken, cur, lim,
+        case when alert_type is null then 'CLEAN' else 'VIOLATION' end as step
+      from (select *,
+              case alert_type when 'LATENCY_SPIKE' then p95_latency_ms when 'ERROR_RATE_SPIKE' then failure_rate
+                else actual_rate end as cur,
+              case alert_type when 'LATENCY_SPIKE' then 165.0::double when 'ERROR_RATE_SPIKE' then 0.25::double
+                else target_rate * 0.7::double end as lim from violations) v
+      join (select unnest(['LATENCY_SPIKE', 'ERROR_RATE_SPIKE', 'THROUGHPUT_DROP']) as kind) k
+        on alert_type is null or alert_type = kind
+      union all
+      select 'node-' || (user_id % 8), ['LATENCY_SPIKE', 'ERROR_RATE_SPIKE', 'THROUGHPUT_DROP'][event_id % 3 + 1],
+        {BASE} + (epoch_us(ts) - {BASE}) // 1000, 1, event_id, null, null, null,
+        case when event_id % 7 < 3 then 'RESOLVED' else 'ACKNOWLEDGED' end
+      from events where event_id % 20 = 7)""",
+    "violations",
+)
+relation(
+    "walk",
+    """
+    select node_id, kind, 0::bigint as i, 0 as state, 0 as was, 0 as alert_no from acts group by node_id, kind
+    union all
+    select a.node_id, a.kind, a.i, case a.step when 'CLEAN' then 0 when 'VIOLATION' then least(state + 1, 2)
+        when 'RESOLVED' then state % 2 else state end, state,
+      alert_no + case when a.step = 'VIOLATION' and state = 1 then 1 else 0 end
+    from walk w join acts a on a.node_id = w.node_id and a.kind = w.kind and a.i = w.i + 1""",
+    "acts",
+)
+oracle(
+    "bottleneck_lifecycle",
+    f"""select node_id || ':' || kind || ':' || seq as id, kind as alert_type,
+    case when broken > 1 then 'CRITICAL' else 'HIGH' end as severity, node_id, lower(kind) as metric,
+    {_four.replace("(x ", "(cur ")} as current_value, {_four.replace("(x ", "(lim ")} as threshold,
+    case when closed.at_us is not null then 'RESOLVED' when acknowledged_us is not null then 'ACKNOWLEDGED' else 'TRIGGERED' end as status,
+    case kind when 'LATENCY_SPIKE' then 'Latency Spike' when 'ERROR_RATE_SPIKE' then 'Error Rate Spike'
+      else 'Throughput Drop' end || ' detected during throughput test.' as description,
+    raised.at_us as triggered_us, acknowledged_us, closed.at_us as resolved_us, closed.resolved_by
+    from (select a.*, alert_no from acts a join walk using (node_id, kind, i) where was = 1 and state = 2) raised
+    left join (select node_id, kind, alert_no, at_us, case step when 'CLEAN' then 'RULE' else 'OPERATOR' end as resolved_by
+               from acts join walk using (node_id, kind, i) where was = 2 and state = 0) closed using (node_id, kind, alert_no)
+    left join (select node_id, kind, alert_no, arg_max(at_us, i) as acknowledged_us
+               from acts join walk using (node_id, kind, i) where was = 2 and step = 'ACKNOWLEDGED' group by all) seen using (node_id, kind, alert_no)""",
+    "walk",
+    recursive=True,
+)
 relation(
     "moves",
     """

@@ -91,6 +91,33 @@ def lifecycle_model(transitions):
     return status, acknowledged, resolved
 
 
+def bottleneck_lifecycle_model(steps, needed=2):
+    """One node, test by test and act by act in order of time. steps: ("TEST", seq, at, kind or None, breaches) or
+    (status, seq, at, kind). Gives (kind, seq, severity, status, triggered, acknowledged, resolved, by) of every alert."""
+    violations, open_alerts, alerts = defaultdict(int), {}, []
+    for what, seq, at, kind, *more in steps:
+        if what == "TEST" and kind is None:
+            violations.clear()
+            for alert in open_alerts.values():
+                alert.update(status="RESOLVED", resolved=at, by="RULE")
+            open_alerts.clear()
+        elif what == "TEST":
+            violations[kind] += 1
+            if violations[kind] >= needed and kind not in open_alerts:
+                severity = "CRITICAL" if more[0] > 1 else "HIGH"
+                open_alerts[kind] = {"kind": kind, "seq": seq, "severity": severity, "status": "TRIGGERED", "triggered": at}
+                open_alerts[kind].update(acknowledged=None, resolved=None, by=None)
+                alerts.append(open_alerts[kind])
+        elif kind in open_alerts:
+            if what == "ACKNOWLEDGED":
+                open_alerts[kind].update(status=what, acknowledged=at)
+            else:
+                open_alerts.pop(kind).update(status=what, resolved=at, by="OPERATOR")
+                del violations[kind]
+    order = ("kind", "seq", "severity", "status", "triggered", "acknowledged", "resolved", "by")
+    return [tuple(a[c] for c in order) for a in alerts]
+
+
 def percentile_model(values, p):
     ordered = sorted(values)
     rank = Fraction((len(ordered) - 1) * p, 100)
