@@ -21,6 +21,10 @@ class Settings:
     sustained_threshold: float = -10.0
     sustained_seconds: int = 30
 
+    # Streams with a clock: silence after which a truck is forgotten, and how far a partition may lag behind the clock
+    idle_seconds: int = 1200
+    clock_delay_seconds: int = 600
+
     # Bottleneck rule
     p95_limit_ms: float = 500.0
     failure_rate_limit: float = 0.05

@@ -80,14 +80,16 @@ def describe(
     )
 
 
-def alerts_from_states(states: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Alerts of readings that already carry `previous_temperature`. Late readings are checked as well."""
+def alerts_from_states(states: DataFrame, cfg: Settings = Settings(), *extra: str) -> DataFrame:
+    """Alerts of readings that already carry `previous_temperature`, with `extra` columns of theirs. Late readings are
+    checked as well."""
     kind = classify(F.col("temperature"), F.col("previous_temperature"), F.col("compressor_status"), cfg)
     rise = F.col("temperature") - F.col("previous_temperature")
     return (
         states.withColumn("alert_type", kind)
         .where(F.col("alert_type").isNotNull())
         .select(
+            *extra,
             ORDER,
             *TRUCK,
             severity(F.col("alert_type")).alias("severity"),

@@ -44,6 +44,19 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_from_events(table(spark, sf_dir, "events"))
 
 
+def received(events: DataFrame) -> Column:
+    """When an event arrived: its time before the delay of its reading. It never goes back in order of event_id."""
+    ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return F.timestamp_micros(F.lit(BASE_US) + F.call_function("div", ts_us - F.lit(BASE_US), F.lit(1000))).alias("received")
+
+
+def dealt_log(telemetry: DataFrame, partitions: int = 3) -> DataFrame:
+    """Telemetry as a log whose partitions take turns, so that every truck is in all of them."""
+    seq = F.col("arrival_seq")
+    place = {"partition": (seq % partitions).cast("int"), "offset": F.call_function("div", seq, F.lit(partitions))}
+    return telemetry.withColumns({"topic": F.lit("raw-telemetry"), **place}).drop("arrival_seq")
+
+
 def wire_from_telemetry(telemetry: DataFrame) -> DataFrame:
     """Telemetry rendered as keyed JSON messages, with some records damaged in known ways."""
     seq = F.col("arrival_seq")

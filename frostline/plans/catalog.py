@@ -85,6 +85,13 @@ def running_aggregates_split(spark, sf):
     return windows.running_aggregates(_telemetry(spark, sf), SPLIT_CFG)
 
 
+@query
+def log_running_aggregates(spark, sf):
+    """Running aggregates of trucks whose readings are in several partitions of a log."""
+    log = streams.in_log_order(adapters.dealt_log(adapters.telemetry(spark, sf)))
+    return windows.running_aggregates(windows.valid_readings(log), CFG)
+
+
 @query
 def sliding_aggregates(spark, sf):
     return windows.sliding_aggregates(_telemetry(spark, sf), CFG)
@@ -555,6 +562,28 @@ def stream_sustained_alerts(spark, sf):
     return _sustained(_run_table(spark, "sustained", streams.sustained_alerts(telemetry, CFG)))
 
 
+# A clock without delay, since arrival times never go back, and trucks that are never forgotten.
+CLOCK_CFG = replace(CFG, clock_delay_seconds=0, idle_seconds=1_000_000)
+
+
+@query
+def stream_silent_heat(spark, sf):
+    """Sustained alerts, also of trucks that have gone silent, by the clock at the end of each micro-batch."""
+    log = _log_stream(spark, sf)
+    telemetry = windows.valid_readings(adapters.telemetry_from_events(log, adapters.received(log)))
+    return _sustained(_run_table(spark, "silent", streams.sustained_alerts(telemetry, CLOCK_CFG, "received")))
+
+
+@query
+def stream_log_aggregates(spark, sf):
+    """Running aggregates of trucks whose readings are in several log partitions, in the order of each micro-batch."""
+    folder = new_folder(spark, "logs")
+    log = adapters.dealt_log(windows.valid_readings(adapters.telemetry_from_events(_log_stream(spark, sf))))
+    telemetry = log.withColumnRenamed("offset", "arrival_seq")
+    streams.start_set_states(telemetry, folder, f"{folder}/checkpoint", CFG, ALL_AT_ONCE).awaitTermination()
+    return spark.read.parquet(f"{folder}/aggregates").drop("batch_id", "aggregate_id", "created_at", "arrival_seq")
+
+
 @query
 def stream_dead_letters(spark, sf):
     wire_stream = adapters.wire_from_telemetry(

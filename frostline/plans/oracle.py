@@ -211,6 +211,66 @@ oracle(
     "runs",
 )
 
+# Trucks in three log partitions: partitions one after another in a batch, or in each of four micro-batches.
+_turn = "(select event_id, event_id * 4 // (1 + max(event_id) over ()) as batch from events)"
+for _prefix, _order in (("log", "arrival_seq % 3, arrival_seq"), ("turn", "batch, arrival_seq % 3, arrival_seq")):
+    relation(
+        f"{_prefix}_v",
+        f"""select *, event_us - event_us % 300000000 as w
+        from (select * replace (row_number() over (order by {_order}) - 1 as arrival_seq)
+              from tel join {_turn} t on event_id = arrival_seq) where temp_cc <> 0""",
+        "tel",
+    )
+    for _name in ("judged", "counted", "stated", "running"):
+        _body, _needs = RELATIONS[_name]
+        _body = re.sub(r"\bfrom (v|judged|counted|stated)\b", rf"from {_prefix}_\1", _body)
+        relation(f"{_prefix}_{_name}", _body, *(f"{_prefix}_{n}" for n in _needs))
+oracle("log_running_aggregates", f"select {aggregate_columns('arrival_seq, late,')} from log_running", "log_running")
+oracle("stream_log_aggregates", f"select {aggregate_columns('late,')} from turn_running", "turn_running")
+
+# The clock of a micro-batch is the latest arrival of the micro-batches before it; the fifth one has no readings. A run
+# that has not fired by the last reading of a micro-batch fires in the first one from then on whose clock is past its
+# time, if no reading of the truck comes in between.
+relation(
+    "turns",
+    f"""
+    select v.*, batch, 1704067200000000 + (epoch_us(ts) - 1704067200000000) // 1000 as received_us, resets, started_us,
+      max(case when duration_seconds >= 30 then 1 else 0 end) over (partition by v.customer_id, v.truck_id, resets
+        order by v.arrival_seq rows between unbounded preceding and current row) as fired
+    from v join {_turn} t on event_id = arrival_seq join events using (event_id)
+    left join (select arrival_seq, resets, started_us, duration_seconds from runs) using (arrival_seq)""",
+    "runs",
+)
+relation(
+    "clocks",
+    """
+    select c.batch, max(received_us) // 1000 as clock_ms from turns join (select unnest(range(1, 5)) as batch) c
+    on turns.batch < c.batch group by 1""",
+    "turns",
+)
+relation(
+    "silences",
+    """
+    select customer_id, truck_id, resets, temperature, started_us, min(clocks.batch) as fires_in
+    from (select *, lead(batch) over (partition by customer_id, truck_id order by batch) as next_batch
+          from (select * from turns qualify row_number() over (partition by customer_id, truck_id, batch order by arrival_seq desc) = 1))  l
+    join clocks on clocks.batch >= l.batch and (next_batch is null or clocks.batch < next_batch)
+      and clock_ms > (started_us + 999) // 1000 + 30000
+    where started_us is not null and fired = 0 group by all""",
+    "turns",
+    "clocks",
+)
+oracle(
+    "stream_silent_heat",
+    """select arrival_seq, customer_id, truck_id, temperature, event_us::double / 1e6::double as timestamp,
+    started_us::double / 1e6::double as started_at, duration_seconds from runs where duration_seconds >= 30
+    union all
+    select null, customer_id, truck_id, temperature, (started_us + 30000000)::double / 1e6::double, started_us::double / 1e6::double, 30
+    from (select * from silences qualify row_number() over (partition by customer_id, truck_id, resets order by fires_in) = 1)""",
+    "runs",
+    "silences",
+)
+
 # --- contract ----------------------------------------------------------------------------------------------------
 
 relation("damaged", "select *, arrival_seq % 97 as kind from tel", "tel")

@@ -1,152 +1,255 @@
-"""Per-truck state machines for transformWithState.
+"""Per-truck state for transformWithStateInPandas, computed on arrays.
 
-Each processor keeps one value per truck and reads and writes it once per micro-batch. Readings of a truck are put
-in arrival order inside the call, since a shuffle does not keep it; the source's rate limit bounds how many one
-micro-batch can hold. Memory per truck does not grow with history: a window leaves the state once no accepted
-reading can reach it.
+A processor keeps one value per truck and reads and writes it once per micro-batch. The readings of a truck are put in
+arrival order inside the call, since a shuffle does not keep it; what is computed from there on are scans over whole
+arrays (running maxima, sums and extremes per window), not a loop over readings. A call holds a few numbers per reading
+of one truck, and the source's rate limit bounds how many readings one micro-batch can hold. Memory per truck does not
+grow with history: a window leaves the state once no accepted reading can reach it.
+
+With a clock (a watermarked time of arrival, `received_us`), timers act without a new reading: a truck that stays silent
+for `idle_seconds` leaves the state altogether, and a run above the threshold fires its alert when it has lasted long
+enough, even if the truck has gone silent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Row
+import numpy as np
+import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from frostline.config import MICROS, Settings
 from frostline.functions import FIXED_UNITS
 
 _WINDOW = "window_us: BIGINT, n: BIGINT, total: BIGINT, low: DOUBLE, high: DOUBLE, target: DOUBLE, last: DOUBLE"
-TRUCK_STATE = f"max_event_us BIGINT, windows ARRAY<STRUCT<{_WINDOW}>>, seed STRUCT<{_WINDOW}>"
+TRUCK_STATE = f"max_event_us BIGINT, windows ARRAY<STRUCT<{_WINDOW}>>, seed STRUCT<{_WINDOW}>, idle_ms BIGINT"
 STATE_COLUMNS = (
     "arrival_seq BIGINT, customer_id STRING, truck_id STRING, event_us BIGINT, temperature DOUBLE, "
-    "target_temperature DOUBLE, compressor_status STRING, late BOOLEAN, window_us BIGINT, sample_count BIGINT, "
-    "sum_fixed BIGINT, min_raw DOUBLE, max_raw DOUBLE, target_raw DOUBLE, previous_temperature DOUBLE"
+    "target_temperature DOUBLE, compressor_status STRING, record_id STRING, late BOOLEAN, window_us BIGINT, "
+    "sample_count BIGINT, sum_fixed BIGINT, min_raw DOUBLE, max_raw DOUBLE, target_raw DOUBLE, previous_temperature DOUBLE"
 )
 START, N, TOTAL, LOW, HIGH, TARGET, LAST = range(7)
+#: Columns that order the readings of a truck in a micro-batch, as far as there are any.
+ARRIVAL = ("topic", "partition", "arrival_seq")
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All readings of the call in order of arrival: log partitions one after another, each by its offsets."""
+    readings = pd.concat(list(rows), ignore_index=True)
+    return readings.sort_values([c for c in ARRIVAL if c in readings.columns], kind="stable", na_position="first", ignore_index=True)
 
 
-def _fixed(temperature: float) -> int:
+def _fixed(temperature: np.ndarray) -> np.ndarray:
     """Millionths of a degree, like functions.fixed_point."""
     scaled = temperature * FIXED_UNITS
-    return int(scaled + 0.5) if scaled >= 0 else -int(-scaled + 0.5)
+    return np.where(scaled >= 0, np.floor(scaled + 0.5), -np.floor(0.5 - scaled)).astype(np.int64)
 
 
-class TruckWindows(StatefulProcessor):
-    """Windows, lateness and previous temperature of a truck; one output row per reading."""
+def _running_min(values: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Smallest value so far within each segment; segments are numbered 0, 1, ... and stand one after another.
 
-    def __init__(self, cfg: Settings = Settings()) -> None:
-        self.cfg = cfg
+    Values are replaced by their ranks and each segment is moved below all before it, so one running minimum serves all.
+    """
+    ordered, rank = np.unique(values, return_inverse=True)
+    apart = segment * len(ordered)
+    return ordered[np.minimum.accumulate(rank - apart) + apart]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("truck", TRUCK_STATE)
 
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        """Seed a truck: `max_event_us` and, optionally, the window shown until a reading is accepted."""
-        seed = None
-        if initialState["sample_count"] is not None:
-            seed = (
-                initialState["window_us"],
-                initialState["sample_count"],
-                initialState["sum_fixed"],
-                initialState["min_raw"],
-                initialState["max_raw"],
-                initialState["target_raw"],
-                None,
-            )
-        self.state.update((initialState["max_event_us"], [], seed))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest, windows, seed = None, {}, None
-        if self.state.exists():
-            newest, stored, seed = self.state.get()
-            windows = {w[START]: list(w) for w in stored}
-            seed = list(seed) if seed is not None else None
-
-        for r in sorted(rows, key=lambda r: r["arrival_seq"]):
-            event_us, temperature = r["event_us"], r["temperature"]
-            newest = event_us if newest is None else max(newest, event_us)
-            watermark = newest - self.cfg.grace_us
-            previous = windows[max(windows)][LAST] if windows else (seed[LAST] if seed else None)
-            late = event_us < watermark
-            start = event_us - event_us % self.cfg.window_us
-            fresh = [start, 0, 0, temperature, temperature, r["target_temperature"], temperature]
-            if late:
-                shown = windows[max(windows)] if windows else seed
-                if shown is None:
-                    shown = [*fresh[:N], 1, _fixed(temperature), *fresh[LOW:]]
-            else:
-                shown = windows.setdefault(start, fresh)
-                shown[N] += 1
-                shown[TOTAL] += _fixed(temperature)
-                shown[LOW] = min(shown[LOW], temperature)
-                shown[HIGH] = max(shown[HIGH], temperature)
-                shown[TARGET], shown[LAST] = r["target_temperature"], temperature
-                for closed in [w for w in windows if w + self.cfg.window_us + self.cfg.grace_us < watermark]:
-                    del windows[closed]
-            yield Row(
-                arrival_seq=r["arrival_seq"],
-                customer_id=key[0],
-                truck_id=key[1],
-                event_us=event_us,
-                temperature=temperature,
-                target_temperature=r["target_temperature"],
-                compressor_status=r["compressor_status"],
-                late=late,
-                window_us=shown[START],
-                sample_count=shown[N],
-                sum_fixed=shown[TOTAL],
-                min_raw=shown[LOW],
-                max_raw=shown[HIGH],
-                target_raw=shown[TARGET],
-                previous_temperature=previous,
-            )
-        self.state.update((newest, [tuple(w) for w in windows.values()], tuple(seed) if seed else None))
+class _Timed(StatefulProcessor):
+    """Keeps a timer at `idle_seconds` after the last reading of a truck."""
+
+    def __init__(self, cfg: Settings = Settings(), clock: bool = False) -> None:
+        self.cfg, self.clock = cfg, clock
+
+    def _put_off(self, before_ms: int | None, readings: pd.DataFrame) -> int | None:
+        """Move the idle timer behind the newest reading. Returns its time."""
+        if not self.clock:
+            return None
+        after = -(-int(readings["received_us"].max()) // 2000) * 2 + self.cfg.idle_seconds * 1000  # even: see due_ms
+        after = after if before_ms is None else max(before_ms, after)
+        if after != before_ms:
+            if before_ms is not None:
+                self.handle.deleteTimer(before_ms)
+            self.handle.registerTimer(after)
+        return after
 
     def close(self) -> None:
         pass
 
 
-RUN_STATE = "started_us BIGINT"
+class TruckWindows(_Timed):
+    """Windows, lateness and previous temperature of a truck; one output row per reading."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("truck", TRUCK_STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Seed a truck: `max_event_us` and, optionally, the window shown until a reading is accepted."""
+        first, seed = initialState.iloc[0], None
+        if pd.notna(first["sample_count"]):
+            raw = [float(first[c]) for c in ("min_raw", "max_raw", "target_raw")]
+            seed = (int(first["window_us"]), int(first["sample_count"]), int(first["sum_fixed"]), *raw, None)
+        self.state.update((int(first["max_event_us"]), [], seed, None))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest, held, seed, idle_ms = self.state.get() if self.state.exists() else (None, [], None, None)
+        held = sorted(tuple(w) for w in held)
+        readings = _in_order(rows)
+        event = readings["event_us"].to_numpy(np.int64)
+        temperature = readings["temperature"].to_numpy(np.float64)
+        target = readings["target_temperature"].to_numpy(np.float64)
+        n, width = len(event), self.cfg.window_us
+
+        top = np.maximum.accumulate(event if newest is None else np.maximum(event, newest))
+        late = event < top - self.cfg.grace_us
+        window = event - event % width
+        head = ~late & (window == top - top % width)
+
+        # Windows so far stand ahead of the accepted readings of the same window; then everything is a scan per window.
+        accepted = np.flatnonzero(~late)
+        k = len(held)
+        past = list(zip(*held, strict=True)) if held else [()] * 7
+        start = np.concatenate([np.array(past[START], np.int64), window[accepted]])
+        order = np.argsort(start, kind="stable")
+        begins = np.concatenate([np.ones(min(len(order), 1), bool), start[order][1:] != start[order][:-1]])
+        segment = np.cumsum(begins) - 1
+        first_of = np.flatnonzero(begins)
+
+        def running_sum(old, new) -> np.ndarray:
+            sums = np.cumsum(np.concatenate([np.array(old, np.int64), new])[order])
+            before = np.concatenate([np.zeros(1, np.int64), sums[first_of[1:] - 1]]) if len(first_of) else sums
+            return sums - before[segment]
+
+        counts = running_sum(past[N], np.ones(len(accepted), np.int64))
+        totals = running_sum(past[TOTAL], _fixed(temperature[accepted]))
+        low = np.concatenate([np.array(past[LOW], np.float64), temperature[accepted]])[order]
+        high = np.concatenate([np.array(past[HIGH], np.float64), temperature[accepted]])[order]
+        lows, highs = (_running_min(low, segment), -_running_min(-high, segment)) if len(order) else (low, high)
+
+        place = np.empty(len(order), np.int64)  # of held windows and accepted readings in that order
+        place[order] = np.arange(len(order))
+        shown_at = np.full(n, -1)  # the row of the scan that a reading reports
+        shown_at[accepted] = place[k:]
+        newest_held = place[k - 1] if k else -1
+        latest_head = np.maximum.accumulate(np.where(head, np.arange(n), -1))
+        at_head = np.where(latest_head >= 0, shown_at[np.maximum(latest_head, 0)], newest_held)
+        shown_at = np.where(late, at_head, shown_at)
+        before = np.concatenate([np.full(1, -1), latest_head[:-1]])
+        previous = np.where(before >= 0, temperature[np.maximum(before, 0)], held[-1][LAST] if k else np.nan)
+
+        alone = shown_at < 0  # late, and no window is open: what the seed shows, or the reading by itself
+        at = np.maximum(shown_at, 0)
+        scan = {
+            "window_us": (start[order], START, window),
+            "sample_count": (counts, N, np.ones(n, np.int64)),
+            "sum_fixed": (totals, TOTAL, _fixed(temperature)),
+            "min_raw": (lows, LOW, temperature),
+            "max_raw": (highs, HIGH, temperature),
+            "target_raw": (np.concatenate([np.array(past[TARGET], np.float64), target[accepted]])[order], TARGET, target),
+        }
+        shown = {}
+        for name, (values, field, own) in scan.items():
+            fallback = own if seed is None else np.full(n, seed[field])
+            shown[name] = np.where(alone, fallback, values[at] if len(values) else fallback)
+
+        top_now = int(top[-1])
+        ends = np.concatenate([first_of[1:], [len(order)]]) - 1 if len(first_of) else first_of
+        latest = np.concatenate([np.array([w[LAST] for w in held], np.float64), temperature[accepted]])[order]
+        fields = (start[order], counts, totals, lows, highs, scan["target_raw"][0], latest)
+        kept = [
+            (int(w), int(c), int(t), float(a), float(b), float(g), float(z))
+            for w, c, t, a, b, g, z in zip(*(f[ends] for f in fields), strict=True)
+            if w + width + self.cfg.grace_us >= top_now - self.cfg.grace_us
+        ]
+        idle_ms = self._put_off(idle_ms, readings)
+        self.state.update((top_now, kept, tuple(seed) if seed is not None else None, idle_ms))
+        out = readings[["arrival_seq"]].assign(
+            customer_id=key[0],
+            truck_id=key[1],
+            event_us=event,
+            temperature=temperature,
+            target_temperature=target,
+            compressor_status=readings["compressor_status"],
+            record_id=readings["record_id"] if "record_id" in readings.columns else None,
+            late=late,
+            **shown,
+        )
+        out["previous_temperature"] = pd.Series(previous, dtype="object").where(pd.notna(previous), None)
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A truck without readings for so long is forgotten; should it return, it starts anew."""
+        self.state.clear()
+        return iter([])
+
+
+RUN_STATE = (
+    "started_us BIGINT, temperature DOUBLE, latitude DOUBLE, longitude DOUBLE, fired BOOLEAN, due_ms BIGINT, idle_ms BIGINT"
+)
 RUN_COLUMNS = (
     "arrival_seq BIGINT, customer_id STRING, truck_id STRING, event_us BIGINT, temperature DOUBLE, "
     "latitude DOUBLE, longitude DOUBLE, started_us BIGINT, duration_seconds BIGINT"
 )
 
 
-class SustainedHeat(StatefulProcessor):
-    """Start of the uninterrupted run above the threshold; one output row per reading at which the alert fires."""
+class SustainedHeat(_Timed):
+    """Start of the uninterrupted run above the threshold; one output row per reading at which the alert fires.
 
-    def __init__(self, cfg: Settings = Settings()) -> None:
-        self.cfg = cfg
+    With a clock a run that has not fired yet fires at its time without a reading, with a null arrival_seq and the
+    temperature and position of its latest reading.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("run", RUN_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        started = self.state.get()[0] if self.state.exists() else None
-        for r in sorted(rows, key=lambda r: r["arrival_seq"]):
-            if r["temperature"] <= self.cfg.sustained_threshold:
-                started = None
-                continue
-            started = r["event_us"] if started is None else started
-            seconds = max(0, r["event_us"] - started) // MICROS
-            if seconds >= self.cfg.sustained_seconds:
-                yield Row(
-                    arrival_seq=r["arrival_seq"],
-                    customer_id=key[0],
-                    truck_id=key[1],
-                    event_us=r["event_us"],
-                    temperature=r["temperature"],
-                    latitude=r["latitude"],
-                    longitude=r["longitude"],
-                    started_us=started,
-                    duration_seconds=seconds,
-                )
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started, *_, fired, due_ms, idle_ms = self.state.get() if self.state.exists() else (None,) * 7
+        readings = _in_order(rows)
+        event = readings["event_us"].to_numpy(np.int64)
+        hot = readings["temperature"].to_numpy(np.float64) > self.cfg.sustained_threshold
+        n = len(event)
+        latest_cold = np.maximum.accumulate(np.where(hot, -1, np.arange(n)))
+        begun = event[np.minimum(latest_cold + 1, n - 1)]
+        if started is not None:
+            begun = np.where(latest_cold < 0, started, begun)
+        seconds = np.maximum(0, event - begun) // MICROS
+        fires = hot & (seconds >= self.cfg.sustained_seconds)
+
+        if due_ms is not None:
+            self.handle.deleteTimer(due_ms)
+            due_ms = None
+        started = int(begun[-1]) if hot[-1] else None
+        fired = bool(fired and latest_cold[-1] < 0) or bool(fires[latest_cold[-1] + 1 :].any())
+        if self.clock and started is not None and not fired:
+            due_ms = (-(-started // 1000) + self.cfg.sustained_seconds * 1000) | 1  # odd, so it is never an idle time
+            self.handle.registerTimer(due_ms)
+        idle_ms = self._put_off(idle_ms, readings)
+        if started is None and idle_ms is not None:
+            self.handle.deleteTimer(idle_ms)
+        last = readings.iloc[-1]
         if started is None:
             self.state.clear()
         else:
-            self.state.update((started,))
-
-    def close(self) -> None:
-        pass
+            position = [None if pd.isna(last[c]) else float(last[c]) for c in ("latitude", "longitude")]
+            self.state.update((started, float(last["temperature"]), *position, fired, due_ms, idle_ms))
+
+        out = readings.loc[fires, ["arrival_seq", "event_us", "temperature", "latitude", "longitude"]]
+        out = out.assign(customer_id=key[0], truck_id=key[1], started_us=begun[fires], duration_seconds=seconds[fires])
+        yield out[[c.split()[0] for c in RUN_COLUMNS.split(", ")]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        started, temperature, latitude, longitude, _, due_ms, idle_ms = self.state.get()
+        at_ms = expiredTimerInfo.getExpiryTimeInMs()
+        if at_ms == due_ms:
+            due_us = started + self.cfg.sustained_seconds * MICROS
+            row = (None, *key, due_us, temperature, latitude, longitude, started, self.cfg.sustained_seconds)
+            out = pd.DataFrame([row], columns=[c.split()[0] for c in RUN_COLUMNS.split(", ")])
+            yield out.astype({"arrival_seq": "Int64", "latitude": "float64", "longitude": "float64"})
+            self.state.update((started, temperature, latitude, longitude, True, None, idle_ms))
+        if at_ms == idle_ms:
+            self.state.clear()

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from frostline.config import Settings
 from frostline.functions import fixed_point, micros_to_seconds, partition_key
 from frostline.operators import anomalies, contract, windows
+from frostline.operators.ordered import log_order
 from frostline.operators.windows import ORDER, TRUCK
 from frostline.streaming.processors import RUN_COLUMNS, STATE_COLUMNS, SustainedHeat, TruckWindows
 
@@ -33,60 +34,122 @@ def stream_session(spark: SparkSession, state_partitions: int | None = None) ->
     return session
 
 
+LOG = ("topic", "partition")
+
+
+def _log(rows: DataFrame) -> list[str]:
+    """The columns that tell log partitions apart, as far as the rows have them."""
+    return [c for c in LOG if c in rows.columns]
+
+
 def check_wire(wire: DataFrame) -> DataFrame:
     """Parse and check raw messages. Missing ids and times come from the record's place in the log."""
-    place = F.sha2(F.concat_ws(":", "partition", "offset"), 256)
+    place = F.sha2(F.concat_ws(":", *_log(wire), "offset"), 256)
     received = F.unix_micros("timestamp") / F.lit(1e6)
-    stamped = wire.withColumns({"received_at": received, "record_id": place}).drop("timestamp")
+    stamped = wire.withColumns({"received_at": received, "record_id": place}).withColumnRenamed("timestamp", "received")
     return contract.check_reading(contract.parse_raw(stamped, F.col("record_id"), F.col("received_at")))
 
 
 def readings(checked: DataFrame) -> DataFrame:
-    """Valid records in the form the window operators take. The log offset is the order of arrival."""
-    return contract.to_readings(contract.normalize(contract.valid_telemetry(checked)), "offset")
+    """Valid records in the form the window operators take.
+
+    The order of arrival is that of the log: partitions one after another by topic and number, each by its offsets. In a
+    batch `arrival_seq` is a unique number in that order, dense but for gaps in the offsets. In a stream it is the offset,
+    and topic and partition stay with the readings: micro-batches follow one another, and each is in the same order.
+    """
+    valid = contract.to_readings(contract.normalize(contract.valid_telemetry(checked)), "offset")
+    return valid if checked.isStreaming else in_log_order(valid)
 
 
-def truck_states(telemetry: DataFrame, cfg: Settings = Settings(), seeds: DataFrame | None = None) -> DataFrame:
-    """Streaming form of windows.arrival_states: the state each reading leaves its truck in."""
+def in_log_order(rows: DataFrame) -> DataFrame:
+    """Rows of a bounded log with `arrival_seq`, their place in it: partitions one after another, each by its offsets.
+
+    Rows are neither sorted nor shuffled; the join is with a row for each partition.
+    """
+    log = _log(rows)
+    if not log:
+        return rows.withColumn(ORDER, F.col("offset"))
+    placed = rows.join(F.broadcast(log_order(rows, log)), log)
+    return placed.withColumn(ORDER, F.col("before") + F.col("offset")).drop("before")
+
+
+def _with_clock(telemetry: DataFrame, clock: str | None, cfg: Settings) -> DataFrame:
+    if clock is None:
+        return telemetry
+    timed = telemetry.withWatermark(clock, f"{cfg.clock_delay_seconds} seconds")
+    return timed.withColumn("received_us", F.unix_micros(clock))
+
+
+def truck_states(
+    telemetry: DataFrame, cfg: Settings = Settings(), seeds: DataFrame | None = None, clock: str | None = None
+) -> DataFrame:
+    """Streaming form of windows.arrival_states: the state each reading leaves its truck in.
+
+    `clock` names a TIMESTAMP column with the time of arrival, such as that of the log. With it a truck leaves the state
+    once it has been silent for idle_seconds of that time. Spark leaves out readings that arrive more than
+    clock_delay_seconds behind the clock, so the delay must cover the lag between partitions.
+    """
     columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
+    extra = [c for c in (*LOG, "record_id") if c in telemetry.columns]
+    kept = [clock, "received_us"] if clock else []
     return (
-        telemetry.select(*columns)
+        _with_clock(telemetry, clock, cfg)
+        .select(*columns, *extra, *kept)
         .groupBy(*TRUCK)
-        .transformWithState(
-            TruckWindows(cfg),
+        .transformWithStateInPandas(
+            TruckWindows(cfg, clock is not None),
             outputStructType=STATE_COLUMNS,
             outputMode="append",
-            timeMode="None",
+            timeMode="EventTime" if clock else "None",
             initialState=seeds.groupBy(*TRUCK) if seeds is not None else None,
         )
     )
 
 
-def sustained_alerts(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Streaming form of anomalies.sustained_alerts, with the latest position when the readings have one."""
+def sustained_alerts(telemetry: DataFrame, cfg: Settings = Settings(), clock: str | None = None) -> DataFrame:
+    """Streaming form of anomalies.sustained_alerts, with the latest position when the readings have one.
+
+    With a `clock` (see truck_states) a run that has not fired when it has lasted long enough by that time fires then,
+    with a null arrival_seq: a truck that goes silent while too warm is reported.
+    """
     for name in ("latitude", "longitude"):
         if name not in telemetry.columns:
             telemetry = telemetry.withColumn(name, F.lit(None).cast("double"))
+    columns = [*TRUCK, ORDER, "event_us", "temperature", "latitude", "longitude", *_log(telemetry)]
+    kept = [clock, "received_us"] if clock else []
     return (
-        telemetry.select(*TRUCK, ORDER, "event_us", "temperature", "latitude", "longitude")
+        _with_clock(telemetry, clock, cfg)
+        .select(*columns, *kept)
         .groupBy(*TRUCK)
-        .transformWithState(SustainedHeat(cfg), outputStructType=RUN_COLUMNS, outputMode="append", timeMode="None")
+        .transformWithStateInPandas(
+            SustainedHeat(cfg, clock is not None),
+            outputStructType=RUN_COLUMNS,
+            outputMode="append",
+            timeMode="EventTime" if clock else "None",
+        )
     )
 
 
-def _stable_id(kind: str) -> Column:
-    """Same id on every replay of the same reading."""
-    return F.sha2(F.concat_ws(":", F.lit(kind), *TRUCK, ORDER), 256)
+def _stable_id(rows: DataFrame, kind: str) -> Column:
+    """Same id on every replay of the same record, and another for any other: its place in the log, or in its truck."""
+    truck_place = F.concat_ws(":", *TRUCK, ORDER)
+    place = F.coalesce(F.col("record_id"), truck_place) if "record_id" in rows.columns else truck_place
+    return F.sha2(F.concat_ws(":", F.lit(kind), place), 256)
+
+
+def _record(rows: DataFrame) -> list[str]:
+    return ["record_id"] if "record_id" in rows.columns else []
 
 
 def published_aggregates(states: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    rows = windows.finish_aggregate(states, cfg, ORDER, "late")
+    rows = windows.finish_aggregate(states, cfg, ORDER, "late", *_record(states))
     created = F.unix_micros(F.current_timestamp()) / F.lit(1e6)
-    return rows.withColumns({"aggregate_id": _stable_id("aggregate"), "created_at": created})
+    return rows.withColumns({"aggregate_id": _stable_id(rows, "aggregate"), "created_at": created}).drop("record_id")
 
 
 def published_alerts(states: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    return anomalies.alerts_from_states(states, cfg).withColumn("alert_id", _stable_id("alert"))
+    rows = anomalies.alerts_from_states(states, cfg, *_record(states))
+    return rows.withColumn("alert_id", _stable_id(rows, "alert")).drop("record_id")
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -131,10 +194,9 @@ def start_set_states(
     The carried rows live next to the output in two folders that take turns: batch n reads what n - 1 wrote and
     replaces what n - 2 wrote. A repeated batch therefore starts from the same rows and gives the same result.
     """
-    columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
     refuse_old_output(telemetry.sparkSession, out, checkpoint)
     return (
-        telemetry.select(*columns)
+        telemetry.select(*_set_columns(telemetry))
         .writeStream.foreachBatch(lambda batch, batch_id: _advance(batch, batch_id, out, cfg))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
@@ -142,11 +204,31 @@ def start_set_states(
     )
 
 
+def _set_columns(telemetry: DataFrame) -> list[str]:
+    columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
+    return [*columns, *(c for c in (*LOG, "record_id") if c in telemetry.columns)]
+
+
+def _placed(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """A micro-batch with a unique order of arrival over all of the stream: after all earlier ones, in the order of its
+    log. How many places are taken is kept like the carried rows, in two folders that take turns."""
+    if not _log(batch):
+        return batch
+    spark, taken = batch.sparkSession, f"{out}/carried_places"
+    base = spark.read.parquet(f"{taken}/turn={(batch_id - 1) % 2}").first().places if batch_id else 0
+    places = log_order(batch, _log(batch), ORDER)  # a row for each partition of the log
+    placed = batch.join(F.broadcast(places), _log(batch)).withColumn(ORDER, F.col(ORDER) + F.col("before") + F.lit(base))
+    placed = placed.drop("before", *LOG)
+    used = placed.agg(F.coalesce(F.max(ORDER) + 1, F.lit(base)).cast("bigint").alias("places"))
+    used.write.mode("overwrite").parquet(f"{taken}/turn={batch_id % 2}")
+    return placed
+
+
 def _advance(batch: DataFrame, batch_id: int, out: str, cfg: Settings) -> None:
     """Aggregates and alerts of one micro-batch, from what was carried over, and what to carry on."""
     state = f"{out}/carried"
     carried = batch.sparkSession.read.parquet(f"{state}/turn={(batch_id - 1) % 2}") if batch_id else None
-    states = windows.arrival_states(batch, cfg, carried).persist()
+    states = windows.arrival_states(_placed(batch, batch_id, out), cfg, carried).persist()
     try:
         write_batch(published_aggregates(states, cfg), f"{out}/aggregates", batch_id)
         write_batch(published_alerts(states, cfg), f"{out}/alerts", batch_id)
@@ -168,14 +250,13 @@ def start_log(
 
     A micro-batch is parsed once and kept while all three are written.
     """
-    columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
-
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             write_batch(contract.dead_letters(batch, cfg), f"{out}/dead_letters", batch_id)
             valid = contract.normalize(contract.valid_telemetry(batch))
-            _advance(contract.to_readings(valid, order).select(*columns), batch_id, out, cfg)
+            telemetry = contract.to_readings(valid, order)
+            _advance(telemetry.select(*_set_columns(telemetry)), batch_id, out, cfg)
         finally:
             batch.unpersist()
 
@@ -196,7 +277,13 @@ def refuse_old_output(spark: SparkSession, out: str, checkpoint: str) -> None:
         place = jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(conf).exists(place)
 
-    if not exists(f"{checkpoint}/offsets") and any(exists(f"{out}/{t}") for t in ("aggregates", "dead_letters")):
+    def holds_batches(path: str) -> bool:
+        place = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*")
+        found = place.getFileSystem(conf).globStatus(place)
+        return found is not None and len(found) > 0
+
+    old = any(exists(f"{out}/{t}") for t in ("aggregates", "dead_letters")) or holds_batches(out)
+    if not exists(f"{checkpoint}/offsets") and old:
         raise ValueError(f"{out} holds the output of another query, and checkpoint {checkpoint} is new")
 
 
@@ -232,6 +319,7 @@ def start_dead_letters(
         if tripped:
             raise RuntimeError(f"quality gate tripped in micro-batch {batch_id}; see the dead letters in {path}")
 
+    refuse_old_output(checked.sparkSession, path, checkpoint)
     return (
         checked.writeStream.foreachBatch(write_and_judge)
         .option("checkpointLocation", checkpoint)
