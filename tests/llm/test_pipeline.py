@@ -61,7 +61,7 @@ def test_no_documents(spark, sf, tmp_path):
 
 
 def test_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(queries()) and len(QUERIES) == 10
+    assert set(QUERIES) | {"pipeline"} <= set(queries()) and len(QUERIES) == 13
     assert set(ORACLE) <= set(oracle_sql()) and "pipeline" not in oracle_sql()
 
 

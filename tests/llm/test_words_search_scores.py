@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from frostline.llm import context_tree, lexical, spelling
@@ -284,7 +285,7 @@ def test_scores_of_long_texts_in_chunks(spark, monkeypatch):
     df = frame(spark, rows).cache()
     same(scored(df, block_bytes=1000), scored(df))
     texts = context_tree._Texts(
-        {"block": 0, "texts": b"abcabc", "lengths": b"".join(x.to_bytes(8, "little") for x in (3, 0, 3))}
+        {"block": 0, "texts": zstandard.compress(b"abcabc"), "lengths": b"".join(x.to_bytes(8, "little") for x in (3, 0, 3))}
         | {"doc_ids": bytes(24), "no_id": bytes(3), "held_out": bytes(3)}
     )
     whole = [(g, t) for gram, text in texts.grams(2) for g, t in zip(gram.tolist(), text.tolist(), strict=True)]
