@@ -13,6 +13,7 @@ from frostline.operators import anomalies, bottleneck, contract, fleet, lag, met
 from frostline.operators import windows
 from frostline.plans import adapters
 from frostline.sources import tables, wire
+from frostline.streaming import committed
 from frostline.streaming import queries as streams
 from frostline.streaming.workspace import new_folder
 
@@ -537,16 +538,18 @@ def stream_set_running_aggregates(spark, sf):
 
 @query
 def stream_fan_out(spark, sf):
-    """Aggregates and dead letters of one parsed stream."""
+    """Aggregates and dead letters of one parsed stream, from committed and compacted tables."""
     folder = new_folder(spark, "fan-out")
     log = adapters.wire_from_telemetry(adapters.telemetry_from_events(_log_stream(spark, sf)))
     checked = contract.check_reading(contract.parse_raw(log))
     streams.start_log(checked, folder, f"{folder}/checkpoint", CFG, ALL_AT_ONCE, "arrival_seq").awaitTermination()
     none = F.lit(None)
-    found = spark.read.parquet(f"{folder}/aggregates").select(
+    committed.compact(spark, folder)
+    committed.drop_compacted(spark, folder)
+    found = committed.read_table(spark, folder, "aggregates").select(
         F.lit("aggregate").alias("kind"), "arrival_seq", "sample_count", none.cast("string").alias("error")
     )
-    letters = spark.read.parquet(f"{folder}/dead_letters")
+    letters = committed.read_table(spark, folder, "dead_letters")
     return found.union(letters.select(F.lit("dead letter"), "arrival_seq", none.cast("bigint"), "error"))
 
 

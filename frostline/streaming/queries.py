@@ -13,6 +13,7 @@ from frostline.functions import fixed_point, micros_to_seconds, partition_key
 from frostline.operators import anomalies, contract, windows
 from frostline.operators.ordered import log_order
 from frostline.operators.windows import ORDER, TRUCK
+from frostline.streaming import committed
 from frostline.streaming.processors import RUN_COLUMNS, STATE_COLUMNS, SustainedHeat, TruckWindows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -162,14 +163,18 @@ def start_states(
 ) -> StreamingQuery:
     """Write the aggregate after every reading to `out/aggregates` and alerts to `out/alerts`.
 
-    Both come from one pass over the micro-batch, which is kept while it is written twice.
+    Both come from one pass over the micro-batch, which is kept while it is written twice. Read them with
+    committed.read_table, which shows whole micro-batches only.
     """
 
     def fan_out(batch: DataFrame, batch_id: int) -> None:
+        if committed.is_committed(batch.sparkSession, out, batch_id):
+            return
         batch.persist()
         try:
             write_batch(published_aggregates(batch, cfg), f"{out}/aggregates", batch_id)
             write_batch(published_alerts(batch, cfg), f"{out}/alerts", batch_id)
+            committed.commit_batch(batch.sparkSession, out, batch_id)
         finally:
             batch.unpersist()
 
@@ -194,10 +199,16 @@ def start_set_states(
     The carried rows live next to the output in two folders that take turns: batch n reads what n - 1 wrote and
     replaces what n - 2 wrote. A repeated batch therefore starts from the same rows and gives the same result.
     """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if not committed.is_committed(batch.sparkSession, out, batch_id):
+            _advance(batch, batch_id, out, cfg)
+            committed.commit_batch(batch.sparkSession, out, batch_id)
+
     refuse_old_output(telemetry.sparkSession, out, checkpoint)
     return (
         telemetry.select(*_set_columns(telemetry))
-        .writeStream.foreachBatch(lambda batch, batch_id: _advance(batch, batch_id, out, cfg))
+        .writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "30 seconds"}))
         .start()
@@ -251,12 +262,15 @@ def start_log(
     A micro-batch is parsed once and kept while all three are written.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
+        if committed.is_committed(batch.sparkSession, out, batch_id):
+            return
         batch.persist()
         try:
             write_batch(contract.dead_letters(batch, cfg), f"{out}/dead_letters", batch_id)
             valid = contract.normalize(contract.valid_telemetry(batch))
             telemetry = contract.to_readings(valid, order)
             _advance(telemetry.select(*_set_columns(telemetry)), batch_id, out, cfg)
+            committed.commit_batch(batch.sparkSession, out, batch_id)
         finally:
             batch.unpersist()
 
