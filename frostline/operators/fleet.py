@@ -6,7 +6,7 @@ Joins carry no broadcast hints. Spark broadcasts a dimension whose size it knows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,12 @@ def plate_history(fact: DataFrame, plate: str) -> DataFrame:
     """
     mine = fact.where(F.col("plate_number") == plate.strip().upper())
     seen = mine.groupBy("plate_number").agg(F.max("actual_start_time").alias("last_seen"))
+    return _history(mine.join(seen, "plate_number"))
+
+
+def _history(rows: DataFrame) -> DataFrame:
     return (
-        mine.join(seen, "plate_number")
-        .select(
+        rows.select(
             F.col("plate_number").alias("plate"),
             "vehicle",
             "owner",
@@ -66,5 +69,30 @@ def plate_history(fact: DataFrame, plate: str) -> DataFrame:
     )
 
 
+def plate_trips(
+    trips: DataFrame, trucks: DataFrame, owners: DataFrame, drivers: DataFrame, plate: str
+) -> DataFrame:
+    """plate_history straight from the tables: the plate is resolved to its truck first, and trips are read once.
+
+    The trucks of a plate are few and broadcast by their size; their ids filter the scan of trips at run time, so trips
+    laid out by truck (`write_trips`) are read in one bucket's files only, and no exchange moves trips of other trucks.
+    """
+    own = trucks.where(F.col("plate_number") == plate.strip().upper())
+    truck = own.select("truck_id", "plate_number", F.concat_ws(" ", "make", "model").alias("vehicle"))
+    mine = trips.join(F.broadcast(truck), "truck_id")
+    owner = owners.select("owner_id", F.col("company_name").alias("owner"))
+    driver = drivers.select(
+        "driver_id", F.concat_ws(" ", "first_name", "last_name").alias("driver"), F.col("status").alias("driver_status")
+    )
+    fact = mine.join(owner, "owner_id").join(driver, "driver_id")
+    seen = F.max("actual_start_time").over(Window.partitionBy("plate_number"))
+    return _history(fact.withColumn("last_seen", seen))
+
+
+def write_trips(trips: DataFrame, table: str, buckets: int) -> None:
+    """Trips as a table bucketed and sorted by truck: joins and groups by truck need no exchange of trips."""
+    trips.repartition(buckets, "truck_id").write.mode("overwrite").bucketBy(buckets, "truck_id").sortBy("truck_id").saveAsTable(table)
+
+
 def first_trip(trips: DataFrame) -> DataFrame:
     return trips.select("trip_id", "origin", "destination", "trip_status").orderBy("trip_id").limit(1)

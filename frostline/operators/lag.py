@@ -37,14 +37,20 @@ def lag_report(
     )
 
 
-def lag_summary(report: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Totals per group with both health flags: by worst partition (service) and by total (dashboard)."""
-    total, worst = F.sum("lag"), F.max("lag")
+def lag_summary(report: DataFrame, cfg: Settings = Settings(), groups: DataFrame | None = None) -> DataFrame:
+    """Totals per group with both health flags: by worst partition (service) and by total (dashboard).
+
+    `groups(consumer_group)` names groups to report in any case; one without partitions has no lag and is healthy.
+    """
+    if groups is not None:
+        report = report.unionByName(groups.select(GROUP).distinct(), allowMissingColumns=True)
+    n, none = F.count("partition"), F.lit(0).cast("bigint")
+    total, worst = F.coalesce(F.sum("lag"), none), F.coalesce(F.max("lag"), none)
     return report.groupBy(GROUP).agg(
-        F.count(F.lit(1)).alias("partitions"),
+        n.alias("partitions"),
         total.alias("total_lag"),
         worst.alias("max_partition_lag"),
-        ratio(total, F.count(F.lit(1)), 1).alias("average_partition_lag"),
+        F.coalesce(ratio(F.sum("lag"), n, 1), F.lit(0.0)).alias("average_partition_lag"),
         F.when(worst < cfg.lag_limit, "healthy").otherwise("degraded").alias("partition_status"),
         F.when(total > cfg.lag_limit, "degraded").otherwise("healthy").alias("total_status"),
     )
@@ -67,6 +73,32 @@ def group_assignments(members: DataFrame) -> DataFrame:
     )
 
 
+def group_overview(groups: DataFrame, members: DataFrame, report: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """One row for every group known from anywhere: its state, members, assigned partitions and lag.
+
+    `groups(consumer_group, state)` is what the cluster says of its groups; a group it does not describe has the state
+    `unknown`. Groups without members or partitions have zeros.
+    """
+    known = groups.select(GROUP).union(members.select(GROUP)).union(report.select(GROUP)).distinct()
+    none = F.lit(0).cast("bigint")
+    return (
+        lag_summary(report, cfg, known)
+        .join(group_assignments(members), GROUP, "left")
+        .join(groups.groupBy(GROUP).agg(F.max("state").alias("state")), GROUP, "left")
+        .select(
+            GROUP,
+            F.coalesce("state", F.lit("unknown")).alias("state"),
+            F.coalesce("members", none).alias("members"),
+            F.coalesce("assigned_partitions", none).alias("assigned_partitions"),
+            "partitions",
+            "total_lag",
+            "max_partition_lag",
+            "average_partition_lag",
+            "partition_status",
+        )
+    )
+
+
 def group_union(spark: SparkSession, discovered: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Discovered groups and configured ones, each once, in order."""
     configured = spark.range(1).select(F.explode(F.split(F.lit(cfg.lag_groups), ",")).alias(GROUP))

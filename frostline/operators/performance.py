@@ -56,10 +56,32 @@ def latency_percentiles(
     return ends.select(*by, "samples", *results)
 
 
+def latency_sketches(samples: DataFrame, by: list[str], k: int = 200) -> DataFrame:
+    """One row per run: `timed` samples and a quantile sketch of their latencies, a few kilobytes whatever their number.
+
+    Sketches of parts of a run, such as micro-batches, merge to the sketch of the run (`merge_sketches`), so they can be
+    kept and added up. Ranks are off by 1.33 % at the default k with 99 % confidence, by less for a larger one.
+    """
+    return samples.where(F.col("latency_ms").isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("timed"), F.kll_sketch_agg_double("latency_ms", F.lit(k)).alias("sketch")
+    )
+
+
+def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches of each run as one. Partial merges happen before the shuffle."""
+    return sketches.groupBy(*by).agg(F.sum("timed").alias("timed"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, by: list[str], percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
+    """Percentiles read from the sketches: values of the run whose rank is near the wanted one."""
+    read = [F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100.0)).alias(f"p{p}") for p in percents]
+    return sketches.select(*by, "timed", *read)
+
+
 def throughput_summary(samples: DataFrame, by: list[str], cfg: Settings = Settings()) -> DataFrame:
     """One row per run: processed, errors, rate, mean and tail latency, failure rate.
 
-    A sample without a latency counts as processed or failed, but not in the latencies; a run with none has null ones.
+    A sample without a latency counts as processed or failed, but not in the latencies; those of a run with none are 0.
     Sums are exact decimals, so that they hold for any number of samples.
     """
     base = samples.groupBy(*by).agg(
@@ -72,15 +94,16 @@ def throughput_summary(samples: DataFrame, by: list[str], cfg: Settings = Settin
     )
     tails = latency_percentiles(samples, by, (95, 99), 3, cfg)
     elapsed_us = F.greatest(F.col("completed_us") - F.col("started_us"), F.lit(MICROS // 1000))
+    none = F.lit(0.0)
     return base.join(tails, by, "left").select(
         *by,
         "processed",
         "error_count",
         ratio(elapsed_us, F.lit(MICROS), 3).alias("duration_seconds"),
         ratio(F.col("processed").cast("decimal(20,0)") * MICROS, elapsed_us, 2).alias("actual_rate"),
-        mean_from_fixed(F.col("total"), F.col("samples"), 3).alias("average_latency_ms"),
-        F.col("p95").alias("p95_latency_ms"),
-        F.col("p99").alias("p99_latency_ms"),
+        F.coalesce(mean_from_fixed(F.col("total"), F.col("samples"), 3), none).alias("average_latency_ms"),
+        F.coalesce("p95", none).alias("p95_latency_ms"),
+        F.coalesce("p99", none).alias("p99_latency_ms"),
         ratio(F.col("error_count").cast("decimal(20,0)"), F.col("all_samples"), 6).alias("failure_rate"),
         "started_us",
         "completed_us",
@@ -93,11 +116,14 @@ LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0)
 
 
 def latency_histogram(samples: DataFrame) -> DataFrame:
-    """Cumulative counts per upper bound in seconds, `+Inf` last. One pass, one row of counters, then unpivoted."""
+    """Cumulative counts per upper bound in seconds, `+Inf` last. One pass, one row of counters, then unpivoted.
+
+    A sample without a latency is in no bucket.
+    """
     seconds = F.col("latency_ms") / 1000.0
     labels = [*(str(b) for b in LATENCY_BOUNDS), "+Inf"]
     counters = [F.count_if(seconds <= b).alias(f"b{i}") for i, b in enumerate(LATENCY_BOUNDS)]
-    counters.append(F.count(F.lit(1)).alias(f"b{len(LATENCY_BOUNDS)}"))
+    counters.append(F.count("latency_ms").alias(f"b{len(LATENCY_BOUNDS)}"))
     cells = [v for i, label in enumerate(labels) for v in (F.lit(label), F.col(f"b{i}"))]
     return samples.agg(*counters).select(F.stack(F.lit(len(labels)), *cells).alias("le", "samples"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from frostline.config import Settings
 from frostline.functions import js_round
 from frostline.operators.ordered import (
+    dense_order,
     CHUNK,
     before_chunk,
     before_here,
@@ -171,6 +172,24 @@ SORTS = {
 }
 
 
+def fleet_positions(summary: DataFrame) -> DataFrame:
+    """Each truck with its place, from 1, in all four orders of the fleet list; the id breaks ties.
+
+    Places come from one distributed sort per order (dense_order), never from one task that ranks the whole fleet.
+    """
+    keyed = summary.withColumns(
+        {
+            "by_name": F.collate("name", "UNICODE"),
+            "by_speed": -F.col("speed"),
+            "by_eta": F.col("eta_minutes"),
+            "by_thermal": -F.col("thermal_variance"),
+        }
+    )
+    for order in ("name", "speed", "eta", "thermal"):
+        keyed = dense_order(keyed, [f"by_{order}", "id"], f"{order}_position").withColumn(f"{order}_position", F.col(f"{order}_position") + 1)
+    return keyed.drop("by_name", "by_speed", "by_eta", "by_thermal")
+
+
 def fleet_sorted(summary: DataFrame, by: str = "name") -> DataFrame:
     """Fleet list in one of the four orders. A range-partitioned sort; the id breaks ties."""
     return summary.orderBy(*SORTS[by]())

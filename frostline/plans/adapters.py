@@ -180,6 +180,27 @@ def latency_samples(events: DataFrame) -> DataFrame:
     )
 
 
+def timed_out_samples(events: DataFrame) -> DataFrame:
+    """The samples of the twenty runs where a failure has no latency, and the last run has none at all."""
+    lost = F.col("failed") | (F.col("run_id") == 19)
+    return latency_samples(events).withColumn("latency_ms", F.when(~lost, F.col("latency_ms")))
+
+
+def described_groups(spark: SparkSession) -> DataFrame:
+    """What a cluster says of its groups: one that reads, one that is empty and reads nothing."""
+    return spark.createDataFrame([("telemetry-worker", "STABLE"), ("idle-reader", "EMPTY")], "consumer_group STRING, state STRING")
+
+
+def worker_members(events: DataFrame) -> DataFrame:
+    """Members of the telemetry workers, a member per customer, with the partitions they hold."""
+    customer = F.col("user_id") % 5
+    return events.select(customer.alias("member")).distinct().select(
+        F.lit("telemetry-worker").alias("consumer_group"),
+        F.col("member").cast("string").alias("member_id"),
+        F.when(F.col("member") > 0, F.sequence(F.lit(1), F.col("member").cast("int"))).alias("assignment"),
+    )
+
+
 def with_targets(tests: DataFrame) -> DataFrame:
     """Give each test a target rate near what it reached, so that some fall short."""
     n = F.col("processed") + F.col("error_count")

@@ -224,6 +224,13 @@ def missing_events(spark, sf):
     return reconcile.missing_events(sent, received)
 
 
+@query
+def missing_events_by_checksum(spark, sf):
+    sent = adapters.telemetry(spark, sf).select(F.concat(F.lit("evt-"), F.col("arrival_seq")).alias("event_id"))
+    received = contract.valid_telemetry(_checked(spark, sf)).select("event_id")
+    return reconcile.missing_events_by_checksum(sent, received)
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------
 
 
@@ -257,6 +264,13 @@ def lag_summary(spark, sf):
     return lag.lag_summary(_lag(spark, sf), CFG)
 
 
+@query
+def group_overview(spark, sf):
+    """Groups with state, members and lag, among them one without partitions and one that nobody describes."""
+    members = adapters.worker_members(_events(spark, sf))
+    return lag.group_overview(adapters.described_groups(spark), members, _lag(spark, sf), CFG)
+
+
 @query
 def worker_lag(spark, sf):
     return lag.worker_lag(_lag(spark, sf), CFG)
@@ -296,6 +310,31 @@ def latency_histogram(spark, sf):
     return performance.latency_histogram(adapters.latency_samples(_events(spark, sf)))
 
 
+@query
+def timed_out_histogram(spark, sf):
+    return performance.latency_histogram(adapters.timed_out_samples(_events(spark, sf)))
+
+
+@query
+def timed_out_summary(spark, sf):
+    """Runs whose failures have no latency, and one without any."""
+    return performance.throughput_summary(adapters.timed_out_samples(_events(spark, sf)), ["run_id"], CFG)
+
+
+@query
+def sketched_latencies(spark, sf):
+    """Sketches of each run and day merged to the run's, and whether the ranks of what they give are near enough."""
+    samples = adapters.latency_samples(_events(spark, sf))
+    kept = performance.latency_sketches(samples, ["run_id", "seq"])
+    found = performance.sketched_percentiles(performance.merge_sketches(kept, ["run_id"]), ["run_id"])
+    checked = []
+    for p in (50, 95, 99):
+        below, through = F.count_if(F.col("latency_ms") < F.col(f"p{p}")), F.count_if(F.col("latency_ms") <= F.col(f"p{p}"))
+        error = F.greatest(below / F.first("timed") - p / 100.0, p / 100.0 - through / F.first("timed"))
+        checked.append((error <= 0.0133).alias(f"p{p}_is_near"))
+    return samples.join(found, "run_id").groupBy("run_id").agg(F.count("*").alias("samples"), F.max("timed").alias("timed"), *checked)
+
+
 @query
 def delivery_stats(spark, sf):
     return performance.delivery_stats(adapters.delivery_reports(_events(spark, sf)), 5, CFG)
@@ -397,6 +436,12 @@ def plate_history(spark, sf):
     return fleet.plate_history(_fact(spark, sf), " fl-71 ")
 
 
+@query
+def plate_trips(spark, sf):
+    t = adapters.fleet_tables(spark, sf)
+    return fleet.plate_trips(t["trips"], t["trucks"], t["owners"], t["drivers"], " fl-71 ")
+
+
 @query
 def first_trip(spark, sf):
     return fleet.first_trip(adapters.fleet_tables(spark, sf)["trips"])
@@ -470,6 +515,12 @@ def fleet_sorted(spark, sf):
     return routes.fleet_sorted(routes.route_summary(_vehicles(spark, sf)), "name").select("id", "name", "eta_minutes")
 
 
+@query
+def fleet_positions(spark, sf):
+    found = routes.fleet_positions(routes.route_summary(_vehicles(spark, sf)))
+    return found.select("id", "name_position", "speed_position", "eta_position", "thermal_position")
+
+
 @query
 def fleet_kpis(spark, sf):
     return routes.fleet_kpis(routes.route_summary(_vehicles(spark, sf)))
@@ -565,6 +616,37 @@ def stream_sustained_alerts(spark, sf):
     return _sustained(_run_table(spark, "sustained", streams.sustained_alerts(telemetry, CFG)))
 
 
+@query
+def stream_progress(spark, sf):
+    """Records and rejected ones of each micro-batch, counted by the stream that writes the dead letters."""
+    folder = new_folder(spark, "progress")
+    log = adapters.wire_from_telemetry(adapters.telemetry_from_events(_log_stream(spark, sf)))
+    checked = streams.counted(contract.check_reading(contract.parse_raw(log)))
+    running = streams.start_table(contract.dead_letters(checked, CFG), f"{folder}/rows", f"{folder}/checkpoint", ALL_AT_ONCE)
+    running.awaitTermination()
+    return streams.progress_rows(spark, running).drop("duration_ms")
+
+
+def _states_run(spark: SparkSession, sf: str) -> str:
+    folder = new_folder(spark, "states")
+    telemetry = windows.valid_readings(adapters.telemetry_from_events(_log_stream(spark, sf)))
+    states = streams.truck_states(telemetry, CFG)
+    streams.start_states(states, folder, f"{folder}/checkpoint", CFG, ALL_AT_ONCE).awaitTermination()
+    return f"{folder}/checkpoint"
+
+
+@query
+def stream_state_at(spark, sf):
+    """Open windows of all trucks after the second of four micro-batches, read after the stream has ended."""
+    return streams.current_state(spark, _states_run(spark, sf), batch_id=1)
+
+
+@query
+def stream_state_changes(spark, sf):
+    """The largest event times that the last two micro-batches gave to trucks."""
+    return streams.state_changes(spark, _states_run(spark, sf), 2, 3)
+
+
 # A clock without delay, since arrival times never go back, and trucks that are never forgotten.
 CLOCK_CFG = replace(CFG, clock_delay_seconds=0, idle_seconds=1_000_000)
 

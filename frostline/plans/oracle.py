@@ -340,6 +340,28 @@ oracle(
     "wire_running",
     "letters",
 )
+oracle(
+    "stream_progress",
+    f"""select batch as batch_id, count(*) as input_rows, count(*) as records,
+    count(*) filter (kind in (0, 1, 2, 3, 5, 7, 8, 9) or temp_cc = 0) as rejected
+    from damaged join {_turn} t on event_id = arrival_seq group by 1""",
+    "damaged",
+)
+relation("placed", f"select * from counted join {_turn} t on event_id = arrival_seq", "counted")
+oracle(
+    "stream_state_at",
+    """select customer_id, truck_id, top as max_event_us, w::double / 1e6::double as window_start, count(*) as sample_count,
+    arg_max(temperature, arrival_seq) as last_temperature
+    from (select *, max(event_us) over (partition by customer_id, truck_id) as top from placed where batch <= 1)
+    where not late and w + 330000000 >= top - 30000000 group by all""",
+    "placed",
+)
+oracle(
+    "stream_state_changes",
+    """select batch as batch_id, 'update' as change_type, customer_id, truck_id, max(mx) as max_event_us from placed
+    where batch in (2, 3) group by all""",
+    "placed",
+)
 oracle(
     "quality_gate",
     """select batch_id, records, rejected, rejected::double / records::double as error_rate,
@@ -370,12 +392,13 @@ oracle(
     "tel",
     "kept",
 )
-oracle(
-    "missing_events",
-    "select 'evt-' || arrival_seq as event_id from tel where arrival_seq not in (select arrival_seq from kept)",
-    "tel",
-    "kept",
-)
+for _name in ("missing_events", "missing_events_by_checksum"):
+    oracle(
+        _name,
+        "select 'evt-' || arrival_seq as event_id from tel where arrival_seq not in (select arrival_seq from kept)",
+        "tel",
+        "kept",
+    )
 
 # --- metrics -----------------------------------------------------------------------------------------------------
 
@@ -417,6 +440,20 @@ relation(
     "committed",
 )
 oracle("lag_report", "select * from lagging", "lagging")
+oracle(
+    "group_overview",
+    f"""select consumer_group, coalesce(state, 'unknown') as state, coalesce(members, 0) as members,
+    coalesce(assigned, 0)::bigint as assigned_partitions, coalesce(partitions, 0) as partitions, coalesce(total, 0)::bigint as total_lag,
+    coalesce(worst, 0)::bigint as max_partition_lag, coalesce(average, 0) as average_partition_lag,
+    case when coalesce(worst, 0) < 1000 then 'healthy' else 'degraded' end as partition_status
+    from (select unnest(['telemetry-worker', 'audit-reader', 'idle-reader']) as consumer_group,
+                 unnest(['STABLE', null, 'EMPTY']) as state)
+    left join (select consumer_group, count(*) as partitions, sum(lag) as total, max(lag) as worst,
+                      {ratio("sum(lag)", "count(*)", 1)} as average from lagging group by 1) using (consumer_group)
+    left join (select 'telemetry-worker' as consumer_group, count(*) as members, sum(member) as assigned
+               from (select distinct user_id % 5 as member from events)) using (consumer_group)""",
+    "lagging",
+)
 oracle(
     "lag_summary",
     f"""select consumer_group, count(*) as partitions, sum(lag)::bigint as total_lag, max(lag) as max_partition_lag,
@@ -491,6 +528,34 @@ oracle(
     from (select unnest(['0.001', '0.005', '0.01', '0.05', '0.1', '0.5', '1.0', '5.0', '+Inf']) as le)""",
     "samples",
 )
+relation(
+    "timed",
+    """
+    select * replace (case when not failed and run_id <> 19 then value_f end as value_f,
+                      case when not failed and run_id <> 19 then value end as value) from samples""",
+    "samples",
+)
+oracle(
+    "timed_out_histogram",
+    """select le, case when le = '+Inf' then (select count(value) from timed)
+      else (select count(*) from timed where value / 1000.0::double <= le::double) end as samples
+    from (select unnest(['0.001', '0.005', '0.01', '0.05', '0.1', '0.5', '1.0', '5.0', '+Inf']) as le)""",
+    "timed",
+)
+_body = summary("run_id").replace("from samples group by", "from timed group by").replace("join (select", "left join (select")
+_body = _body.replace("as n from samples)", "as n from timed where value_f is not null)")
+_body = _body.replace(rounded("sum(value_f)", "count(*) * 1000", 3), f"coalesce({rounded('sum(value_f)', 'count(value_f) * 1000', 3)}, 0)")
+oracle(
+    "timed_out_summary",
+    _body.replace("p95 as p95", "coalesce(p95, 0) as p95").replace("p99 as p99_l", "coalesce(p99, 0) as p99_l"),
+    "timed",
+)
+oracle(
+    "sketched_latencies",
+    """select run_id, count(*) as samples, count(*) as timed, true as p50_is_near, true as p95_is_near, true as p99_is_near
+    from samples group by 1""",
+    "samples",
+)
 oracle(
     "delivery_stats",
     f"""select topic, slot * 5 as window_start, published, delivered, published - delivered as errors,
@@ -702,14 +767,15 @@ relation(
     "trips_t",
 )
 oracle("trip_fact", "select * from fact", "fact")
-oracle(
-    "plate_history",
-    """select plate_number as plate, vehicle, owner, driver, driver_status, max(actual_start_time) over () as last_seen,
-    trip_id, substr(actual_start_time, 1, 10) as date, origin || ' - ' || destination as route,
-    case trip_status when 'completed' then 'Completed' when 'in_transit' then 'In Transit' else 'Scheduled' end as status,
-    distance_km::bigint || ' km' as distance from fact where plate_number = 'FL-71'""",
-    "fact",
-)
+for _name in ("plate_history", "plate_trips"):
+    oracle(
+        _name,
+        """select plate_number as plate, vehicle, owner, driver, driver_status, max(actual_start_time) over () as last_seen,
+        trip_id, substr(actual_start_time, 1, 10) as date, origin || ' - ' || destination as route,
+        case trip_status when 'completed' then 'Completed' when 'in_transit' then 'In Transit' else 'Scheduled' end as status,
+        distance_km::bigint || ' km' as distance from fact where plate_number = 'FL-71'""",
+        "fact",
+    )
 oracle(
     "first_trip",
     "select trip_id, origin, destination, trip_status from trips_t order by trip_id limit 1",
@@ -791,6 +857,13 @@ relation(
 )
 oracle("route_summary", "select * from summaries", "summaries")
 oracle("fleet_sorted", "select id, name, eta_minutes from summaries", "summaries")
+oracle(
+    "fleet_positions",
+    """select id, row_number() over (order by name, id) as name_position, row_number() over (order by speed desc, id) as speed_position,
+    row_number() over (order by eta_minutes, id) as eta_position,
+    row_number() over (order by thermal_variance desc, id) as thermal_position from summaries""",
+    "summaries",
+)
 oracle(
     "fleet_kpis",
     """select count(*) as total_trucks, count(*) filter (status = 'moving') as moving,

@@ -59,11 +59,17 @@ def csv_lines(rows: DataFrame, fields: tuple[str, ...] = ALERT_EXPORT) -> DataFr
     return rows.select(F.concat_ws(",", *[cell(f) for f in fields]).alias("line"))
 
 
-def export_rows(rows: DataFrame, path: str, fields: tuple[str, ...], kind: str = "csv") -> None:
-    """Export to CSV with a header or to JSON lines, as distributed part files."""
+def export_rows(rows: DataFrame, path: str, fields: tuple[str, ...], kind: str = "csv") -> bool:
+    """Export to CSV with a header or to JSON lines, as distributed part files; whether there was anything to export.
+
+    Without rows nothing is written, and an older export at the place stays as it is.
+    """
     chosen = rows.select(*fields)
+    if chosen.isEmpty():
+        return False
     if kind == "json":
         chosen.write.mode("overwrite").json(path)
-        return
+        return True
     options = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": '""', "nullValue": ""}
     chosen.write.mode("overwrite").options(**options).csv(path)
+    return True

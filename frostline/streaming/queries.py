@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -323,14 +323,10 @@ def start_dead_letters(
     """
 
     def write_and_judge(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            write_batch(contract.dead_letters(batch, cfg), path, batch_id)
-            judged = contract.quality_gate(batch.withColumn("micro_batch", F.lit(batch_id)), ["micro_batch"], cfg)
-            tripped = not judged.where("tripped").isEmpty()
-        finally:
-            batch.unpersist()
-        if tripped:
+        seen = Observation()  # counted while the dead letters are written, at no pass of its own
+        write_batch(contract.dead_letters(counted(batch, seen), cfg), path, batch_id)
+        records, rejected = seen.get["records"], seen.get["rejected"]
+        if records >= cfg.gate_min_records and rejected >= records * cfg.gate_error_rate:
             raise RuntimeError(f"quality gate tripped in micro-batch {batch_id}; see the dead letters in {path}")
 
     refuse_old_output(checked.sparkSession, path, checkpoint)
@@ -342,6 +338,27 @@ def start_dead_letters(
     )
 
 
+def counted(checked: DataFrame, name: str | Observation = "counts") -> DataFrame:
+    """Checked records that are counted, all and the rejected ones, by whatever job runs over them.
+
+    In a stream the counts of each micro-batch are in the query's progress under `name` (see progress_rows).
+    """
+    rejected = F.count_if(F.size("errors") > 0)
+    return checked.observe(name, F.count(F.lit(1)).alias("records"), rejected.alias("rejected"))
+
+
+def progress_rows(spark: SparkSession, query: StreamingQuery, name: str = "counts") -> DataFrame:
+    """One row per recent micro-batch of a query: records read, records and rejected ones counted on the way (`counted`),
+    and its duration. Spark keeps the last 100 or so; micro-batches without data have none."""
+    rows = []
+    for p in query.recentProgress:
+        if p["numInputRows"]:
+            seen = (p["observedMetrics"] or {}).get(name)
+            counts = (seen["records"], seen["rejected"]) if seen is not None else (None, None)
+            rows.append((p["batchId"], p["numInputRows"], *counts, p["durationMs"].get("triggerExecution")))
+    return spark.createDataFrame(rows, "batch_id BIGINT, input_rows BIGINT, records BIGINT, rejected BIGINT, duration_ms BIGINT")
+
+
 def to_messages(rows: DataFrame, key: Column | None = None) -> DataFrame:
     """Rows as keyed JSON messages for a topic; the key is `customer:truck` unless given."""
     body = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
@@ -370,9 +387,18 @@ def native_windows(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFram
     )
 
 
-def current_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """State of every truck as of the last committed micro-batch, one row per open window."""
-    store = spark.read.format("statestore").option("stateVarName", "truck").load(checkpoint)
+def state_changes(spark: SparkSession, checkpoint: str, first: int, last: int) -> DataFrame:
+    """What micro-batches first to last did to the state of trucks: batch_id, change_type (update or delete), the truck
+    and its largest event time, null for one that was forgotten."""
+    feed = spark.read.format("statestore").option("stateVarName", "truck").option("readChangeFeed", "true")
+    feed = feed.option("changeStartBatchId", first).option("changeEndBatchId", last).load(checkpoint)
+    return feed.select("batch_id", "change_type", "key.*", "value.max_event_us")
+
+
+def current_state(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """State of every truck as of a micro-batch, the last committed one unless given, one row per open window."""
+    store = spark.read.format("statestore").option("stateVarName", "truck")
+    store = (store if batch_id is None else store.option("batchId", batch_id)).load(checkpoint)
     return store.select("key.*", "value.max_event_us", F.explode_outer("value.windows").alias("w")).select(
         *TRUCK,
         "max_event_us",

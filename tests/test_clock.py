@@ -178,3 +178,31 @@ def test_old_dead_letters_are_refused(spark, live, tmp_path):
     checked = streams.check_wire(live.readStream.schema(LOGGED).parquet(f"{tmp_path}/in"))
     with pytest.raises(ValueError, match="another query"):
         streams.start_dead_letters(checked, f"{tmp_path}/dead", f"{tmp_path}/new", trigger=ONCE)
+
+
+# --- progress ----------------------------------------------------------------------------------------------------
+
+
+def test_progress_of_a_log_query_becomes_lag(spark):
+    from types import SimpleNamespace
+
+    from frostline.operators import lag
+
+    source = {"latestOffset": {"raw": {"0": 50, "1": 9}}, "endOffset": json.dumps({"raw": {"0": 40}})}
+    query = SimpleNamespace(name="states", id="x", lastProgress={"sources": [source]})
+    committed, latest = streams.progress_offsets(spark, query, "raw")
+    report = lag.lag_report(committed.select("consumer_group", "topic").distinct(), latest, committed)
+    assert {(r.partition, r.current_offset, r.lag) for r in report.collect()} == {(0, 40, 10), (1, 0, 9)}
+    nothing = SimpleNamespace(name=None, id="x", lastProgress=None)
+    assert [d.count() for d in streams.progress_offsets(spark, nothing, "raw")] == [0, 0]
+
+
+def test_changes_of_the_state_name_the_forgotten(spark, live, tmp_path):
+    data, out, cp = (f"{tmp_path}/{n}" for n in ("in", "out", "cp"))
+    cfg = Settings(idle_seconds=60, clock_delay_seconds=0)
+    clocked(spark, data, [("quiet", 0, -18.0), ("busy", 0, -18.0)], [("busy", 100, -18.0)], [("busy", 110, -18.0)])
+    states = streams.truck_states(telemetry(live, data), cfg, clock="received")
+    streams.start_states(states, out, cp, cfg, ONCE).awaitTermination()
+    assert {r.truck_id for r in streams.current_state(spark, cp, 0).collect()} == {"quiet", "busy"}
+    changes = [(r.change_type, r.truck_id, r.max_event_us) for r in streams.state_changes(spark, cp, 1, 2).collect()]
+    assert ("delete", "quiet", None) in changes and ("update", "busy", (B + 110) * 1_000_000) in changes

@@ -1,5 +1,5 @@
 from frostline.config import Settings
-from frostline.operators import fleet, lag, metrics, performance, routes
+from frostline.operators import fleet, lag, metrics, performance, reconcile, routes
 from frostline.schemas import DRIVERS, OWNERS, TRIPS, TRUCKS, VEHICLES
 from frostline.sources import tables
 
@@ -145,3 +145,55 @@ def test_results_are_appended_in_snake_case(spark, tmp_path):
     saved = spark.read.parquet(f"{tmp_path}/tests")
     assert saved.columns == ["id", "p95_latency_ms"] and saved.count() == 2
     assert performance.find_test(saved, "missing").count() == 0
+
+
+def test_an_empty_export_writes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "id STRING, n INT")
+    for kind in ("csv", "json"):
+        assert not tables.export_rows(rows.limit(0), f"{tmp_path}/{kind}", ("id", "n"), kind)
+        assert not (tmp_path / kind).exists()
+        assert tables.export_rows(rows, f"{tmp_path}/{kind}", ("id", "n"), kind) and (tmp_path / kind).exists()
+        assert not tables.export_rows(rows.limit(0), f"{tmp_path}/{kind}", ("id", "n"), kind)
+        assert len(spark.read.text(f"{tmp_path}/{kind}").collect()) >= 1
+
+
+def test_groups_without_partitions_or_description(spark):
+    groups = spark.createDataFrame([("a", "STABLE"), ("idle", "EMPTY")], "consumer_group STRING, state STRING")
+    members = spark.createDataFrame([("a", "m1", [1, 2]), ("a", "m2", None)], "consumer_group STRING, member_id STRING, assignment ARRAY<INT>")
+    report = spark.createDataFrame([("a", "t", 0, 5), ("b", "t", 0, 7)], "consumer_group STRING, topic STRING, partition INT, lag BIGINT")
+    got = {r.consumer_group: tuple(r)[1:7] for r in lag.group_overview(groups, members, report).collect()}
+    assert got == {"a": ("STABLE", 2, 2, 1, 5, 5), "b": ("unknown", 0, 0, 1, 7, 7), "idle": ("EMPTY", 0, 0, 0, 0, 0)}
+    (empty,) = lag.lag_summary(report.limit(0), groups=groups.limit(1)).collect()
+    assert (empty.total_lag, empty.average_partition_lag, empty.partition_status, empty.total_status) == (0, 0.0, "healthy", "healthy")
+
+
+def test_only_buckets_that_differ_are_joined(spark):
+    ids = [f"e{i}" for i in range(5000)]
+    sent = spark.createDataFrame([(i,) for i in [*ids, "twice", "twice", None]], "event_id STRING")
+    received = spark.createDataFrame([(i,) for i in ids if i not in ("e7", "e4000")] + [("twice",), ("extra",), (None,)], "event_id STRING")
+    assert reconcile.changed_buckets(sent, sent).count() == 0
+    assert reconcile.changed_buckets(sent, received).count() <= 4
+    missing = reconcile.missing_events_by_checksum(sent, received)
+    assert sorted(r.event_id for r in missing.collect()) == ["e4000", "e7"]
+    plan = missing._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert reconcile.missing_events_by_checksum(sent, sent).count() == 0
+
+
+def test_trips_by_truck_are_not_exchanged(spark, sf_dir):
+    """A plate is resolved first; trips are read once, and a layout by truck spares the join its exchange."""
+    from frostline.plans import adapters
+
+    t = adapters.fleet_tables(spark, sf_dir)
+    found = fleet.plate_trips(t["trips"], t["trucks"], t["owners"], t["drivers"], "fl-71")
+    want = fleet.plate_history(fleet.trip_fact(t["trips"], t["trucks"], t["owners"], t["drivers"]), "fl-71")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 1
+    assert found.collect() == want.collect()
+    spark.sql("drop table if exists trips_by_truck")
+    fleet.write_trips(t["trips"], "trips_by_truck", 4)
+    laid_out = spark.table("trips_by_truck")
+    totals = laid_out.groupBy("truck_id").count()
+    assert "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert totals.agg({"count": "sum"}).first()[0] == t["trips"].count()
+    spark.sql("drop table trips_by_truck")

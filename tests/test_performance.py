@@ -33,7 +33,7 @@ def test_samples_without_latency(spark, chunk_rows):
     assert (row.run, row.samples, row.p50) == ("r", 4, 2.5)
     got = {r.run: r for r in performance.throughput_summary(df, ["run"], Settings(chunk_rows=chunk_rows)).collect()}
     assert (got["r"].processed, got["r"].error_count, got["r"].average_latency_ms) == (5, 1, 2.5)
-    assert got["r"].failure_rate == 0.166667 and got["lost"].average_latency_ms is None
+    assert got["r"].failure_rate == 0.166667 and (got["lost"].average_latency_ms, got["lost"].p95_latency_ms) == (0.0, 0.0)
 
 
 def test_rates_of_very_long_runs(spark):
@@ -93,6 +93,26 @@ def test_histogram_is_cumulative(spark):
     }
 
 
+def test_samples_without_latency_are_in_no_bucket(spark):
+    rows = [("r", v, False, i) for i, v in enumerate([1.0, None, None])]
+    df = spark.createDataFrame(rows, "run STRING, latency_ms DOUBLE, failed BOOLEAN, event_us BIGINT")
+    assert {r.le: r.samples for r in performance.latency_histogram(df).collect()}["+Inf"] == 1
+
+
+def test_sketches_merge_and_stay_near(spark):
+    """Sketches of parts, merged, against exact ranks over far more samples than a sketch holds."""
+    rng = random.Random(12)
+    values = [rng.expovariate(0.01) for _ in range(30_000)]
+    df = spark.createDataFrame([("r", i % 7, v) for i, v in enumerate(values)] + [("r", 0, None), ("none", 0, None)], "run STRING, part INT, latency_ms DOUBLE")
+    parts = performance.latency_sketches(df, ["run", "part"])
+    (row,) = performance.sketched_percentiles(performance.merge_sketches(parts, ["run"]), ["run"]).collect()
+    assert (row.run, row.timed) == ("r", 30_000)
+    for p in (50, 95, 99):
+        rank = sum(v <= row[f"p{p}"] for v in values) / len(values)
+        assert abs(rank - p / 100) < 0.0133
+    assert parts.agg(F.max(F.octet_length("sketch"))).first()[0] < 20_000
+
+
 @pytest.mark.parametrize("chunk_rows", [1, 1_000_000])
 def test_delivery_totals_run_across_windows(spark, chunk_rows):
     rows = [("t", s * 1_000_000, ok) for s, ok in [(0, True), (1, False), (6, True), (21, True)]]
