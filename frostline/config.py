@@ -25,6 +25,9 @@ class Settings:
     idle_seconds: int = 1200
     clock_delay_seconds: int = 600
 
+    # How much older than its truck's newest reading a reading may be to still count in sliding windows of a stream
+    pane_seconds_kept: int = 3600
+
     # Bottleneck rule
     p95_limit_ms: float = 500.0
     failure_rate_limit: float = 0.05

@@ -659,6 +659,13 @@ def stream_silent_heat(spark, sf):
     return _sustained(_run_table(spark, "silent", streams.sustained_alerts(telemetry, CLOCK_CFG, "received")))
 
 
+@query
+def stream_sliding_aggregates(spark, sf):
+    """Sliding windows kept as panes over four micro-batches."""
+    telemetry = windows.valid_readings(adapters.telemetry_from_events(_log_stream(spark, sf)))
+    return streams.latest_windows(_run_table(spark, "sliding", streams.sliding_states(telemetry, CFG)), CFG)
+
+
 @query
 def stream_log_aggregates(spark, sf):
     """Running aggregates of trucks whose readings are in several log partitions, in the order of each micro-batch."""

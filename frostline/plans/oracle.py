@@ -146,16 +146,17 @@ for _name in (
     "stream_set_running_aggregates",
 ):
     oracle(_name, f"select {aggregate_columns('arrival_seq, late,')} from running", "running")
-oracle(
-    "sliding_aggregates",
-    f"""select {aggregate_columns()} from (
-      select customer_id, truck_id, w, count(*) as n, sum(temp_cc)::bigint as s, min(temp_cc) as mn, max(temp_cc) as mxx,
-             arg_max(target_cc, arrival_seq) as tg
-      from (select * exclude (w), unnest(range(event_us - event_us % 10000000 - 290000000,
-                                               event_us - event_us % 10000000 + 1, 10000000)) as w from v)
-      group by 1, 2, 3)""",
-    "v",
-)
+for _name in ("sliding_aggregates", "stream_sliding_aggregates"):
+    oracle(
+        _name,
+        f"""select {aggregate_columns()} from (
+          select customer_id, truck_id, w, count(*) as n, sum(temp_cc)::bigint as s, min(temp_cc) as mn, max(temp_cc) as mxx,
+                 arg_max(target_cc, arrival_seq) as tg
+          from (select * exclude (w), unnest(range(event_us - event_us % 10000000 - 290000000,
+                                                   event_us - event_us % 10000000 + 1, 10000000)) as w from v)
+          group by 1, 2, 3)""",
+        "v",
+    )
 
 # --- alerts ------------------------------------------------------------------------------------------------------
 

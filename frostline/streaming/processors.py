@@ -253,3 +253,80 @@ class SustainedHeat(_Timed):
             self.state.update((started, temperature, latitude, longitude, True, None, idle_ms))
         if at_ms == idle_ms:
             self.state.clear()
+
+
+_PANE = "pane_us: BIGINT, n: BIGINT, total: BIGINT, low: DOUBLE, high: DOUBLE, target: DOUBLE, seq: BIGINT"
+PANE_STATE = f"panes ARRAY<STRUCT<{_PANE}>>, readings BIGINT"
+SLIDING_COLUMNS = (
+    "customer_id STRING, truck_id STRING, window_us BIGINT, sample_count BIGINT, sum_fixed BIGINT, min_raw DOUBLE, "
+    "max_raw DOUBLE, target_raw DOUBLE"
+)
+
+
+class SlidingPanes(StatefulProcessor):
+    """Sliding windows of a truck from panes one slide wide; a row for each window that a micro-batch has changed.
+
+    The state holds the panes of the last `pane_seconds_kept`, whatever the number of readings. A window is put together
+    from the panes it covers, all windows at once on a grid of panes, so a reading costs one pane and not one row for each
+    of the windows that it is in.
+    """
+
+    def __init__(self, cfg: Settings = Settings()) -> None:
+        self.cfg = cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("panes", PANE_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, before = self.state.get() if self.state.exists() else ([], 0)
+        readings = _in_order(rows)
+        slide, wide = self.cfg.slide_us, self.cfg.window_us // self.cfg.slide_us
+        event = readings["event_us"].to_numpy(np.int64)
+        temperature = readings["temperature"].to_numpy(np.float64)
+        new = pd.DataFrame(
+            {"pane_us": event - event % slide, "n": 1, "total": _fixed(temperature), "low": temperature, "high": temperature}
+        ).assign(target=readings["target_temperature"].to_numpy(np.float64), seq=before + np.arange(len(event)))
+        changed = np.unique(new["pane_us"].to_numpy())
+        old = pd.DataFrame([tuple(p) for p in held], columns=list(new.columns)).astype(new.dtypes.to_dict())
+        parts = pd.concat([old, new], ignore_index=True).sort_values("seq", kind="stable")
+        panes = parts.groupby("pane_us", sort=True).agg(
+            n=("n", "sum"), total=("total", "sum"), low=("low", "min"), high=("high", "max"), target=("target", "last"), seq=("seq", "last")
+        )
+
+        # A grid of panes from one window before the first changed one to one window after the last.
+        first = int(changed[0]) - (wide - 1) * slide
+        size = (int(changed[-1]) - int(changed[0])) // slide + 2 * wide - 1
+        at = (panes.index.to_numpy(np.int64) - first) // slide
+        near = (at >= 0) & (at < size)
+
+        def grid(column: str, empty) -> np.ndarray:
+            cells = np.full(size, empty, panes[column].dtype)
+            cells[at[near]] = panes[column].to_numpy()[near]
+            return np.lib.stride_tricks.sliding_window_view(cells, wide)
+
+        starts = first + np.arange(size - wide + 1) * slide
+        marks = np.zeros(size, np.int64)
+        marks[(changed - first) // slide] = 1
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(marks)])
+        touched = np.flatnonzero(sums[wide:] - sums[:-wide])
+        latest = grid("seq", -1)[touched].argmax(axis=1)
+        out = pd.DataFrame(
+            {
+                "customer_id": key[0],
+                "truck_id": key[1],
+                "window_us": starts[touched],
+                "sample_count": grid("n", 0)[touched].sum(axis=1),
+                "sum_fixed": grid("total", 0)[touched].sum(axis=1),
+                "min_raw": grid("low", np.inf)[touched].min(axis=1),
+                "max_raw": grid("high", -np.inf)[touched].max(axis=1),
+                "target_raw": grid("target", np.nan)[touched, latest],
+            }
+        )
+        newest = int(panes.index.max())
+        kept = panes[panes.index >= newest - self.cfg.pane_seconds_kept * MICROS - self.cfg.window_us].reset_index()
+        rows_kept = [(int(p), int(n), int(t), float(a), float(b), float(g), int(q)) for p, n, t, a, b, g, q in kept.itertuples(index=False)]
+        self.state.update((rows_kept, before + len(event)))
+        yield out
+
+    def close(self) -> None:
+        pass

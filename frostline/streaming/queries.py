@@ -14,7 +14,14 @@ from frostline.operators import anomalies, contract, windows
 from frostline.operators.ordered import log_order
 from frostline.operators.windows import ORDER, TRUCK
 from frostline.streaming import committed
-from frostline.streaming.processors import RUN_COLUMNS, STATE_COLUMNS, SustainedHeat, TruckWindows
+from frostline.streaming.processors import (
+    RUN_COLUMNS,
+    SLIDING_COLUMNS,
+    STATE_COLUMNS,
+    SlidingPanes,
+    SustainedHeat,
+    TruckWindows,
+)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -131,6 +138,30 @@ def sustained_alerts(telemetry: DataFrame, cfg: Settings = Settings(), clock: st
     )
 
 
+def sliding_states(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Streaming form of windows.sliding_aggregates: each window that a micro-batch has changed, as it is then.
+
+    Windows hold every reading that is at most pane_seconds_kept older than its truck's newest; older ones would open
+    windows whose other readings are gone. `latest_windows` gives the last state of each window.
+    """
+    if cfg.window_us % cfg.slide_us:
+        raise ValueError("window_seconds must be a multiple of slide_seconds")
+    columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", *_log(telemetry)]
+    return (
+        telemetry.select(*columns)
+        .groupBy(*TRUCK)
+        .transformWithStateInPandas(SlidingPanes(cfg), outputStructType=SLIDING_COLUMNS, outputMode="append", timeMode="None")
+    )
+
+
+def latest_windows(states: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """Sliding aggregates from all states that a stream has written: a window only gains readings, so the state with the
+    most of them is its last."""
+    value = [c for c in states.columns if c not in (*TRUCK, "window_us", "batch_id")]
+    last = states.groupBy(*TRUCK, "window_us").agg(F.max_by(F.struct(*value), "sample_count").alias("last"))
+    return windows.finish_aggregate(last.select(*TRUCK, "window_us", "last.*"), cfg)
+
+
 def _stable_id(rows: DataFrame, kind: str) -> Column:
     """Same id on every replay of the same record, and another for any other: its place in the log, or in its truck."""
     truck_place = F.concat_ws(":", *TRUCK, ORDER)

@@ -121,6 +121,21 @@ def test_many_windows_in_one_micro_batch(spark, live, tmp_path):
         assert rows_of(got) == rows_of(windows.running_aggregates(to_frame(spark, events)).select(got.columns))
 
 
+def test_sliding_windows_of_a_stream_equal_the_batch(spark, live, tmp_path):
+    """Five micro-batches of readings out of order, with windows far apart, and panes that leave the state."""
+    events = random_events(8, 500, 3, 0.5)
+    events += [(500 + i, "t0", int((B + 50_000 + 3 * i) * 1_000_000), -1800 - i, -18.0) for i in range(60)]
+    write_parts(spark, events, f"{tmp_path}/in", 0, 560, 112)
+    for cfg in (Settings(), Settings(window_seconds=60, slide_seconds=20)):
+        name = f"{tmp_path}/{cfg.window_seconds}"
+        states = streams.sliding_states(source(live, f"{tmp_path}/in"), cfg)
+        streams.start_table(states, f"{name}/out", f"{name}/cp", ONCE).awaitTermination()
+        got = streams.latest_windows(spark.read.parquet(f"{name}/out"), cfg)
+        assert rows_of(got) == rows_of(windows.sliding_aggregates(to_frame(spark, events), cfg))
+        kept = spark.read.format("statestore").option("stateVarName", "panes").load(f"{name}/cp")
+        assert kept.agg(F.max(F.size("value.panes"))).first()[0] <= (3600 + cfg.window_seconds) // cfg.slide_seconds + 1
+
+
 # --- one truck in two log partitions -----------------------------------------------------------------------------
 
 
