@@ -11,8 +11,10 @@ from frostline.functions.numbers import (
 from frostline.functions.text import alert_label, partition_key, trim_blank
 from frostline.functions.times import (
     epoch_micros,
+    iso_micros,
     iso_utc,
     micros_to_seconds,
+    seconds_between,
     window_floor,
 )
 
@@ -23,6 +25,7 @@ __all__ = [
     "epoch_micros",
     "fixed_point",
     "is_finite",
+    "iso_micros",
     "iso_utc",
     "js_round",
     "mean_from_fixed",
@@ -30,6 +33,7 @@ __all__ = [
     "partition_key",
     "ratio",
     "round_half_away",
+    "seconds_between",
     "trim_blank",
     "window_floor",
 ]

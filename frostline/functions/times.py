@@ -24,3 +24,13 @@ def window_floor(micros: Column, size_us: int) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def iso_micros(text: Column) -> Column:
+    """Epoch microseconds of an ISO-8601 time, `Z` or an offset at its end or else UTC; null if it is none."""
+    return F.unix_micros(F.try_to_timestamp(text))
+
+
+def seconds_between(start_us: Column, end_us: Column) -> Column:
+    """Whole seconds from one time to another, never negative."""
+    return F.greatest(F.lit(0).cast("bigint"), F.call_function("div", end_us - start_us, F.lit(1_000_000)))

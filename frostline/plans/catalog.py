@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.config import Settings
+from frostline.functions import iso_micros, seconds_between
 from frostline.operators import anomalies, bottleneck, contract, fleet, lag, metrics, performance, reconcile, routes
 from frostline.operators import windows
 from frostline.plans import adapters
@@ -376,6 +377,14 @@ def bottleneck_lifecycle(spark, sf):
     return bottleneck.bottleneck_lifecycle(_tests(spark, sf), moves, TEST_CFG)
 
 
+@query
+def test_durations(spark, sf):
+    """Seconds that tests took, from the ISO times of their stored rows."""
+    started, completed = iso_micros(F.col("started_at")), iso_micros(F.col("completed_at"))
+    rows = throughput_test_rows(spark, sf)
+    return rows.select("id", started.alias("started_us"), seconds_between(started, completed).alias("seconds"))
+
+
 @query
 def bottleneck_alerts_split(spark, sf):
     return bottleneck.bottleneck_alerts(_tests(spark, sf), replace(TEST_CFG, chunk_rows=4))
@@ -659,6 +668,14 @@ def stream_silent_heat(spark, sf):
     return _sustained(_run_table(spark, "silent", streams.sustained_alerts(telemetry, CLOCK_CFG, "received")))
 
 
+@query
+def stream_native_windows(spark, sf):
+    """Windows on Spark's shared watermark, those that are closed at the end of four micro-batches."""
+    telemetry = windows.valid_readings(adapters.telemetry_from_events(_log_stream(spark, sf)))
+    closed = streams.native_windows(telemetry, CFG).select("customer_id", "truck_id", "window_us", "sample_count", "sum_fixed")
+    return _run_table(spark, "native", closed)
+
+
 @query
 def stream_sliding_aggregates(spark, sf):
     """Sliding windows kept as panes over four micro-batches."""

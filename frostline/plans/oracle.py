@@ -229,6 +229,27 @@ for _prefix, _order in (("log", "arrival_seq % 3, arrival_seq"), ("turn", "batch
 oracle("log_running_aggregates", f"select {aggregate_columns('arrival_seq, late,')} from log_running", "log_running")
 oracle("stream_log_aggregates", f"select {aggregate_columns('late,')} from turn_running", "turn_running")
 
+relation(
+    "marks",
+    f"""
+    select c.batch, max(event_us) // 1000 - 30000 as mark_ms
+    from (select event_us, batch from v join {_turn} t on event_id = arrival_seq) r
+    join (select unnest(range(0, 5)) as batch) c on r.batch < c.batch group by 1""",
+    "v",
+)
+# The shared watermark of a micro-batch comes from those before it, and a reading is late by the one before that. A reading
+# is left out if its window was closed by then; windows come out once the watermark is past their end.
+oracle(
+    "stream_native_windows",
+    f"""select customer_id, truck_id, w as window_us, count(*) as sample_count, sum(temp_cc * 10000)::bigint as sum_fixed
+    from (select v.*, batch from v join {_turn} t on event_id = arrival_seq) r
+    left join marks on marks.batch = r.batch - 1
+    where (mark_ms is null or (w + 300000000) // 1000 > mark_ms) and (w + 300000000) // 1000 <= (select max(mark_ms) from marks)
+    group by all""",
+    "v",
+    "marks",
+)
+
 # The clock of a micro-batch is the latest arrival of the micro-batches before it; the fifth one has no readings. A run
 # that has not fired by the last reading of a micro-batch fires in the first one from then on whose clock is past its
 # time, if no reading of the truck comes in between.
@@ -616,6 +637,11 @@ oracle(
     case when nth = 2 and alert_type is not null then node_id end as bottleneck_node from numbered""",
     "numbered",
 )
+oracle(
+    "test_durations",
+    "select id, started_us, (completed_us - started_us) // 1000000 as seconds from tests",
+    "tests",
+)
 _four = rounded("round(x * 1000000)::bigint", "100", 4)
 for _name in ("bottleneck_alerts", "bottleneck_alerts_split"):
     oracle(
