@@ -427,6 +427,11 @@ def export_alerts(spark, sf):
     return tables.csv_lines(alerts, tables.ALERT_EXPORT)
 
 
+@query
+def export_tests(spark, sf):
+    return tables.csv_lines(throughput_test_rows(spark, sf), tables.TEST_EXPORT)
+
+
 # --- fleet and routes --------------------------------------------------------------------------------------------
 
 
@@ -625,6 +630,18 @@ def stream_sustained_alerts(spark, sf):
     return _sustained(_run_table(spark, "sustained", streams.sustained_alerts(telemetry, CFG)))
 
 
+@query
+def stream_messages(spark, sf):
+    """How many messages a stream sends to each topic under each key, one per reading, alert and dead letter."""
+    folder = new_folder(spark, "messages")
+    log = adapters.wire_from_telemetry(adapters.telemetry_from_events(_log_stream(spark, sf)))
+    checked = contract.check_reading(contract.parse_raw(log))
+    send = lambda rows: rows.write.mode("append").parquet(f"{folder}/sent")
+    streams.start_log(checked, folder, f"{folder}/checkpoint", CFG, ALL_AT_ONCE, "arrival_seq", send).awaitTermination()
+    sent = spark.read.parquet(f"{folder}/sent")
+    return sent.groupBy("topic", F.col("key").cast("string").alias("key")).agg(F.count("*").alias("messages"))
+
+
 @query
 def stream_progress(spark, sf):
     """Records and rejected ones of each micro-batch, counted by the stream that writes the dead letters."""

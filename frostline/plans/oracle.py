@@ -362,6 +362,23 @@ oracle(
     "wire_running",
     "letters",
 )
+relation(
+    "wire_alerts",
+    """
+    select customer_id, truck_id from wire_stated
+    where kind <> 6 and compressor_status = 'FAULT' or temperature > -10 or temperature < -25 or temperature - prev >= 3.0::double""",
+    "wire_stated",
+)
+oracle(
+    "stream_messages",
+    """select topic, key, count(*) as messages from (
+      select 'processed-averages' as topic, customer_id || ':' || truck_id as key from wire_running
+      union all select 'alerts-topic', customer_id || ':' || truck_id from wire_alerts
+      union all select 'telemetry-dead-letter', original_key from letters) group by all""",
+    "wire_running",
+    "wire_alerts",
+    "letters",
+)
 oracle(
     "stream_progress",
     f"""select batch as batch_id, count(*) as input_rows, count(*) as records,
@@ -762,6 +779,13 @@ oracle(
     "tests",
     "lifecycle",
 )
+oracle(
+    "export_tests",
+    """select '"' || id || '","' || target_rate || '","' || actual_rate || '","' || p95_latency_ms || '","' || p99_latency_ms || '","'
+    || failure_rate || '","' || status || '","' || strftime(make_timestamp(completed_us), '%Y-%m-%dT%H:%M:%S.%fZ') || '"' as line
+    from tests""",
+    "tests",
+)
 oracle(
     "export_alerts",
     """select '"' || id || '","' || alert_type || '","' || severity || '","' || node_id || '","' || status || '","'

@@ -68,6 +68,11 @@ def write_kafka_stream(messages: DataFrame, servers: str, topic: str, checkpoint
     )
 
 
+def kafka_writer(servers: str):
+    """A function that sends rows `topic, key, value` to the topics they name."""
+    return lambda messages: messages.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+
+
 def decode_payloads(wire: DataFrame) -> DataFrame:
     """Decode message bodies. Tombstones are skipped; text that is not JSON is kept under `raw_message`."""
     text = F.make_valid_utf8(F.col("value").cast("string"))

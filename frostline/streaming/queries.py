@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -287,10 +288,13 @@ def start_log(
     cfg: Settings = Settings(),
     trigger: dict | None = None,
     order: str = "offset",
+    publish: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Aggregates, alerts and dead letters of a checked log, as `start_set_states` and `start_dead_letters` write them.
 
-    A micro-batch is parsed once and kept while all three are written.
+    A micro-batch is parsed once and kept while all three are written. `publish` also gets the messages of each micro-batch
+    (topic_messages), read back from what was written, before the commit: each is sent at least once, with the same id if
+    it is sent again. `wire.kafka_writer` sends them to Kafka.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         if committed.is_committed(batch.sparkSession, out, batch_id):
@@ -301,6 +305,9 @@ def start_log(
             valid = contract.normalize(contract.valid_telemetry(batch))
             telemetry = contract.to_readings(valid, order)
             _advance(telemetry.select(*_set_columns(telemetry)), batch_id, out, cfg)
+            if publish is not None:
+                read = lambda t: batch.sparkSession.read.parquet(f"{out}/{t}/batch_id={batch_id}")
+                publish(topic_messages(read("aggregates"), read("alerts"), read("dead_letters"), cfg))
             committed.commit_batch(batch.sparkSession, out, batch_id)
         finally:
             batch.unpersist()
@@ -397,6 +404,16 @@ def to_messages(rows: DataFrame, key: Column | None = None) -> DataFrame:
     return rows.select(chosen.cast("binary").alias("key"), body.cast("binary").alias("value"))
 
 
+def topic_messages(aggregates: DataFrame, alerts: DataFrame, letters: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """topic, key, value: aggregates and alerts keyed by `customer:truck`, dead letters by the key they came with."""
+    parts = [
+        to_messages(aggregates).withColumn("topic", F.lit(cfg.processed_topic)),
+        to_messages(alerts).withColumn("topic", F.lit(cfg.alerts_topic)),
+        to_messages(letters, F.col("original_key")).withColumn("topic", F.lit(cfg.dead_letter_topic)),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("topic", "key", "value")
+
+
 def native_windows(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Cheaper windows on Spark's own watermark.
 
