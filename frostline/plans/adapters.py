@@ -195,7 +195,7 @@ def worker_members(events: DataFrame) -> DataFrame:
     """Members of the telemetry workers, a member per customer, with the partitions they hold."""
     customer = F.col("user_id") % 5
     return events.select(customer.alias("member")).distinct().select(
-        F.lit("telemetry-worker").alias("consumer_group"),
+        F.when(F.col("member") >= 0, "telemetry-worker").alias("consumer_group"),
         F.col("member").cast("string").alias("member_id"),
         F.when(F.col("member") > 0, F.sequence(F.lit(1), F.col("member").cast("int"))).alias("assignment"),
     )
