@@ -4,23 +4,27 @@ A signature has `chunks` chunks of `slots` b-bit minima. Two signatures that dif
 chunks * (errors + 1) - 1 slots agree in some chunk up to `errors` slots, so they share a key among those that leave out
 every choice of `errors` slots of every chunk. With the defaults (48 minima, 12 chunks, one error) that holds for every
 distance up to 23. Each minimum differs with probability 1 - similarity, so two sets of similarity 0.75 have distance 12
-in the mean; farther pairs are found too as long as one chunk is near, and a pair at 0.75 exactly is missed with
-probability 1e-7 by the keys and 2e-7 by `max_distance`. Pairs of shared keys whose distance is at most `max_distance` are confirmed on the full sets.
+in the mean; a pair at 0.75 exactly shares no key with probability 1e-7, and is farther apart than the threshold
+`max_distance` with probability 2e-7. Pairs up to the threshold are compared on their full sets, and a link is given out
+after a comparison of the shingles themselves. Pairs are never given out one by one: what leaves a task is at most one
+row less than it holds nodes, enough to join those that belong together.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm import words as W
-from frostline.llm.common import slices, stored, text_bytes
+from frostline.llm.common import slices, stored
 from frostline.llm.components import components
 
 _U = np.uint64
@@ -33,13 +37,14 @@ class Params:
     chunks: int = 12
     slots: int = 4
     errors: int = 1
+    #: Slots that the signatures of a link may differ in, and those of the pairs that are checked first.
     max_distance: int = 28
-    #: Bins of the sketch that nodes of still open keys are compared by, and the estimated percent that is let through:
-    #: five standard errors below 75.
-    bins: int = 512
-    sketch_percent: int = 65
-    #: Rows of a bucket compared with each other in one task, and partners of one document checked in one task.
+    first_distance: int = 20
+    #: Nodes of a block of a key, which are compared by their small signatures.
+    signed_block: int = 2048
+    #: Nodes and shingles of a block of a cluster, and partners of one document checked in one task.
     block: int = 512
+    block_shingles: int = 1_000_000
     partners: int = 2000
     #: Documents for each file of the small intermediate tables.
     file_rows: int = 20_000
@@ -60,91 +65,74 @@ class Params:
         return (self.chunks * len(self.left_out) - 1).bit_length()
 
 
-#: Stand-in ids of rows without doc_id start here, above all real ids.
-NO_ID = 1 << 62
+#: White space becomes a blank, A-Z become a-z.
+_WORD_BYTES = bytes(W.LOWER[b] if W.SPACED[b] else 32 for b in range(256))
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """docs and rid: doc_id, or for null an id made from the text."""
-    own = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
-    return docs.withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), own))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_WORD_BYTES).split()
 
 
-def shingle_rows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all texts, and the row of each; a text of fewer words, but not none, is one shingle."""
-    data = W.LOWER[data]
-    starts, ends, first = W.spans(data, offsets, W.SPACED)
-    hashed = W.word_hashes(data, starts, ends)
-    value, at = W.windows(hashed, first, size)
-    row = np.searchsorted(first, at, side="right") - 1
-    n = np.diff(first)
-    short = np.flatnonzero((n > 0) & (n < size)).tolist()
-    if short:
-        whole = [W.windows(hashed[first[i] : first[i + 1]], np.array([0, n[i]]), int(n[i]))[0] for i in short]
-        value, row = np.concatenate([value, *whole]), np.concatenate([row, short])
-        order = np.argsort(row, kind="stable")
-        value, row = value[order], row[order]
-    return value, row
+def real_shingles(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves; fewer words, but not none, are one."""
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(size)), strict=False))
 
 
-def shingle_set(text: str, size: int) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    return np.unique(shingle_rows(data, np.array([0, len(data)]), size)[0])
+def shingle_rows(texts: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each list of words as 64-bit values, and the list of each, in this order."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(texts)), np.uint64, int(first[-1]))
+    length = np.minimum(n, size)
+    value, row = [], []
+    for own in range(1, size + 1):  # texts with fewer words than a shingle have a window of their own length
+        texts_here = np.flatnonzero(length == own)
+        count = n[texts_here] - own + 1
+        at = np.repeat(first[texts_here] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        hashed = np.full(len(at), _U(own))
+        for k in range(own):
+            hashed = W.mix(hashed * _U(0x9E3779B97F4A7C15) + words[at + k])
+        value.append(hashed)
+        row.append(np.repeat(texts_here, count))
+    value, row = np.concatenate(value), np.concatenate(row)
+    order = np.lexsort((value, row))
+    value, row = value[order], row[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return value[new], row[new]
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """rid, n_shingles, set_a and set_b (a 128-bit fingerprint of the set), signature, for rows of docs (rid, text)."""
+    """rid, n_shingles, words_a and words_b (128 bits of the SHA-256 of all words), signature, for rows of docs (rid, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.Generator(np.random.PCG64(75))
         scale = random.integers(1 << 62, 1 << 63, p.minima, dtype=np.uint64) * _U(2) + _U(1)
         shift = random.integers(0, 1 << 63, p.minima, dtype=np.uint64)
         for batch in slices(batches, "text", 1 << 20):
-            value, row = shingle_rows(*text_bytes(batch.column("text")), p.shingle)
-            order = np.lexsort((value, row))
-            value, row = value[order], row[order]
-            new = np.ones(len(value), bool)
-            new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-            value, row = value[new], row[new]
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            prints = np.frombuffer(b"".join(hashlib.sha256(b" ".join(t)).digest()[:16] for t in texts), np.int64)
+            value, row = shingle_rows(texts, p.shingle)
             have, starts = np.unique(row, return_index=True)
             minima = np.zeros((batch.num_rows, p.minima), np.uint16)
-            prints = np.zeros((2, batch.num_rows), np.uint64)
             if len(have):
                 for j in range(p.minima):
                     minima[have, j] = np.minimum.reduceat(value * scale[j] + shift[j], starts) >> _U(48)
-                for j in range(2):
-                    prints[j, have] = np.add.reduceat(W.mix(value + scale[j]), starts)
             columns = [
                 batch.column("rid"),
                 pa.array(np.bincount(row, minlength=batch.num_rows), pa.int64()),
-                pa.array(prints[0].view(np.int64)),
-                pa.array(prints[1].view(np.int64)),
+                pa.array(prints[::2]),
+                pa.array(prints[1::2]),
                 pa.array([m.tobytes() for m in minima], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["rid", "n_shingles", "set_a", "set_b", "signature"])
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "n_shingles", "words_a", "words_b", "signature"])
 
-    schema = "rid long, n_shingles long, set_a long, set_b long, signature binary"
+    schema = "rid long, n_shingles long, words_a long, words_b long, signature binary"
     return docs.select("rid", "text").mapInArrow(sign, schema)
 
 
-def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """node, sketch for rows of docs (rid, text): the smallest shingle of every bin in 8 bits, 0 for an empty bin."""
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            value, row = shingle_rows(*text_bytes(batch.column("text")), p.shingle)
-            value = W.mix(value + _U(p.bins))
-            place = row * p.bins + (value % _U(p.bins)).astype(np.int64)
-            order = np.lexsort((value, place))
-            place, first = np.unique(place[order], return_index=True)
-            sketch = np.zeros(batch.num_rows * p.bins, np.uint8)
-            sketch[place] = (value[order][first] >> _U(32)) % _U(255) + _U(1)
-            drawn = [line.tobytes() for line in sketch.reshape(-1, p.bins)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(drawn, pa.binary())], ["node", "sketch"])
-
-    return docs.select("rid", "text").mapInArrow(draw, "node long, sketch binary")
-
-
 def chunk_keys(nodes: DataFrame, p: Params) -> DataFrame:
     """key, node: a key for every chunk of a signature and every choice of `errors` slots to leave out.
 
@@ -169,13 +157,11 @@ def chunk_keys(nodes: DataFrame, p: Params) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(keys, "key long, node long")
 
 
-def _distance(a: pa.Array, b: pa.Array, minima: int) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, minima) for c in (a, b))
-    return (x != y).sum(axis=1)
-
+def _promising(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """The distinct pairs (hub, node) that are worth a look before all others: near by signature, and similar in size.
 
-def near_pairs(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """The distinct pairs (hub, node) whose set sizes and signature distance leave a link possible."""
+    Which pairs these are only decides what cross_links still has to do; it leaves out none.
+    """
     one = nodes.select("node", F.col("n_shingles").alias("n"), "signature")
     hub = nodes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("signature").alias("hub_signature"))
     both = pairs.distinct().join(one, "node").join(hub, "hub")
@@ -183,14 +169,18 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = _distance(batch.column("signature"), batch.column("hub_signature"), p.minima)
-            yield batch.select(["hub", "node"]).filter(pa.array(far <= p.max_distance))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, p.minima) for c in ("signature", "hub_signature"))
+            yield batch.select(["hub", "node"]).filter(pa.array((x != y).sum(axis=1) <= p.first_distance))
 
     return both.select("hub", "node", "signature", "hub_signature").mapInArrow(near, "hub long, node long")
 
 
+def _linked(same: int, n: int, m: int, p: Params) -> bool:
+    return same > 0 and 100 * same >= p.percent * (n + m - same)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, p: Params, files: int) -> DataFrame:
-    """The pairs (hub, node) that are links on their full shingle sets, as a stored table (a, b).
+    """The pairs (hub, node) that are links on their real shingle sets, as a stored table (a, b).
 
     Texts go to the hubs they are compared with. A hub with many partners is split: its text goes to each part. A task
     holds one hub's set and reads partners one by one.
@@ -212,21 +202,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params, files: int) -> DataF
     )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hubs = None, []
+        at, held = None, set()
         for batch in slices(batches, "text", 1 << 20):
             found = []
             for hub, part, side, rid, text in zip(*(batch.column(c).to_pylist() for c in _SIDE), strict=True):
-                own = shingle_set(text or "", p.shingle)
-                if at != (hub, part):
-                    at, hubs = (hub, part), []
+                own = real_shingles(words_of(text), p.shingle)
                 if side == 0:
-                    hubs.append(own)
-                    continue
-                for other in hubs:
-                    same = len(np.intersect1d(own, other, assume_unique=True))
-                    if same and 100 * same >= p.percent * (len(own) + len(other) - same):
-                        found.append((hub, rid))
-                        break
+                    at, held = (hub, part), own
+                elif at == (hub, part) and _linked(len(own & held), len(own), len(held), p):
+                    found.append((hub, rid))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"]
             )
@@ -265,118 +249,227 @@ def _merged(labels: DataFrame, links: DataFrame, files: int) -> DataFrame:
     return stored(moved.union(fresh), "components", files)
 
 
-def _cross_pairs(opened: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params, files: int) -> DataFrame:
-    """Pairs (hub, node) that share a key, lie in different components and are near by signature.
+_SIGNED = ["key", "i", "j", "own", "node", "component", "n_shingles", "signature"]
+
 
-    A key's nodes are dealt to blocks of about `block`; each pair of blocks is compared in a cell of its own, so no task
-    holds a whole key. Cells give only pairs that pass, and a pair with several keys only at the first of them. Their
-    texts are read once more for a sketch that tells similarities near the limit apart better than the minima do.
+def _near_stars(rows: pa.Table, p: Params) -> list[tuple[int, int]]:
+    """Stars (a, b) of what pairs that are near by signature join, between two blocks of a key or within one.
+
+    Only pairs of different components and of similar size count. Nodes that they join are given out with the smallest of
+    them, so most pairs of a dense group need not be looked at, and keys with the same nodes give the same rows.
     """
-    open_nodes = stored(opened.select(F.col("node").alias("rid")).distinct(), "open-nodes", files)
-    few = open_nodes.count() <= p.broadcast_rows
-    own = docs.select("rid", "text").join(F.broadcast(open_nodes) if few else open_nodes, "rid", "left_semi")
-    nodes = nodes.join(stored(sketches(own, p), "sketches"), "node")
-    blocks = F.ceil(F.col("size") / p.block).cast("int")
-    dealt = (
-        opened.join(nodes, "node")
-        .withColumn("blocks", blocks)
+    node, part, own, n = (rows.column(c).to_numpy() for c in ("node", "component", "own", "n_shingles"))
+    minima = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, p.minima)
+    first, second = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    other_side = np.where(own == first, second, first)
+    group = np.arange(len(node))
+    for a in np.flatnonzero(own == first).tolist():
+        able = (own == other_side[a]) & (part != part[a]) & (group != group[a])
+        able &= np.minimum(n, n[a]) * 100 >= np.maximum(n, n[a]) * p.percent
+        b = np.flatnonzero(able)
+        for c in b[(minima[b] != minima[a]).sum(axis=1) <= p.max_distance].tolist():
+            if group[c] != group[a]:
+                group[group == group[c]] = group[a]
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, node)
+    return [(a, b) for a, b in zip(least[group].tolist(), node.tolist(), strict=True) if a != b]
+
+
+def near_clusters(opened: DataFrame, nodes: DataFrame, p: Params, files: int) -> DataFrame:
+    """node, cluster: the nodes that are near a node of another component by signature, by what joins them.
+
+    The nodes of an open key are dealt to blocks, and each pair of blocks is compared in a cell of its own, so no task
+    holds a whole key. What the stars of all cells join are the clusters.
+    """
+    sizes = opened.groupBy("key").agg(F.ceil(F.count("*") / p.signed_block).cast("int").alias("blocks"))
+    cells = (
+        opened.join(sizes, "key")
+        .join(nodes.select("node", "n_shingles", "signature"), "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .select("key", "i", "j", "own", "node", "component", "n_shingles", "signature", "sketch")
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .select(*_SIGNED)
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
 
-    kept = np.array([[slot not in choice for slot in range(p.slots)] for choice in p.left_out])
-
-    def compare(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, part, own, n = (cell.column(c).to_numpy() for c in ("node", "component", "own", "n_shingles"))
-        minima = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint16).reshape(-1, p.minima)
-        sketch = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(-1, p.bins)
-        left = np.flatnonzero(own == cell.column("i")[0].as_py())
-        right = np.flatnonzero(own == cell.column("j")[0].as_py())
-        tag = cell.column("key")[0].as_py() & ((1 << p.tag_bits) - 1)
-        hubs, others = [], []
-        for a in left.tolist():
-            ok = (part[right] != part[a]) & (np.minimum(n[right], n[a]) * 100 >= np.maximum(n[right], n[a]) * p.percent)
-            if cell.column("i")[0] == cell.column("j")[0]:
-                ok &= right > a
-            b = right[ok]
-            differ = minima[b] != minima[a]
-            near = differ.sum(axis=1) <= p.max_distance
-            b, differ = b[near], differ[near].reshape(-1, p.chunks, 1, p.slots)
-            b = b[(~(differ & kept).any(axis=3)).reshape(len(b), p.chunks * len(kept)).argmax(axis=1) == tag]
-            filled = (sketch[b] | sketch[a]) != 0
-            same = ((sketch[b] == sketch[a]) & filled).sum(axis=1)
-            b = b[100 * same >= p.sketch_percent * filled.sum(axis=1)]
-            hubs.append(np.minimum(node[b], node[a]))
-            others.append(np.maximum(node[b], node[a]))
-        return np.concatenate(hubs), np.concatenate(others)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            marks = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = [0, *(np.flatnonzero((np.diff(marks) != 0).any(axis=0)) + 1).tolist()]
-            yield from _pairs_out(compare(held.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-            held = held.slice(cuts[-1]).combine_chunks()
+            if batch.num_rows:
+                own = pa.Table.from_batches([batch])
+                held = own if held is None else pa.concat_tables([held, own])
+                marks = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
+                cuts = [0, *(np.flatnonzero((np.diff(marks) != 0).any(axis=0)) + 1).tolist()]
+                yield _links_out(link for a, b in zip(cuts[:-1], cuts[1:], strict=True) for link in _near_stars(held.slice(a, b - a), p))
+                held = held.slice(cuts[-1]).combine_chunks()
         if held is not None:
-            yield from _pairs_out([compare(held)])
+            yield _links_out(_near_stars(held, p))
+
+    stars = stored(cells.mapInArrow(compare, "a long, b long").distinct(), "near-stars", files)
+    return components(stars, files).select("node", F.col("component").alias("cluster"))
+
+
+def _links_out(links) -> pa.RecordBatch:
+    found = list(links)
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+class _Cell:
+    """Two blocks of a cluster, or one with itself: finds links between the components their nodes are in."""
+
+    def __init__(self, rows: list[tuple], p: Params):
+        self.p, self.nodes = p, [r[0] for r in rows]
+        first, second = rows[0][3], rows[0][4]
+        self.own = np.array([r[2] for r in rows])
+        self.other_side = np.where(self.own == first, second, first)
+        self.texts = [words_of(r[5]) for r in rows]
+        names: dict[int, int] = {}
+        self.group = np.array([names.setdefault(r[1], len(names)) for r in rows])  # component of each node, so far
+        self.real: dict[int, set] = {}
+
+    def _same(self, a: int, b: int) -> bool:
+        """Whether two nodes are linked by their shingles themselves."""
+        for k in (a, b):
+            if k not in self.real:
+                self.real[k] = real_shingles(self.texts[k], self.p.shingle)
+        x, y = self.real[a], self.real[b]
+        return _linked(len(x & y), len(x), len(y), self.p)
+
+    def links(self) -> list[tuple[int, int]]:
+        value, row = shingle_rows(self.texts, self.p.shingle)
+        size = np.bincount(row, minlength=len(self.texts))
+        ends = np.cumsum(size)
+        # Nodes of each shingle, and for each node the numbers of its shingles.
+        order = np.argsort(value, kind="stable")
+        number = np.empty(len(value), np.int64)
+        number[order] = np.cumsum(np.concatenate([np.zeros(1, np.int64), value[order][1:] != value[order][:-1]]))
+        holders = row[order]
+        held_ends = np.cumsum(np.bincount(number))
+        held_starts = np.concatenate([np.zeros(1, np.int64), held_ends[:-1]])
+
+        found = []
+        largest = np.bincount(self.group).argmax()
+        # Nodes of the largest component need not look around: whoever is outside looks at them.
+        for a in np.flatnonzero(self.group != largest).tolist():
+            own = number[ends[a] - size[a] : ends[a]]
+            counts = held_ends[own] - held_starts[own]
+            at = np.repeat(held_starts[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            same = np.bincount(holders[at], minlength=len(self.texts))
+            able = (self.group != self.group[a]) & (self.own == self.other_side[a])
+            able &= (same > 0) & (100 * same >= self.p.percent * (size + size[a] - same))
+            for b in np.flatnonzero(able).tolist():
+                if self.group[b] != self.group[a] and self._same(a, b):
+                    found.append((self.nodes[a], self.nodes[b]))
+                    self.group[self.group == self.group[a]] = self.group[b]
+            self.real.pop(a, None)
+        return found
+
+
+_CELL = ["cluster", "i", "j", "node", "component", "own", "text"]
+
+
+def cross_links(opened: DataFrame, nodes: DataFrame, docs: DataFrame, p: Params, files: int) -> DataFrame:
+    """Links (a, b) between nodes of different components, enough of them to join all that are linked.
+
+    A cluster's nodes (see near_clusters) are dealt to blocks of bounded size, and every pair of blocks is compared in a
+    cell of its own: no task holds a whole cluster, and a text is read once for each block rather than once a key. A cell
+    counts common shingles by the nodes that hold them and gives out a link only where it joins two components, so its
+    rows are fewer than its nodes, whatever the cluster looks like.
+    """
+    clusters = near_clusters(opened, nodes, p, files)
+    labels = opened.select("node", "component").distinct()
+    known = stored(clusters.join(labels, "node").join(nodes.select("node", "n_shingles"), "node"), "clusters", files)
+    room = F.greatest(F.count("*") / p.block, F.sum("n_shingles") / p.block_shingles)
+    blocks = known.groupBy("cluster").agg(F.ceil(room).cast("int").alias("blocks"))
+    dealt = (
+        known.join(blocks, "cluster")
+        .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own")
+    )
+    dealt = stored(dealt, "cells", files)
+    few = dealt.count() <= p.broadcast_rows
+    cells = (
+        docs.select(F.col("rid").alias("node"), "text")
+        .join(F.broadcast(dealt) if few else dealt, "node")
+        .select(*_CELL)
+        .repartition("cluster", "i", "j")
+        .sortWithinPartitions("cluster", "i", "j")
+    )
 
-    return dealt.mapInArrow(cells, "hub long, node long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
 
+        for batch in slices(batches, "text", 1 << 20):
+            for cluster, i, j, node, component, own, text in zip(*(batch.column(c).to_pylist() for c in _CELL), strict=True):
+                if (cluster, i, j) != at:
+                    if rows:
+                        yield _links_out(_Cell(rows, p).links())
+                    at, rows = (cluster, i, j), []
+                rows.append((node, component, own, i, j, text))
+        if rows:
+            yield _links_out(_Cell(rows, p).links())
+
+    return stored(cells.mapInArrow(compare, "a long, b long"), "links")
 
-def _pairs_out(found) -> Iterator[pa.RecordBatch]:
-    for hubs, nodes in found:
-        if len(hubs):
-            yield pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(nodes)], ["hub", "node"])
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with rid, a number of each row, as a stored table, so that a row keeps its number."""
+    return stored(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered-rows")
 
-def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """rid, n_shingles, component for every row of docs (rid, text), as a stored table.
 
-    Rows with equal sets form a class, named by its smallest rid, before anything is compared. Two rounds link the nodes
-    of a key to one of them, its smallest and then its largest node; keys whose nodes are in one component by then are
-    done, and what is left in the others is compared in blocks. So a group of many near copies costs a few comparisons
-    a document, and no link between different components is lost.
+def classes(rows: DataFrame, p: Params = Params()) -> DataFrame:
+    """rid, doc_id, n_shingles, words_a, words_b, component for every row of a stored table rows (rid, doc_id, text), stored.
+
+    Rows with the same words form a class, named by its smallest rid, before anything is compared; rows with the same
+    doc_id are joined as well. Then the nodes of a key are compared with its smallest, if they look promising; keys whose
+    nodes are in one component by then are done, and what is left in the others is compared in cells, all of it. So most
+    of a group of near copies costs one comparison a document, and no link between different components is lost.
+    component is the smallest rid of the class names reachable.
     """
-    signed = stored(signatures(docs, p), "signatures")
+    signed = stored(signatures(rows, p), "signatures")
     files = max(4, signed.count() // p.file_rows)
-    named = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("rid").alias("node"))
+    some = signed.where("n_shingles > 0")
+    named = some.groupBy("words_a", "words_b").agg(F.min("rid").alias("node"))
     own_signature = F.when(F.col("rid") == F.col("node"), F.col("signature"))
-    members = signed.where("n_shingles > 0").join(named, ["set_a", "set_b"])
-    members = stored(members.select("rid", "n_shingles", "node", own_signature.alias("signature")), "set-classes", files)
-    nodes = members.where("signature is not null").select("node", "n_shingles", "signature").distinct()
-    nodes = stored(nodes, "nodes", files)
+    members = some.join(named, ["words_a", "words_b"])
+    members = stored(members.select("rid", "n_shingles", "words_a", "words_b", "node", own_signature.alias("signature")), "word-classes", files)
+    nodes = stored(members.where("signature is not null").select("node", "n_shingles", "signature"), "nodes", files)
     keyed = stored(chunk_keys(nodes, p), "chunk-keys")
-    labels = docs.sparkSession.createDataFrame([], "node long, component long")
-    for pick in (F.min, F.max):
-        opened = _open_keys(keyed, labels, files)
-        hubs = opened.groupBy("key").agg(pick("node").alias("hub"))
-        hub_of = nodes.select(F.col("node").alias("hub")).join(labels.withColumnRenamed("node", "hub"), "hub", "left")
-        met = (
-            opened.join(hubs, "key")
-            .where("node != hub")
-            .select("hub", "node", "component")
-            .distinct()
-            .join(hub_of.withColumnRenamed("component", "hub_component"), "hub")
-            .where(F.col("component") != F.coalesce("hub_component", "hub"))
-        )
-        links = confirmed(near_pairs(met.select("hub", "node"), nodes, p), docs, p, files)
-        labels = _merged(labels, links, files)
+
+    placed = members.select("rid", "n_shingles", "words_a", "words_b", "node").union(
+        signed.where("n_shingles = 0").select("rid", "n_shingles", "words_a", "words_b", F.col("rid").alias("node"))
+    )
+    placed = stored(placed.join(rows.select("rid", "doc_id"), "rid"), "placed-rows", files)
+    repeated = placed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    repeated = placed.join(repeated.where("n > 1"), "doc_id").where("a != node").select("a", F.col("node").alias("b"))
+    none = rows.sparkSession.createDataFrame([], "node long, component long")
+    labels = _merged(none, repeated.distinct(), files)
+
     opened = _open_keys(keyed, labels, files)
-    links = confirmed(_cross_pairs(opened, nodes, docs, p, files), docs, p, files)
+    met = opened.join(opened.groupBy("key").agg(F.min("node").alias("hub")), "key").where("node != hub")
+    links = confirmed(_promising(met.select("hub", "node"), nodes, p), rows, p, files)
     labels = _merged(labels, links, files)
-    linked = members.join(labels, "node", "left").select(
-        "rid", "n_shingles", F.coalesce("component", "node").alias("component")
+    links = cross_links(_open_keys(keyed, labels, files), nodes, rows, p, files)
+    labels = _merged(labels, links, files)
+    linked = placed.join(labels, "node", "left")
+    return stored(
+        linked.select("rid", "doc_id", "n_shingles", "words_a", "words_b", F.coalesce("component", "node").alias("component")),
+        "near-duplicates",
+        files,
     )
-    alone = signed.where("n_shingles = 0").select("rid", "n_shingles", F.col("rid").alias("component"))
-    return stored(linked.union(alone), "near-duplicates", files)
+
+
+def _heads(found: DataFrame, p: Params) -> DataFrame:
+    """component, least (its smallest doc_id), head (the rid that stands for it) of components with several rows.
+
+    Few are broadcast, many are joined by shuffle, where Spark splits a component with very many rows.
+    """
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "words_a", "words_b", "rid")
+    heads = found.groupBy("component").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min_by("rid", first).alias("head"))
+    heads = stored(heads.where("n > 1").drop("n"), "heads")
+    return F.broadcast(heads) if heads.count() <= p.broadcast_rows else heads
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -385,30 +478,23 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     Documents are linked if 100 * common shingles >= 75 * all shingles of both; component_id is the smallest doc_id
     reachable by links, kept tells whether it is the row's own. A null or empty text has no shingles and no links. Rows
     with the same doc_id are one document with several texts. A row without doc_id can link others; its component_id is
-    the smallest doc_id there is, or null, and then it is kept.
+    the smallest doc_id there is, or null, and then it is kept. Any 64-bit doc_id will do. An empty table gives no rows.
     """
-    found = classes(with_row_id(docs.select("doc_id", "text")), p)
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    out = found.select(real("rid").alias("doc_id"), "n_shingles", real("component").alias("component_id"))
+    found = classes(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), p)
+    least = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    out = found.join(_heads(found, p), "component", "left").select("doc_id", "n_shingles", least.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """docs with one document of each group, columns unchanged; of rows with the same doc_id (or equal texts without
-    one) the first by text stays.
+    """docs with one row of each component, columns unchanged: that with the smallest doc_id, rows without one last; of
+    those the first by a hash of its words.
 
-    The ids to drop are stored and counted: few are broadcast, many joined by shuffle, with the same result.
+    The rows to drop are stored and counted: few are broadcast, many joined by shuffle, with the same result.
     """
-    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    named = with_row_id(named).select("row", "text", "rid")
-    found = classes(named.select("rid", "text"), p)
-    dropped = stored(found.where("rid != component").select("rid").distinct(), "dropped")
-    kept = named.join(F.broadcast(dropped) if dropped.count() <= p.broadcast_rows else dropped, "rid", "left_anti")
-    repeated = stored(found.groupBy("rid").count().where("count > 1").select("rid"), "repeated")
-    n = repeated.count()
-    if not n:
-        return kept.select("row.*")
-    side = F.broadcast(repeated) if n <= p.broadcast_rows else repeated
-    first = Window.partitionBy("rid").orderBy("text")
-    one = kept.join(side, "rid", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
-    return kept.join(side, "rid", "left_anti").select("row.*").union(one.select("row.*"))
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = classes(rows, p)
+    dropped = found.join(_heads(found, p), "component").where("rid != head").select("rid")
+    dropped = stored(dropped, "dropped")
+    few = dropped.count() <= p.broadcast_rows
+    return rows.join(F.broadcast(dropped) if few else dropped, "rid", "left_anti").select("row.*")

@@ -135,7 +135,7 @@ def test_near_duplicates(spark, docs):
         key = (row[0] if row[0] is not None else row[1] or "", row[1] or "")
         least = groups[key]
         want[(row[0], len(shingles(row[1])), least, least is None or row[0] == least)] += 1
-    small = near_duplicates.Params(block=4, partners=2, broadcast_rows=0)
+    small = near_duplicates.Params(signed_block=4, block=4, partners=2, broadcast_rows=0)
     for p in (near_duplicates.Params(), small):
         found = near_duplicates.near_duplicates(docs, p).collect()
         assert of(found, "doc_id", "n_shingles", "component_id", "kept") == want
@@ -155,6 +155,56 @@ def test_chains_of_copies_meet(spark):
     assert {r.component_id for r in found} == {441}
 
 
+def test_words_that_weak_hashes_confuse(spark):
+    """Thue-Morse words of equal length collide under any polynomial modulo 2^64; they have nothing in common."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word, None, None, None), (2, word.translate(str.maketrans("ab", "ba")), None, None, None)]
+    found = near_duplicates.near_duplicates(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(1, 1, True), (2, 2, True)}
+
+
+def test_any_doc_id_will_do(spark):
+    text = "one two three four five six seven"
+    ids = [2**63 - 1, 2**62, -(2**63), 7, None, None]
+    found = near_duplicates.near_duplicates(frame(spark, [(i, text, None, None, None) for i in ids])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found if r.doc_id is not None) == [
+        (i, -(2**63), i == -(2**63)) for i in sorted(ids[:4])
+    ]
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(-(2**63), False)] * 2
+    alone = near_duplicates.near_duplicates(frame(spark, [(2**62 + 5, "x", None, None, None)])).collect()
+    assert [tuple(r) for r in alone] == [(2**62 + 5, 1, 2**62 + 5, True)]
+
+
+def test_a_large_group_near_the_limit(spark):
+    """Copies of one text with many changes each: some pairs are links, most are just not."""
+    import random
+
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(r.choice([0, 4, 7, 9])):
+            own[r.randrange(200)] = f"new{r.randrange(10**6)}"
+        rows.append((1000 - k, " ".join(own), None, None, None))
+    groups = plain_groups(rows)
+    want = {row[0]: groups[(row[0], row[1])] for row in rows}
+    assert 3 < len(set(want.values())) < 130
+    for p in (near_duplicates.Params(), near_duplicates.Params(signed_block=16, block=16, partners=5, broadcast_rows=0)):
+        found = near_duplicates.near_duplicates(frame(spark, rows), p).collect()
+        assert {x.doc_id: x.component_id for x in found} == want
+
+
+def test_cells_give_out_links_between_components_only():
+    texts = ["a b c d e f g h i j"] * 5 + ["a b c d e f g h i k"] * 3 + ["x y z"]
+    rows = [(i, 0 if i < 3 else i, 0, 0, 0, t) for i, t in enumerate(texts)]
+    p = near_duplicates.Params(percent=70)
+    links = near_duplicates._Cell(rows, p).links()
+    assert len(links) == 5 and {n for link in links for n in link} >= {3, 4, 5, 6, 7}
+
+
 # --- shards ------------------------------------------------------------------------------------------------------
 
 
@@ -258,6 +308,52 @@ def test_wavelet_matrix():
         matrix.access(10**9)
 
 
+def test_one_access_unpacks_one_chunk_a_plane():
+    random = np.random.default_rng(5)
+    ids = random.integers(0, 49_000, 400_000).astype(np.uint32)
+    data = wavelet.pack([1], np.array([len(ids)]), ids)
+    for query in (
+        lambda m: m.access(333_333) == ids[333_333],
+        lambda m: m.count(int(ids[9]), 100_000, 390_000) == int((ids[100_000:390_000] == ids[9]).sum()),
+        lambda m: m.locate(int(ids[200_000]), 0) == np.flatnonzero(ids == ids[200_000])[0],
+    ):
+        matrix = wavelet.WaveletMatrix(data)
+        assert query(matrix) and 0 < matrix.unpacked <= 16 * 3 * wavelet.CHUNK // 8 < len(ids) * 2 // 4
+
+
+def test_many_rows_without_id_are_split(spark):
+    """A third of all rows share an id or have none; they go to several tasks and keep one order."""
+    rows = [(None if i % 3 else 7, f"text {i % 5} " * 20, None, None, None) for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = wavelet.write_shards(frame(spark, rows).repartition(5), shard_tokens=700)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.select("part").distinct().count() > 2
+    found = sorted(wavelet.read_documents(files).collect(), key=lambda r: r.start)
+    assert [r.start for r in found][1:] == list(np.cumsum([r.n_tokens for r in found])[:-1])
+    assert [r.doc_id for r in found] == [None] * 400 + [7] * 200
+    sizes = [r.n_tokens for r in files.collect()]
+    assert max(sizes) < 700 + 100  # a shard ends with the document that fills it
+
+
+def test_random_strings_equal_the_library():
+    """Words are cut by own rules before the library sees them; no string may come out differently."""
+    import random
+
+    r = random.Random(17)
+    alphabet = ["a", "b", "Z", "é", "Ł", "ž", "ſ", "İ", "×", "÷", "ß", "中", "я", "́", "'", "s", "t", "9", "0"] + list(" .,\n\t-_!?\"()<|>") + [" ", "\r", "\x85", " "]
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 14))) for _ in range(20_000)]
+    texts += [" ".join("".join(r.choices("abéž", k=r.randint(1, 6))) + r.choice(["", "", ".", ",", "'s"]) for _ in range(r.randint(1, 8))) for _ in range(5_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own, library = WordEncoder(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        ids, lengths = own.encode(texts)
+        ends = np.cumsum(lengths)
+        got = [ids[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)]
+        assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 # --- repeats -----------------------------------------------------------------------------------------------------
 
 
