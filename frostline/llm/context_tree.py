@@ -122,6 +122,40 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[_Texts]:
             yield _Texts({name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)})
 
 
+class _Values:
+    """A value for each of many numbers: a hash table in arrays, at most a quarter full, asked with arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)  # grams are not negative
+        self.values = np.zeros(1 << self.bits)
+        left, slot = np.arange(len(keys)), self._first(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]  # of several for one slot the last stays
+            there = self.keys[slot] == keys[left]
+            self.values[slot[there]] = values[left[there]]
+            left, slot = left[~there], (slot[~there] + 1) & (len(self.keys) - 1)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, all of which are known."""
+        slot = self._first(keys)
+        missed = np.flatnonzero(self.keys[slot] != keys)
+        while len(missed):
+            slot[missed] = (slot[missed] + 1) & (len(self.keys) - 1)
+            missed = missed[self.keys[slot[missed]] != keys[missed]]
+        return self.values[slot]
+
+
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    grams = np.sort(grams)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1]]))
+    return grams[starts], np.diff(np.append(starts, len(grams)))
+
+
 def _added_up(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     every, n = np.concatenate(grams), np.concatenate(counts)
     order = np.argsort(every)
@@ -137,11 +171,13 @@ def gram_counts(blocks: DataFrame, depth: int) -> DataFrame:
         for texts in _opened(batches):
             found: tuple[list, list] = ([], [])
             for gram, text in texts.grams(depth):
-                own, at = np.unique(gram, return_inverse=True)
-                found[0].append(own)
-                found[1].append(np.bincount(at[~texts.held[text]], minlength=len(own)))
-                if len(found[0]) == 8:
-                    found = tuple([x] for x in _added_up(*found))
+                held = texts.held[text]
+                for own, n in (_counted(gram[~held]), _counted(gram[held])):
+                    found[0].append(own)
+                    found[1].append(n if len(found[0]) % 2 else np.zeros_like(n))  # first those of training texts
+                if len(found[0]) >= 16:
+                    every, n = _added_up(*found)
+                    found = ([every, every[:0]], [n, n[:0]])
             gram, n = _added_up(*found)
             for i in range(0, len(gram), 1 << 18):
                 own = gram[i : i + (1 << 18)]
@@ -274,9 +310,7 @@ def scores(docs: DataFrame, depth: int = 4, held_one_in: int = 10, block_bytes:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         is_word = right.column("gram").is_null()
         grams_here, words_here = right.filter(right.column("word").is_null()), right.filter(is_word)
-        gram, value = (grams_here.column(c).to_numpy() for c in ("gram", "logp"))
-        order = np.argsort(gram)
-        gram, value = gram[order], value[order]
+        logp_of = _Values(*(grams_here.column(c).to_numpy() for c in ("gram", "logp")))
         count = dict(zip(words_here.column("word").to_pylist(), words_here.column("c").to_pylist(), strict=True))
         out = []
         for batch in left.to_batches():
@@ -284,9 +318,8 @@ def scores(docs: DataFrame, depth: int = 4, held_one_in: int = 10, block_bytes:
                 m = len(texts.lengths)
                 total, base, tokens, seen = np.zeros(m), np.zeros(m), np.ones(m, np.int64), np.full(m, int(ends > 0))
                 for own, text in texts.grams(depth):
-                    each, at = np.unique(own, return_inverse=True)
                     first = int(text[0])
-                    found = np.bincount(text - first, weights=value[np.searchsorted(gram, each)][at])
+                    found = np.bincount(text - first, weights=logp_of.of(own))
                     total[first : first + len(found)] += found
                 base += np.log10(ends + 0.1) - log_n
                 for i, own in texts.words():
