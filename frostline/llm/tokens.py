@@ -18,12 +18,15 @@ import numpy as np
 
 # Letters of the plain set: ASCII and the composed letters of Latin-1 and Latin Extended-A (without dotted capital I).
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
-_NOT_PLAIN = re.compile(rf"[^\t\n\r -~{_LETTERS}]")
+# Texts are told apart on their UTF-8 bytes: those of the plain set are ASCII or start with C3, C4 or C5, where the four
+# characters that are no such letters (multiplication and division sign, dotted I, long s) are looked for.
+_PLAIN_BYTES = bytes([9, 10, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+_NO_LETTERS = ("\u00d7".encode(), "\u00f7".encode(), "\u0130".encode(), "\u017f".encode())
 # A blank between two ASCII letters starts a word in both families, and no special token holds one.
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _ONE_WORD = re.compile(rf" ?[{_LETTERS}]+")
-#: A full stop or comma after anything but a letter is left in its part.
-_MARK_AFTER_OTHER = re.compile(rf"(?:^|[^{_LETTERS}])[.,]")
+#: Letters as `a`, full stops and commas as `.`, all else as `-`, byte by byte, for plain texts.
+_CLASSES = bytes(46 if chr(b) in ".," else 97 if chr(b).isalpha() or b >= 128 else 45 for b in range(256))
 # Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order
 # (a blank is U+0120).
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -31,7 +34,7 @@ _BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _SELF), range(256, 5
 _BLANKS = ("", " ", "\n")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 LONG_TEXT = 1 << 16
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -111,14 +114,18 @@ class WordEncoder:
             self.learned = stop
 
     def _plain(self, text: str) -> bool:
-        if "<|" in text or _NOT_PLAIN.search(text) is not None:
+        data = text.encode()
+        if b"<|" in data or data.translate(None, _PLAIN_BYTES):
+            return False
+        if not text.isascii() and any(c in data for c in _NO_LETTERS):
             return False
         return self.lower or not (
             any(pair in text for pair in _RUNS) or text[:1] in _BLANKS or text[-1:] in _BLANKS or "\t" in text or "\r" in text
         )
 
     def _parts(self, text: str) -> list[str]:
-        if not _MARK_AFTER_OTHER.search(text):  # then both marks start a word
+        kinds = text.encode().translate(_CLASSES)
+        if not (kinds[:1] == b"." or b"-." in kinds or b".." in kinds):  # then both marks follow a letter and start a word
             text = text.replace(",", " ,").replace(".", " .") if self.lower else text.replace(",", "\0,").replace(".", "\0.")
         if self.lower:
             return text.lower().split()
