@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +72,16 @@ class WaveletMatrix:
             self.before.append(counts)
             self.bodies.append(at + starts)
             at += int(starts[-1])
-        self._chunk = lru_cache(maxsize=held_chunks)(self._unpack)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        self.held_chunks = held_chunks
+
+    def _chunk(self, plane: int, chunk: int) -> np.ndarray:
+        """The packed bits of a chunk; the last ones used are held."""
+        bits = self.held.pop((plane, chunk), None)
+        self.held[plane, chunk] = bits = self._unpack(plane, chunk) if bits is None else bits
+        if len(self.held) > self.held_chunks:
+            del self.held[next(iter(self.held))]
+        return bits
 
     def _unpack(self, plane: int, chunk: int) -> np.ndarray:
         """The packed bits of a chunk."""
