@@ -89,6 +89,19 @@ def _with_clock(telemetry: DataFrame, clock: str | None, cfg: Settings) -> DataF
     return timed.withColumn("received_us", F.unix_micros(clock))
 
 
+def _packing(columns: str) -> str:
+    """The columns of results as the processors send them: an array for each column but those of the truck."""
+    named = [c.split() for c in columns.split(", ")]
+    return ", ".join(f"{name} {kind if name in TRUCK else f'ARRAY<{kind}>'}" for name, kind in named)
+
+
+def unpacked(packed: DataFrame, columns: str) -> DataFrame:
+    """One row per result, with the given columns, from rows of arrays."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    results = F.inline(F.arrays_zip(*[c for c in names if c not in TRUCK]))
+    return packed.select(*TRUCK, results).select(*names)
+
+
 def truck_states(
     telemetry: DataFrame, cfg: Settings = Settings(), seeds: DataFrame | None = None, clock: str | None = None
 ) -> DataFrame:
@@ -101,18 +114,19 @@ def truck_states(
     columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", "compressor_status"]
     extra = [c for c in (*LOG, "record_id") if c in telemetry.columns]
     kept = [clock, "received_us"] if clock else []
-    return (
+    packed = (
         _with_clock(telemetry, clock, cfg)
         .select(*columns, *extra, *kept)
         .groupBy(*TRUCK)
-        .transformWithStateInPandas(
+        .transformWithState(
             TruckWindows(cfg, clock is not None),
-            outputStructType=STATE_COLUMNS,
+            outputStructType=_packing(STATE_COLUMNS),
             outputMode="append",
             timeMode="EventTime" if clock else "None",
             initialState=seeds.groupBy(*TRUCK) if seeds is not None else None,
         )
     )
+    return unpacked(packed, STATE_COLUMNS)
 
 
 def sustained_alerts(telemetry: DataFrame, cfg: Settings = Settings(), clock: str | None = None) -> DataFrame:
@@ -148,11 +162,12 @@ def sliding_states(telemetry: DataFrame, cfg: Settings = Settings()) -> DataFram
     if cfg.window_us % cfg.slide_us:
         raise ValueError("window_seconds must be a multiple of slide_seconds")
     columns = [*TRUCK, ORDER, "event_us", "temperature", "target_temperature", *_log(telemetry)]
-    return (
+    packed = (
         telemetry.select(*columns)
         .groupBy(*TRUCK)
-        .transformWithStateInPandas(SlidingPanes(cfg), outputStructType=SLIDING_COLUMNS, outputMode="append", timeMode="None")
+        .transformWithState(SlidingPanes(cfg), outputStructType=_packing(SLIDING_COLUMNS), outputMode="append", timeMode="None")
     )
+    return unpacked(packed, SLIDING_COLUMNS)
 
 
 def latest_windows(states: DataFrame, cfg: Settings = Settings()) -> DataFrame:
