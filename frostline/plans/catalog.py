@@ -564,16 +564,26 @@ def _telemetry_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 ALL_AT_ONCE = {"availableNow": True}
 MICRO_BATCHES, FILES = 4, 2
+#: Rows of a file of the log, on average: a file is the least that a task reads, so longer logs have more of them.
+FILE_ROWS = 100_000
 
 
 def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a stream of several micro-batches in order of arrival, from a copy in the shared folder."""
+    """The events as a stream of several micro-batches in order of arrival, from a copy in the shared folder.
+
+    Every micro-batch has the same number of files, which grows with the events.
+    """
     events = _events(spark, sf)
-    path, last = new_folder(spark, "event-log"), events.agg(F.max("event_id")).scalar()
-    part = F.call_function("div", F.col("event_id") * MICRO_BATCHES, last + 1)
+    path, size = new_folder(spark, "event-log"), events.agg(F.max("event_id").alias("last"), F.count("*").alias("rows")).first()
+    files = max(FILES, -(-size.rows // (MICRO_BATCHES * FILE_ROWS)))
+    part = F.call_function("div", F.col("event_id") * MICRO_BATCHES, F.lit(size.last) + 1)
     for k in range(MICRO_BATCHES):
-        events.where(part == k).repartition(FILES).write.mode("append").parquet(path)
-    return streams.stream_session(spark).readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+        events.where(part == k).repartition(files).write.mode("append").parquet(path)
+        if files > FILES:  # a part with few events can have left files out
+            written = spark.read.schema(events.schema).parquet(path).inputFiles()
+            for _ in range(files * (k + 1) - len(written)):
+                events.limit(0).write.mode("append").parquet(path)
+    return streams.stream_session(spark).readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _run_states(spark: SparkSession, sf: str, table: str) -> DataFrame:
