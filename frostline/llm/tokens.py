@@ -35,7 +35,7 @@ _BLANKS = ("", " ", "\n")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 LONG_TEXT = 1 << 16
 #: Parts that a task keeps, at some 230 bytes each. Frequent ones are soon back when the table starts anew.
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
