@@ -7,6 +7,7 @@ from frostline.functions.numbers import (
     mean_from_fixed,
     ratio,
     round_half_away,
+    whole,
 )
 from frostline.functions.text import alert_label, partition_key, trim_blank
 from frostline.functions.times import (
@@ -35,5 +36,6 @@ __all__ = [
     "round_half_away",
     "seconds_between",
     "trim_blank",
+    "whole",
     "window_floor",
 ]

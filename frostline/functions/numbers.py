@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 FIXED_UNITS = 1_000_000
 
 
+def whole(value: Column) -> Column:
+    """DOUBLE to the nearest whole DOUBLE, halves away from zero: F.round without its decimal per value."""
+    near = F.rint(value)
+    return F.when(F.abs(value - near) == 0.5, value + F.signum(value) * 0.5).otherwise(near)
+
+
 def fixed_point(value: Column) -> Column:
     """DOUBLE degrees to BIGINT millionths of a degree, null if they do not fit."""
-    return F.round(value * F.lit(float(FIXED_UNITS))).try_cast("bigint")
+    return whole(value * F.lit(float(FIXED_UNITS))).try_cast("bigint")
 
 
 def _int_div(numerator: Column, denominator: Column) -> Column:

@@ -49,7 +49,8 @@ def dense_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def log_order(wire: DataFrame, log: list[str], offset: str = "offset") -> DataFrame:
-    """One row per log partition (`log`: topic and partition) with `before`: how many places lie ahead of its first offset.
+    """One row per log partition (`log`: topic and partition) with `before`: how many places lie ahead of its first offset,
+    and `high`, its last offset.
 
     `before + offset` is a unique order of arrival over all partitions of a log: partitions one after another, each in
     the order of its offsets. It needs the smallest and largest offset of each partition and neither sort nor shuffle of
@@ -58,7 +59,7 @@ def log_order(wire: DataFrame, log: list[str], offset: str = "offset") -> DataFr
     ends = wire.groupBy(*log).agg(F.min(offset).alias("low"), F.max(offset).alias("high"))
     ahead = Window.orderBy(*[F.col(c).asc_nulls_first() for c in log]).rowsBetween(Window.unboundedPreceding, -1)
     places = F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(ahead), F.lit(0))
-    return ends.select(*log, (places - F.col("low")).alias("before"))
+    return ends.select(*log, (places - F.col("low")).alias("before"), "high")
 
 
 def find_hot_keys(rows: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
@@ -86,6 +87,11 @@ def split_hot_keys(
     return rows.join(F.broadcast(hot), keys, "left").withColumn(CHUNK, chunk)
 
 
+def one_chunk(rows: DataFrame) -> DataFrame:
+    """Add `chunk` to rows of which no key is hot."""
+    return rows.withColumns({_HOT: F.lit(None).cast("boolean"), CHUNK: F.lit(0).cast("bigint")})
+
+
 def seed_chunks(carried: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     """Give carry rows from an earlier run their chunk: 0 for ordinary keys, and for hot ones -1, a chunk before all
     others, from which the summaries pass them on."""
@@ -120,6 +126,11 @@ def before_chunk(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def earlier_chunks(keys: list[str]) -> WindowSpec:
+    """As before_chunk, where a chunk has several summaries: those of all earlier chunks."""
+    return Window.partitionBy(*keys).orderBy(CHUNK).rangeBetween(Window.unboundedPreceding, -1)
+
+
 def through_chunk(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
 

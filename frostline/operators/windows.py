@@ -13,7 +13,7 @@ Rules reproduced here, per truck and in arrival order:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.config import Settings
@@ -23,9 +23,11 @@ from frostline.operators.ordered import (
     before_chunk,
     before_here,
     drop_carry,
+    earlier_chunks,
     find_hot_keys,
     hot_rows,
     is_real,
+    one_chunk,
     seed_chunks,
     split_hot_keys,
     up_to_here,
@@ -164,70 +166,73 @@ def _carry(**fields) -> Column:
 _PARTS = ("n", "total", "low", "high", "target")
 
 
-def _window_carry(reported: DataFrame, seeds: DataFrame | None) -> DataFrame:
-    """Carry rows with the aggregates that earlier chunks left in each window a chunk reports to."""
-    in_window = [*TRUCK, "window_us"]
-    earlier = before_chunk(in_window)
-    summary = reported.groupBy(*in_window, CHUNK).agg(
+def _chunk_carry(reported: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Carry rows with what earlier chunks left behind: one for each window that a chunk reports to, with the aggregate of
+    that window, the largest event time and the last head-window temperature. One pass over the hot rows gives all three."""
+    at_head = F.when(F.col("head_temperature").isNotNull(), F.col(ORDER))
+    summary = reported.groupBy(*TRUCK, "window_us", CHUNK).agg(
         F.sum("add_count").alias("n"),
         F.sum("add_fixed").alias("total"),
         F.min("add_min").alias("low"),
         F.max("add_max").alias("high"),
         F.max_by("add_target", F.when(F.col("add_count").isNotNull(), F.col(ORDER))).alias("target"),
+        F.max("event_us").alias("top"),
+        F.max_by("head_temperature", at_head).alias("head"),
+        F.max(at_head).alias("head_at"),
     )
     if seeds is not None:
-        known = hot_rows(seeds).where(F.col("carry.window_us").isNotNull())
+        parts = [F.col(f"carry.{c}").alias(c) for c in _PARTS]
+        none = F.lit(None).cast("bigint").alias("head_at")
         summary = summary.unionByName(
-            known.select(*TRUCK, "carry.window_us", CHUNK, *[F.col(f"carry.{c}").alias(c) for c in _PARTS])
+            hot_rows(seeds).select(*TRUCK, "carry.window_us", CHUNK, *parts, F.col("event_us").alias("top"), "carry.head", none)
         )
+    in_window = before_chunk([*TRUCK, "window_us"])
+    in_truck = earlier_chunks(TRUCK)
+    head = F.when(F.col("head").isNotNull(), F.struct(CHUNK, "head_at", "head"))
     return (
         summary.select(
-            *in_window,
+            *TRUCK,
             CHUNK,
-            F.sum("n").over(earlier).alias("n"),
-            F.sum("total").over(earlier).alias("total"),
-            F.min("low").over(earlier).alias("low"),
-            F.max("high").over(earlier).alias("high"),
-            F.last("target", ignorenulls=True).over(earlier).alias("target"),
+            "window_us",
+            F.max("top").over(in_truck).alias("event_us"),
+            F.max(head).over(in_truck).getField("head").alias("head"),
+            F.sum("n").over(in_window).alias("n"),
+            F.sum("total").over(in_window).alias("total"),
+            F.min("low").over(in_window).alias("low"),
+            F.max("high").over(in_window).alias("high"),
+            F.last("target", ignorenulls=True).over(in_window).alias("target"),
         )
-        .where(F.col("n").isNotNull())
-        .select(*TRUCK, CHUNK, _carry(**{c: F.col(c) for c in ("window_us", *_PARTS)}))
-    )
-
-
-def _head_carry(reported: DataFrame, seeds: DataFrame | None) -> DataFrame:
-    """Carry rows with the last head-window temperature of all earlier chunks."""
-    at_head = F.when(F.col("head_temperature").isNotNull(), F.col(ORDER))
-    summary = reported.groupBy(*TRUCK, CHUNK).agg(F.max_by("head_temperature", at_head).alias("chunk_last"))
-    if seeds is not None:
-        known = hot_rows(seeds).where(F.col("carry.head").isNotNull())
-        summary = summary.unionByName(known.select(*TRUCK, CHUNK, F.col("carry.head").alias("chunk_last")))
-    return (
-        summary.withColumn("head", F.last("chunk_last", ignorenulls=True).over(before_chunk(TRUCK)))
-        .where(F.col("head").isNotNull())
-        .select(*TRUCK, CHUNK, _carry(head=F.col("head")))
+        .where(F.col("event_us").isNotNull() | F.col("head").isNotNull() | F.col("n").isNotNull())
+        .select(*TRUCK, CHUNK, "event_us", _carry(**{c: F.col(c) for c in ("window_us", *_PARTS, "head")}))
     )
 
 
 def arrival_states(
-    telemetry: DataFrame, cfg: Settings = Settings(), carried: DataFrame | None = None
+    telemetry: DataFrame,
+    cfg: Settings = Settings(),
+    carried: DataFrame | None = None,
+    hot_keys: DataFrame | None = None,
+    any_hot: bool = True,
 ) -> DataFrame:
     """The state each reading left its truck in, one row per reading.
 
     Adds `max_event_us`, `late`, `window_us`, the running `sample_count, sum_fixed, min_raw, max_raw, target_raw` of
     that window, `previous_temperature`: the last temperature of the truck's newest window before the reading, and
     `head_temperature`, the same after it. `carried` continues from the result of `carry_over` on earlier readings.
+    Who has counted them already gives `hot_keys` (find_hot_keys), or says with `any_hot` that there are none.
     """
-    hot_keys = find_hot_keys(telemetry, TRUCK, cfg.chunk_rows)
-    split = split_hot_keys(telemetry, TRUCK, ORDER, cfg.chunk_rows, hot_keys).withColumn(
-        "carry", F.lit(None).cast(_CARRY)
-    )
-    seeds = seed_chunks(carried, TRUCK, hot_keys) if carried is not None else None
-    watermark = _watermark_carry(split, seeds)
-    hot = _report(_judge(with_carry(hot_rows(split), watermark), cfg)).where(is_real())
-    carry = [watermark, _window_carry(hot, seeds), _head_carry(hot, seeds)]
-    if seeds is not None:
-        carry.append(seeds.where(F.col(CHUNK) == 0))
+    none = F.lit(None).cast(_CARRY)
+    if any_hot:
+        hot_keys = find_hot_keys(telemetry, TRUCK, cfg.chunk_rows) if hot_keys is None else hot_keys
+        split = split_hot_keys(telemetry, TRUCK, ORDER, cfg.chunk_rows, hot_keys).withColumn("carry", none)
+        seeds = seed_chunks(carried, TRUCK, hot_keys) if carried is not None else None
+        hot = _report(_judge(with_carry(hot_rows(split), _watermark_carry(split, seeds)), cfg)).where(is_real())
+        carry = [_chunk_carry(hot, seeds)]
+        if seeds is not None:
+            carry.append(seeds.where(F.col(CHUNK) == 0))
+    else:
+        split = one_chunk(telemetry).withColumn("carry", none)
+        carry = [one_chunk(carried)] if carried is not None else []
     rows = with_carry(split, *carry)
 
     here = up_to_here([*TRUCK, "window_us"], ORDER)
@@ -268,55 +273,60 @@ def arrival_states(
 def carry_over(states: DataFrame, cfg: Settings = Settings(), carried: DataFrame | None = None) -> DataFrame:
     """What later readings must know of `states` (from arrival_states) and of what was carried into it.
 
-    A few rows per truck: its largest event time, its last head temperature, and every window an accepted reading
-    can still reach. Each part merges by an ordinary aggregate, so nothing is gathered per truck.
+    A row per truck and window that an accepted reading can still reach, or one for a truck without any. One of them also
+    holds the truck's largest event time and last head temperature. Readings are merged by one ordinary aggregate, so
+    what is gathered per truck is its windows.
     """
-    earlier = F.lit(-1).cast("bigint")
-    tops = states.select(*TRUCK, "max_event_us")
-    heads = states.select(*TRUCK, "head_temperature", ORDER)
+    parts = dict(zip(_PARTS, ("sample_count", "sum_fixed", "min_raw", "max_raw", "target_raw"), strict=True))
     spans = states.select(
         *TRUCK,
         "window_us",
-        F.struct("sample_count", "sum_fixed", "min_raw", "max_raw", "target_raw").alias("parts"),
-        ORDER,
+        F.col("max_event_us").alias("top"),
+        F.col("head_temperature").alias("head"),
+        F.col(ORDER).alias("head_at"),
+        *[F.col(c).alias(name) for name, c in parts.items()],
+        F.col(ORDER).alias("at"),
     )
     if carried is not None:
-        old = carried.where(F.col("event_us").isNotNull()).select(*TRUCK, F.col("event_us").alias("max_event_us"))
-        tops = tops.unionByName(old)
-        old = carried.where(F.col("carry.head").isNotNull())
-        heads = heads.unionByName(old.select(*TRUCK, F.col("carry.head").alias("head_temperature"), earlier.alias(ORDER)))
-        old = carried.where(F.col("carry.window_us").isNotNull())
-        parts = F.struct(
-            F.col("carry.n").alias("sample_count"),
-            F.col("carry.total").alias("sum_fixed"),
-            F.col("carry.low").alias("min_raw"),
-            F.col("carry.high").alias("max_raw"),
-            F.col("carry.target").alias("target_raw"),
+        earlier = F.lit(-1).cast("bigint")
+        old = carried.select(
+            *TRUCK,
+            "carry.window_us",
+            F.col("event_us").alias("top"),
+            "carry.head",
+            F.when(F.col("carry.head").isNotNull(), earlier).alias("head_at"),
+            *[F.col(f"carry.{c}").alias(c) for c in _PARTS],
+            F.when(F.col("carry.window_us").isNotNull(), earlier).alias("at"),
         )
-        spans = spans.unionByName(old.select(*TRUCK, "carry.window_us", parts.alias("parts"), earlier.alias(ORDER)))
-
-    top = tops.groupBy(*TRUCK).agg(F.max("max_event_us").alias("event_us"))
-    head = heads.groupBy(*TRUCK).agg(F.max_by("head_temperature", ORDER).alias("head"))
-    reach = F.col("event_us") - F.lit(cfg.grace_us)
-    window = (
-        spans.groupBy(*TRUCK, "window_us")
-        .agg(F.max_by("parts", ORDER).alias("parts"))
-        .join(top, TRUCK)
-        .where(F.col("window_us") + F.lit(cfg.window_us + cfg.grace_us) >= reach)
+        spans = spans.unionByName(old)
+
+    # Values one by one and not as a struct: they fit a hash aggregate, which need not sort the readings.
+    windows = spans.groupBy(*TRUCK, "window_us").agg(
+        F.max("top").alias("top"),
+        F.max_by("head", "head_at").alias("head"),
+        F.max("head_at").alias("head_at"),
+        *[F.max_by(c, "at").alias(c) for c in _PARTS],
     )
-    values = {
-        "window_us": F.col("window_us"),
-        "n": F.col("parts.sample_count"),
-        "total": F.col("parts.sum_fixed"),
-        "low": F.col("parts.min_raw"),
-        "high": F.col("parts.max_raw"),
-        "target": F.col("parts.target_raw"),
-    }
-    none = F.lit(None).cast("bigint").alias("event_us")
+    truck = Window.partitionBy(*TRUCK)
+    known = F.col("customer_id").isNotNull() & F.col("truck_id").isNotNull()
+    reach = F.col("event_us") - F.lit(cfg.grace_us)
+    kept = known & (F.col("window_us") + F.lit(cfg.window_us + cfg.grace_us) >= reach)
+    first, kept_if = F.col("first"), lambda c: F.when(F.col("kept"), F.col(c))
     return (
-        top.select(*TRUCK, "event_us", F.lit(None).cast(_CARRY).alias("carry"))
-        .unionByName(head.where(F.col("head").isNotNull()).select(*TRUCK, none, _carry(head=F.col("head"))))
-        .unionByName(window.select(*TRUCK, none, _carry(**values)))
+        windows.withColumns(
+            {
+                "event_us": F.max("top").over(truck),
+                "head": F.max_by("head", "head_at").over(truck),
+                "first": F.row_number().over(truck.orderBy("window_us")) == 1,
+            }
+        )
+        .withColumn("kept", F.coalesce(kept, F.lit(False)))
+        .where(first | F.col("kept"))
+        .select(
+            *TRUCK,
+            F.when(first, F.col("event_us")).alias("event_us"),
+            _carry(**{c: kept_if(c) for c in ("window_us", *_PARTS)}, head=F.when(first, F.col("head"))),
+        )
     )
 
 

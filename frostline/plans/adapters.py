@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline.functions import whole
+
 BASE_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z, the first day of `events`
 
 
@@ -23,7 +25,7 @@ def telemetry_from_events(events: DataFrame, *extra: Column) -> DataFrame:
     ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
     compressed = F.lit(BASE_US) + F.call_function("div", ts_us - F.lit(BASE_US), F.lit(1000))
     delay = F.when(event_id % 20 == 0, (F.lit(15) + (event_id * 37) % 106) * 1_000_000).otherwise(F.lit(0))
-    cents = F.round(F.col("value") * 100).cast("bigint") % 3001 - 3000
+    cents = whole(F.col("value") * 100).cast("bigint") % 3001 - 3000
     return events.select(
         event_id.alias("arrival_seq"),
         F.concat(F.lit("cust_0"), (F.col("user_id") % 5 + 1).cast("string")).alias("customer_id"),

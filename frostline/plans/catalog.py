@@ -578,7 +578,12 @@ def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
     files = max(FILES, -(-size.rows // (MICRO_BATCHES * FILE_ROWS)))
     part = F.call_function("div", F.col("event_id") * MICRO_BATCHES, F.lit(size.last) + 1)
     for k in range(MICRO_BATCHES):
-        events.where(part == k).repartition(files).write.mode("append").parquet(path)
+        rows = events.where(part == k)
+        if size.last is not None and size.last >= 0:  # the same rows, in a form that leaves out parts of a file
+            first, after = (-(-i * (size.last + 1) // MICRO_BATCHES) for i in (k, k + 1))
+            rows = rows.where(F.col("event_id") < after)
+            rows = rows.where(F.col("event_id") >= first) if k else rows
+        rows.repartition(files).write.mode("append").parquet(path)
         if files > FILES:  # a part with few events can have left files out
             written = spark.read.schema(events.schema).parquet(path).inputFiles()
             for _ in range(files * (k + 1) - len(written)):

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from frostline.config import Settings
 from frostline.functions import fixed_point, micros_to_seconds, partition_key
 from frostline.operators import anomalies, contract, windows
-from frostline.operators.ordered import log_order
+from frostline.operators.ordered import find_hot_keys, log_order
 from frostline.operators.windows import ORDER, TRUCK
 from frostline.streaming import committed
 from frostline.streaming.processors import (
@@ -79,7 +79,7 @@ def in_log_order(rows: DataFrame) -> DataFrame:
     if not log:
         return rows.withColumn(ORDER, F.col("offset"))
     placed = rows.join(F.broadcast(log_order(rows, log)), log)
-    return placed.withColumn(ORDER, F.col("before") + F.col("offset")).drop("before")
+    return placed.withColumn(ORDER, F.col("before") + F.col("offset")).drop("before", "high")
 
 
 def _with_clock(telemetry: DataFrame, clock: str | None, cfg: Settings) -> DataFrame:
@@ -269,31 +269,44 @@ def _set_columns(telemetry: DataFrame) -> list[str]:
 
 def _placed(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
     """A micro-batch with a unique order of arrival over all of the stream: after all earlier ones, in the order of its
-    log. How many places are taken is kept like the carried rows, in two folders that take turns."""
-    if not _log(batch):
+    log. How many places are taken is kept like the carried rows, in two folders that take turns, and so are the places of
+    the log's partitions, a row for each, so that the micro-batch is read once for both."""
+    log = _log(batch)
+    if not log:
         return batch
-    spark, taken = batch.sparkSession, f"{out}/carried_places"
+    spark, taken, turn = batch.sparkSession, f"{out}/carried_places", f"turn={batch_id % 2}"
     base = spark.read.parquet(f"{taken}/turn={(batch_id - 1) % 2}").first().places if batch_id else 0
-    places = log_order(batch, _log(batch), ORDER)  # a row for each partition of the log
-    placed = batch.join(F.broadcast(places), _log(batch)).withColumn(ORDER, F.col(ORDER) + F.col("before") + F.lit(base))
-    placed = placed.drop("before", *LOG)
-    used = placed.agg(F.coalesce(F.max(ORDER) + 1, F.lit(base)).cast("bigint").alias("places"))
-    used.write.mode("overwrite").parquet(f"{taken}/turn={batch_id % 2}")
-    return placed
+    places = log_order(batch, log, ORDER)
+    places.coalesce(1).write.mode("overwrite").parquet(f"{out}/log_places/{turn}")
+    places = spark.read.schema(places.schema).parquet(f"{out}/log_places/{turn}").dropna(subset=log)
+    used = F.coalesce(F.max(F.col("before") + F.col("high")) + F.lit(base) + 1, F.lit(base)).cast("bigint")
+    places.agg(used.alias("places")).write.mode("overwrite").parquet(f"{taken}/{turn}")
+    placed = batch.join(F.broadcast(places.drop("high")), log)
+    return placed.withColumn(ORDER, F.col(ORDER) + F.col("before") + F.lit(base)).drop("before", *LOG)
 
 
 def _advance(batch: DataFrame, batch_id: int, out: str, cfg: Settings) -> None:
-    """Aggregates and alerts of one micro-batch, from what was carried over, and what to carry on."""
+    """Aggregates and alerts of one micro-batch, from what was carried over, and what to carry on.
+
+    The micro-batch is kept while it is read for its order, its hot trucks and its states. Without a hot truck, the
+    common case, the steps that cut hot trucks into chunks are left out of the plan.
+    """
     state = f"{out}/carried"
     carried = batch.sparkSession.read.parquet(f"{state}/turn={(batch_id - 1) % 2}") if batch_id else None
-    states = windows.arrival_states(_placed(batch, batch_id, out), cfg, carried).persist()
+    kept = [batch.persist()]
     try:
+        placed = _placed(batch, batch_id, out)
+        hot_keys = find_hot_keys(placed, windows.TRUCK, cfg.chunk_rows).persist()
+        kept.append(hot_keys)
+        states = windows.arrival_states(placed, cfg, carried, hot_keys, any_hot=hot_keys.count() > 0).persist()
+        kept.append(states)
         write_batch(published_aggregates(states, cfg), f"{out}/aggregates", batch_id)
         write_batch(published_alerts(states, cfg), f"{out}/alerts", batch_id)
-        kept = windows.carry_over(states, cfg, carried)
-        kept.write.mode("overwrite").parquet(f"{state}/turn={batch_id % 2}")
+        onward = windows.carry_over(states, cfg, carried)
+        onward.write.mode("overwrite").parquet(f"{state}/turn={batch_id % 2}")
     finally:
-        states.unpersist()
+        for rows in kept:
+            rows.unpersist()
 
 
 def start_log(
