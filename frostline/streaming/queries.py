@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from frostline.config import Settings
 from frostline.functions import fixed_point, micros_to_seconds, partition_key
 from frostline.operators import anomalies, contract, windows
-from frostline.operators.ordered import find_hot_keys, log_order
+from frostline.operators.ordered import chunk_widths, find_hot_keys, log_order
 from frostline.operators.windows import ORDER, TRUCK
 from frostline.streaming import committed
 from frostline.streaming.processors import (
@@ -298,7 +298,11 @@ def _advance(batch: DataFrame, batch_id: int, out: str, cfg: Settings) -> None:
         placed = _placed(batch, batch_id, out)
         hot_keys = find_hot_keys(placed, windows.TRUCK, cfg.chunk_rows).persist()
         kept.append(hot_keys)
-        states = windows.arrival_states(placed, cfg, carried, hot_keys, any_hot=hot_keys.count() > 0).persist()
+        any_hot = hot_keys.count() > 0
+        if any_hot:
+            hot_keys = chunk_widths(placed, windows.TRUCK, ORDER, cfg.chunk_rows, hot_keys).persist()
+            kept.append(hot_keys)
+        states = windows.arrival_states(placed, cfg, carried, hot_keys, any_hot).persist()
         kept.append(states)
         write_batch(published_aggregates(states, cfg), f"{out}/aggregates", batch_id)
         write_batch(published_alerts(states, cfg), f"{out}/alerts", batch_id)

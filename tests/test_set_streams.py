@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from frostline.config import MICROS, Settings
 from frostline.functions import whole
-from frostline.operators import windows
+from frostline.operators import ordered, windows
 from frostline.streaming import queries as streams
 
 START = 1_704_067_200_000_000
@@ -99,3 +99,21 @@ def test_nearest_whole_is_that_of_round(spark):
     values += [x / 8 for x in range(-40, 40)] + [float("inf"), float("-inf"), float("nan")]
     rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
     assert rows.where(~whole(F.col("v")).eqNullSafe(F.round("v"))).count() == 0
+
+
+def test_chunks_of_far_apart_rows_are_wide_and_never_too_full(spark):
+    """Of three trucks with 12 readings one has them far apart, one side by side, one most of them at one end."""
+    far = [(1000 * n, "far") for n in range(12)]
+    near = [(n, "near") for n in range(12)]
+    lopsided = [(n, "lopsided") for n in (*range(11), 100_000)]
+    rows = readings(spark, [reading(n, n, t) for n, t in (*far, *near, *lopsided, (7, "cold"))])
+    hot = ordered.find_hot_keys(rows, windows.TRUCK, 4)
+    wide = ordered.chunk_widths(rows, windows.TRUCK, "arrival_seq", 4, hot)
+    chunks = ordered.split_hot_keys(rows, windows.TRUCK, "arrival_seq", 4, wide).groupBy("truck_id", "chunk").count().collect()
+    held = {t: sorted(r["count"] for r in chunks if r.truck_id == t) for t in ("far", "near", "lopsided", "cold")}
+    assert max(max(v) for v in held.values()) <= 4
+    assert (len(held["far"]), held["near"], held["lopsided"], held["cold"]) == (7, [4, 4, 4], [1, 3, 4, 4], [1])
+    columns = ("truck_id", "arrival_seq", *STATE)
+    cfg = dataclasses.replace(Settings(), chunk_rows=4)
+    found = windows.arrival_states(rows, cfg, hot_keys=wide).select(*columns).collect()
+    assert sorted(map(str, found)) == sorted(map(str, windows.arrival_states(rows).select(*columns).collect()))
