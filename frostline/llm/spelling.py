@@ -5,6 +5,9 @@ untouched chunk as a positional gram, shifted by one at most. The touched chunk
 the same way. So two words one edit apart share a key made of a whole chunk and half of the other: the longer word gives
 the keys of its own cuts, the shorter one gives those of its grams at the places where such a cut can reappear. The join
 on keys verifies each pair with the edit distance before it gives it out.
+
+All joins are by sort and merge, as every table here grows with the words. Spark would size a stored table by its
+compressed files and an exploded one as if it had a row per word, and so broadcast many times its threshold.
 """
 
 from __future__ import annotations
@@ -75,7 +78,7 @@ def near_words(words: DataFrame) -> DataFrame:
     shift = F.col("size") - F.col("near_size")
     once = (shift == 1) | ((shift == 0) & (F.col("word") < F.col("near")))
     verified = F.levenshtein("word", "near", 1) == 1
-    pairs = chunks.join(grams, (chunks["key"] == grams["key"]) & once & verified).select("word", "n", "near", "near_n")
+    pairs = chunks.join(grams.hint("merge"), (chunks["key"] == grams["key"]) & once & verified).select("word", "n", "near", "near_n")
     flipped = F.array(
         F.struct("word", "n", "near", "near_n"),
         F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")),
@@ -92,7 +95,7 @@ def last_forms(forms: DataFrame) -> DataFrame:
     roots = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        moved = roots.join(ahead, "root", "left")
+        moved = roots.join(ahead.hint("merge"), "root", "left")
         moved = stored(moved.select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
         roots = moved.select("word", "root")
         if moved.where("moved").isEmpty():
@@ -130,8 +133,8 @@ def spelling_variants(
     best = stored(best, "near-words")
     roots = last_forms(best.where("form is not null"))
     return (
-        words.join(best, "word", "left")
-        .join(roots, "word", "left")
+        words.join(best.hint("merge"), "word", "left")
+        .join(roots.hint("merge"), "word", "left")
         .select(
             "word",
             "form",

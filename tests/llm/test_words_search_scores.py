@@ -106,6 +106,16 @@ def test_pairs_are_verified_in_the_join(spark):
     assert "levenshtein" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Spark sizes the tables of words far too low, as after the explode of keys, so no join leaves the choice to it."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, stored = [], spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda df, *a: (plans.append(plan(df)), stored(df, *a))[1])
+    plans.append(plan(spelling.spelling_variants(frame(spark, spelled(), extra=True))))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3  # near words, a round of roots at least, the result
+    assert not any("Broadcast" in p for p in plans)
+
+
 # --- search ------------------------------------------------------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
